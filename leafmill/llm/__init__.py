@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pieces", "markup", "packing", "truncation", "neighbours", "scans", "encoding", "mixing", "language")
+MODULES = ("pieces", "packing", "neighbours", "encoding", "mixing")
 
 
 def _modules():
