@@ -162,7 +162,7 @@ def fit(texts: list[str], labels: list[str], languages: list[str]) -> Model:
         model = Model(languages, tally)
         if not len(words):
             break
-        scores = model.score(points, starts, ends)
+        scores = Reader(model).word_scores(points, starts, ends)
         begins = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
         best = np.add.reduceat(scores, begins, axis=0).argmax(1)
         keep = np.repeat(best, np.diff(np.append(begins, len(unit)))) == owner
