@@ -18,6 +18,7 @@ def session(app: str = "leafmill", master: str | None = None, **conf: str) -> Sp
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
