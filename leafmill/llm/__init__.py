@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pieces", "packing", "neighbours", "encoding", "mixing", "language")
+MODULES = ("pieces", "markup", "packing", "truncation", "neighbours", "encoding", "mixing", "language")
 
 
 def _modules():

@@ -36,7 +36,7 @@ from . import textkit as T
 #: Slots of each count table (the broadcast's proven size: six float32 tables).
 SLOTS = 1 << 18
 #: Log odds that a text without any other sign is cut.
-PRIOR = -1.0
+PRIOR = 0.3
 #: Texts at one length, and their excess over the fit, that make it a candidate limit.
 LIMIT_ROWS, LIMIT_RATIO = 5, 6.0
 _END = r"[.!?…。！？][\"'”’»)\]」』）*_]*\s*$"
