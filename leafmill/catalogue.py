@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("sources.rejects",)
+MODULES = ("sources.rejects", "queries.surface", "queries.views")
 
 
 def _modules():
