@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, spread
 from ..session import table
 
 #: HTML and wiki tags (fixed values).
@@ -51,7 +52,7 @@ ENTITY = re.compile(r"&(?:[a-zA-Z][a-zA-Z0-9]{1,31}|#[0-9]{1,7}|#[xX][0-9a-fA-F]
 MARKDOWN = {
     "md_fence": re.compile(r"^[ ]{0,3}(?:```|~~~)[^\n`]*$", re.M),
     "md_heading": re.compile(r"^[ ]{0,3}#{1,6}[ \t]+\S", re.M),
-    "md_setext": re.compile(r"^[^\n|]*\w[^\n|]*\n(?:={3,}|-{3,})[ \t]*$", re.M),
+    "md_setext": re.compile(r"(?<=[^\s|])[ \t\r]*\n(?:={3,}|-{3,})[ \t]*$", re.M),
     "md_id": re.compile(r"\{#[A-Za-z][\w:-]*\}"),
     "md_strong": re.compile(r"\*\*(?=\S)[^*\n]+(?<=\S)\*\*|(?<![\w_])__(?=[^\s_])[^_\n]*?(?:_[^_\n]+)*?(?<=[^\s_])__(?![\w_])"),
     "md_em": re.compile(r"(?<![\w*\\/])\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*(?![\w*])|(?<![\w_\\/.])_(?=[^\s_])[^_\n]+(?<=[^\s_])_(?![\w_])"),
@@ -174,6 +175,8 @@ def kinds_of(text: str, place: str) -> set[str]:
         text = unescaped
     if place == "code" or (place == "prose" and text.lstrip().startswith("#!")):
         return found | {n for n, p in (("code_open", CODE_OPEN), ("code_close", CODE_CLOSE)) if p.search(text)}
+    if place == "prose":
+        text = re.sub(r"^#![^\n]*(?:\n#[^\n]*)*", "", text, flags=re.M)  # a script's comments are no headings
     if TAG.search(text) or COMMENT.search(text) or TORN_TAG.search(text):
         found.add("html")
     if place == "formula":
@@ -220,7 +223,7 @@ _INLINE = [
 _LINES = [
     (re.compile(r"^(={2,6})[ \t]*([^\n]*?[^=\n])[ \t]*\1[ \t]*$", re.M), r"\2\n"),
     (re.compile(r"^[ ]{0,3}#{1,6}[ \t]+([^\n]*?)[ \t]*#*[ \t]*$", re.M), r"\1\n"),
-    (re.compile(r"^([^\n|]*\w[^\n|]*)\n(?:={3,}|-{3,})[ \t]*$", re.M), r"\1\n"),
+    (re.compile(r"(?<=[^\s|])[ \t\r]*\n(?:={3,}|-{3,})[ \t]*$", re.M), "\n"),
     (re.compile(r"^[ ]{0,3}\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*\n?", re.M), ""),
     (re.compile(r"^\|(?![-}])([^\n]*)\|[ \t]*$", re.M), lambda m: "\t".join(c.strip() for c in m.group(1).split("|"))),
     (re.compile(r"^[ ]{0,3}>[ \t]?", re.M), ""),
@@ -317,7 +320,8 @@ def parts_of(value: str | None) -> list[str]:
 
 # ---------------------------------------------------------------- the operator
 
-_PARSED = "origin string, item_id bigint, host string, page bigint, kinds array<string>, elements array<bigint>"
+_PARSED = "origin string, item_id bigint, host string, page bigint, place string, form string, text string, kinds array<string>, elements array<bigint>"
+_KEPT = ("origin", "item_id", "host", "page", "place", "form", "text")
 _CLEAN = "origin string, item_id bigint, kinds array<string>, clean_text string"
 
 
@@ -339,12 +343,13 @@ def convert(items: DataFrame) -> DataFrame:
                 elements.append(sorted({h for v in values if place == "prose" and kinds[-1] for u in [unescape(v)] for h, _ in subtrees(u, tree(u))}))
             keep = [i for i, k in enumerate(kinds) if k]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(n)).take(pa.array(keep, pa.int64())) for n in ("origin", "item_id", "host", "page")]
+                [batch.column(batch.schema.get_field_index(n)).take(pa.array(keep, pa.int64())) for n in _KEPT]
                 + [pa.array([kinds[i] for i in keep], pa.list_(pa.string())), pa.array([elements[i] for i in keep], pa.list_(pa.int64()))],
-                names=["origin", "item_id", "host", "page", "kinds", "elements"],
+                names=[*_KEPT, "kinds", "elements"],
             )
 
-    parsed = suspects.select("origin", "item_id", "host", "page", "place", "form", "text").mapInArrow(parse, _PARSED)
+    # the texts with markup, parsed once, written down, and read for the counts and for the conversion
+    parsed = cut(spread(suspects.select(*_KEPT)).mapInArrow(parse, _PARSED))
     # per host and subtree the number of pages: one row a page and subtree first, so no page list is held
     seen = parsed.select("host", "page", F.explode("elements").alias("element")).distinct()
     counted = seen.groupBy("host", "element").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
@@ -352,21 +357,19 @@ def convert(items: DataFrame) -> DataFrame:
     recurring = counted.join(sizes, "host").where(F.col("pages") >= MIN_SHARE * F.col("all_pages")).select("host", "element")
     hits = parsed.select("origin", "item_id", "host", F.explode("elements").alias("element")).join(recurring, ["host", "element"])
     hits = hits.groupBy("origin", "item_id").agg(F.collect_set("element").alias("templates"))  # of one item's own subtrees
-    todo = suspects.join(hits, ["origin", "item_id"], "left").select("origin", "item_id", "place", "form", "text", "templates")
+    todo = parsed.join(hits, ["origin", "item_id"], "left").select("origin", "item_id", "place", "form", "text", "kinds", "templates")
 
     def finish(batches):
         for batch in batches:
             c = batch.to_pydict()
-            kinds, clean = [], []
+            clean = []
             for text, place, form, gone in zip(c["text"], c["place"], c["form"], c["templates"], strict=True):
                 values = _value(text, form)
-                found = sorted({k for v in values for k in kinds_of(v, place)})
-                kinds.append(found)
-                done = [render(v, set(gone or ()), place) if found else v for v in values]
+                done = [render(v, set(gone or ()), place) if kinds_of(v, place) else v for v in values]
                 clean.append("\n".join(f"- {d}" for d in done) if len(done) > 1 else done[0] if done else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.list_(pa.string())), pa.array(clean, pa.string())], names=["origin", "item_id", "kinds", "clean_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), pa.array(clean, pa.string())], names=["origin", "item_id", "kinds", "clean_text"])
 
-    return todo.mapInArrow(finish, _CLEAN).where(F.size("kinds") > 0)
+    return todo.mapInArrow(finish, _CLEAN)
 
 
 def items_of(spark: SparkSession, folder: str) -> DataFrame:
