@@ -17,9 +17,9 @@ def strip_think(text: Column) -> Column:
 
 
 def strip_fence(text: Column) -> Column:
-    """A fence around the whole response away."""
+    """A fence around the whole response away; fences inside must pair up, else the first one closes earlier."""
     inner = F.regexp_extract(text, r"(?s)^\s*```[a-zA-Z]*\n(.*?)\n?```\s*$", 1)
-    return F.when(text.rlike(r"(?s)^\s*```[a-zA-Z]*\n.*```\s*$") & ~F.regexp_replace(inner, "\n", " ").contains("```"), inner).otherwise(text)
+    return F.when(text.rlike(r"(?s)^\s*```[a-zA-Z]*\n.*```\s*$") & (F.regexp_count(inner, F.lit("(?m)^```")) % 2 == 0), inner).otherwise(text)
 
 
 def strip_meta(text: Column) -> Column:

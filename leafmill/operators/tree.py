@@ -190,7 +190,7 @@ def stitch(blocks: DataFrame, least: float = 0.6) -> DataFrame:
 
 def build_tree(blocks: DataFrame) -> DataFrame:
     """Leaves of the documents: kept blocks with page ordinal, kind, heading path and the document's title."""
-    kept = blocks.join(split_paratext(blocks).where("fate in ('kept', 'rescued')").select("block_id", "fate"), "block_id")
+    kept = blocks.drop("ordinal").join(split_paratext(blocks).where("fate in ('kept', 'rescued')").select("block_id", "fate"), "block_id")
     title = F.first(F.when(F.col("type") == "title", F.col("text")), ignorenulls=True).over(Window.partitionBy("document_id").orderBy("page_idx", "block_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     leaves = kept.withColumn("doc_title", title).withColumn("kind", F.when(F.col("fate") == "rescued", F.when(is_math(F.col("text")), "equation").otherwise("paragraph")).when(F.col("grid").isNotNull(), F.when(grid_class(F.col("grid")) == "table", "table").when(grid_class(F.col("grid")) == "equation", "equation").otherwise("paragraph")).otherwise(kind(F.col("type"))))
     return leaves.join(page_ordinal(kept), "block_id").join(heading_path(kept).drop("document_id"), "block_id").select("document_id", "block_id", "page_idx", "ordinal", "kind", "doc_title", "heading_path", "text", F.when(F.col("kind") == "equation", F.col("text")).alias("latex"))
