@@ -60,6 +60,7 @@ MARKDOWN = {
     "md_code": re.compile(r"(?<![`\\])`(?=[^`\s])[^`'\n]*(?<=[^\s])`(?!`)"),
     "md_link": re.compile(r"!?\[(?:[^\[\]\n]|\[[^\[\]\n]*\])*\]\((?=\S)[^()\s]*(?:\s+\"[^\"\n]*\")?\)"),
     "md_reflink": re.compile(r"!?\[(?![\d\s,.-]+\])[^\[\]\n]+\]\[[A-Za-z][\w-]*\]"),
+    "md_autolink": re.compile(r"<(?:https?://|mailto:)[^\s<>]+>"),
     "md_footnote": re.compile(r"\[\^[\w-]+\]"),
     "md_definition": re.compile(r"^[ ]{0,3}\[[^\[\]\n]+\]:[ \t]+\S+", re.M),
     "md_quote": re.compile(r"^[ ]{0,3}>[ \t]+\S", re.M),
@@ -96,6 +97,10 @@ CODE_CLOSE = re.compile(r"(?:```|~~~|</(?:pre|code|syntaxhighlight|source|tt)>|\
 SUSPECT = r"[<&*_`{\\$#|~]|\[\[|\]\(|\]\[|\[\^|\]:|\[http|''|==|--|(^|\n) {0,3}>|- \[[ xX]\]"
 
 
+#: A wiki template around a formula.
+_MATH_TEMPLATE = re.compile(r"\A\s*\{\{[A-Za-z][\w ]*\||\{\{(?:math|mvar|tmath|frac|sqrt)\|")
+
+
 class Node:
     """An element: tag, where it starts and ends, and its children."""
 
@@ -180,8 +185,8 @@ def kinds_of(text: str, place: str) -> set[str]:
     if TAG.search(text) or COMMENT.search(text) or TORN_TAG.search(text):
         found.add("html")
     if place == "formula":
-        names = [MARKDOWN["md_fence"], MARKDOWN["md_strong"], WIKI["wiki_template"] if not re.search(r"\\[a-zA-Z]", text) else None, MARKDOWN["md_code"], CODE_OPEN, WIKI["wiki_heading"], WIKI["wiki_link"]]
-        return found | ({"formula_wrapper"} if any(p and p.search(text) for p in names) else set())
+        names = [MARKDOWN["md_fence"], MARKDOWN["md_strong"], _MATH_TEMPLATE, MARKDOWN["md_code"], CODE_OPEN, WIKI["wiki_heading"], WIKI["wiki_link"]]
+        return found | ({"formula_wrapper"} if any(p.search(text) for p in names) else set())
     return found | {n for group in (MARKDOWN, WIKI, LATEX) for n, p in group.items() if p.search(text)}
 
 
@@ -191,6 +196,7 @@ _INLINE = [
     (re.compile(r"!\[([^\]\n]*)\]\([^)\n]*\)"), r"\1"),
     (re.compile(r"\[((?:[^\[\]\n]|\[[^\[\]\n]*\])*)\]\((?=\S)[^()\s]*(?:\s+\"[^\"\n]*\")?\)"), r"\1"),
     (re.compile(r"!?\[(?![\d\s,.-]+\])([^\[\]\n]+)\]\[[A-Za-z][\w-]*\]"), r"\1"),
+    (re.compile(r"<((?:https?://|mailto:)[^\s<>]+)>"), r"\1"),
     (re.compile(r"\[\^[\w-]+\]:?"), ""),
     (re.compile(r"\[\[(?:Category|File|Image):[^\[\]\n]*\]\]\n?", re.I), ""),
     (re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)(?:\]\]|$)"), r"\1"),
@@ -241,6 +247,7 @@ def render(text: str, templates: set[int], place: str) -> str:
         again = CODE_CLOSE.sub("", CODE_OPEN.sub("", text))
         return again.strip("\n") if again != text else text
     if place == "formula":
+        text = re.sub(r"\A\s*\{\{[A-Za-z][\w ]*\|(.*)\}\}\s*\Z", r"\1", text, flags=re.S)
         text = re.sub(r"^\s*(?:```\w*\n?|\*\*)|(?:```|\*\*)\s*$", "", TAG.sub("", COMMENT.sub("", text)))
         return re.sub(r"\A\s*\$\$?\s*|\s*\$\$?\s*\Z", "", text).strip()
     root = tree(text)

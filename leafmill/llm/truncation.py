@@ -162,10 +162,10 @@ class Counts:
 
     NAMES = ("word", "end", "item_end", "prefix", "opens_ended", "opens_other")
 
-    def __init__(self, rows) -> None:
-        self.tables = {n: np.zeros(SLOTS, np.float32) for n in self.NAMES}
-        for name, slot, n in rows:
-            self.tables[name][slot] = n
+    def __init__(self, slots: np.ndarray, counts: np.ndarray) -> None:
+        flat = np.zeros(len(self.NAMES) * SLOTS, np.float32)
+        flat[slots] = counts
+        self.tables = dict(zip(self.NAMES, flat.reshape(len(self.NAMES), SLOTS), strict=True))
 
 
 def count_tables(signs: DataFrame) -> Counts:
@@ -182,12 +182,12 @@ def count_tables(signs: DataFrame) -> Counts:
             for k, c, m, o in zip(kind, closed, marked, opening, strict=True):
                 if k == "text" and o:
                     sums["opens_ended" if c or m else "opens_other"][_word_slot(o)] += 1
-        for name, s in sums.items():
+        for i, s in enumerate(sums.values()):
             at = np.flatnonzero(s)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at])], names=["name", "slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at + i * SLOTS, pa.int32()), pa.array(s[at])], names=["slot", "n"])
 
-    got = rows.mapInArrow(run, "name string, slot int, n bigint").groupBy("name", "slot").agg(F.sum("n").alias("n"))
-    return Counts((r["name"], r["slot"], r["n"]) for r in got.toLocalIterator())
+    got = rows.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").cast("float").alias("n")).toPandas()
+    return Counts(got["slot"].to_numpy(), got["n"].to_numpy())
 
 
 def _words(points: np.ndarray, offsets: np.ndarray):
