@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordering import global_rank
+
 #: The fusion's constant and the trigram of a word's padding.
 RRF_K = 60
 
@@ -24,7 +26,7 @@ def dense_order(vectors: DataFrame, query: list[float], key: str = "vec_id", col
     """All ids by similarity to one query vector, which travels as a literal of the plan."""
     q = F.array(*[F.lit(float(x)) for x in query])
     v = vectors.where(F.col(column).isNotNull()).withColumn("similarity", cosine(F.col(column), q))
-    return v.select(key, "similarity", F.row_number().over(Window.orderBy(F.desc_nulls_last("similarity"), key)).alias("place"))
+    return global_rank(v.select(key, "similarity"), [F.desc_nulls_last("similarity"), F.asc(key)])
 
 
 def trigrams(text: Column) -> Column:
@@ -49,7 +51,7 @@ def trigram_index(texts: DataFrame, key: str, text: str) -> DataFrame:
 def sparse_order(texts: DataFrame, query: str, key: str, text: str) -> DataFrame:
     """All ids by trigram similarity to a query string."""
     t = texts.withColumn("similarity", trigram_similarity(F.col(text), F.lit(query)))
-    return t.select(key, "similarity", F.row_number().over(Window.orderBy(F.desc("similarity"), key)).alias("place"))
+    return global_rank(t.select(key, "similarity"), [F.desc("similarity"), F.asc(key)])
 
 
 def fuse(rankings: list[DataFrame], key: str) -> DataFrame:
@@ -59,7 +61,7 @@ def fuse(rankings: list[DataFrame], key: str) -> DataFrame:
     for p in parts[1:]:
         both = both.unionByName(p)
     fused = both.groupBy(key).agg(F.sum("score").alias("score"), F.min(F.struct("source", "place")).alias("seen"))
-    return fused.select(key, "score", F.row_number().over(Window.orderBy(F.desc("score"), "seen", key)).alias("place"))
+    return global_rank(fused, [F.desc("score"), F.asc("seen"), F.asc(key)]).select(key, "score", "place")
 
 
 def pending(nodes: DataFrame, embedded: DataFrame, key: str = "content_id") -> DataFrame:
