@@ -22,6 +22,7 @@ in ``p4_found``; a source with too few texts has no limit and goes by endings.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -233,6 +234,8 @@ def ratio(kind: str, closed: bool, marked: bool, broken: bool, unpunctuated: boo
     """Log-likelihood ratio of a random cut against a complete text, from the signs of its end."""
     if broken:
         return 12.0
+    if closed and re.search(r"\([^()]{0,12}$", tail):  # an abbreviation's stop within a bracket
+        return 6.0
     if closed or marked:
         return -12.0
     if not last:
@@ -251,7 +254,7 @@ def ratio(kind: str, closed: bool, marked: bool, broken: bool, unpunctuated: boo
             score += min(3.0, -math.log((end + 0.5) / (word + 1.0)) - 1.5)
             if prefix > 4 * word:
                 score += min(4.0, math.log(prefix / word))
-    elif tail[-1:] in ",;–—-(":
+    elif tail[-1:] in ",;–—-(“[{" or re.search(r"[,;]['\"”’»]+$", tail):
         score += 3.0
     elif tail[-1:] in ":":
         score -= 2.0
