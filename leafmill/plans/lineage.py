@@ -31,7 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hold Arrow batches to ``rows``, so that a batch of very long texts fits a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Round-robin a scan of fewer partitions than there are task slots; wider inputs pass unchanged."""
+    """Round-robin a scan of fewer partitions than there are task slots; wider inputs pass unchanged.
+
+    Meant for what goes to Python, so Arrow batches are bounded as well.
+    """
+    bound_batches(df.sparkSession)
     least = least or df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
