@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import bound_batches
 from ..session import table
 from .latest import latest
 
@@ -111,6 +112,7 @@ def split_items(df: DataFrame, keys: list[str], text: str = "text", limit: int =
                 names=[*keys, "piece_no", "n_pieces", "start_char", "end_char", "piece"],
             )
 
+    bound_batches(df.sparkSession)
     rows = df.select(*[F.col(k) for k in keys], F.col(text).cast("string").alias("__text"))
     if only_long:
         rows = rows.where(F.char_length("__text") > limit)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import spread
+from ..plans.lineage import bound_batches, spread
 from ..session import table
 from . import textkit as T
 
@@ -294,6 +294,7 @@ def judged(spark: SparkSession, folder: str) -> DataFrame:
     best = F.array_max(F.filter("found", at_limit))
     rows = rows.select("origin", "item_id", "source", "kind", "closed", "marked", "broken", "unpunctuated", "last_word", "opening", "tail", best["posterior"].alias("posterior"), best["limit"].alias("limit"))
 
+    bound_batches(spark)
     def run(batches):
         tables = counts.value.tables
         for batch in batches:
