@@ -46,8 +46,8 @@ def rates(counts: DataFrame, targets: DataFrame, budget: int | None = None) -> D
 
 
 def _pivot(group: pd.DataFrame) -> pd.DataFrame:
-    """Round all but one document of each source; rows are taken in the order of their draw."""
-    group = group.sort_values(["source", "draw", "doc_id", "part"], kind="stable")
+    """Round all but one document of each source, large ones first, so that what stays fractional is small."""
+    group = group.assign(less=-group["tokens"]).sort_values(["source", "less", "draw", "doc_id", "part"], kind="stable").drop(columns="less")
     share, mass, draw = group["share"].to_numpy(float).copy(), group["tokens"].to_numpy(float), group["draw"].to_numpy(float)
     source, decided = group["source"].to_numpy(), np.ones(len(group), bool)
     held = -1
