@@ -67,10 +67,19 @@ def tree_reduce(texts: DataFrame, by: list[str], order: str, text: str, budget:
 
 
 def extract_summary(text: Column, budget: Column | int) -> Column:
-    """The default summariser: leading sentences within the budget, at least one."""
-    sentences = F.split(text, r"(?<=[.!?])\s+")
-    limit = F.lit(budget) if isinstance(budget, int) else budget
-    kept = F.aggregate(sentences, F.struct(F.lit(0).alias("n"), F.lit("").alias("t")), lambda s, x: F.when((s["n"] > 0) & (s["n"] + word_count(x) > limit), F.struct((limit + 1).cast("int").alias("n"), s["t"].alias("t"))).otherwise(F.struct((s["n"] + word_count(x)).cast("int").alias("n"), F.trim(F.concat_ws(" ", s["t"], x)).alias("t"))), lambda s: s["t"])
+    """The default summariser: leading sentences within the budget; of a first sentence above it, the leading words."""
+    limit = (F.lit(budget) if isinstance(budget, int) else budget).cast("int")
+    state = F.struct(F.lit(0).alias("n"), F.lit("").alias("t"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = word_count(x).cast("int")
+        whole = F.struct((s["n"] + n).cast("int").alias("n"), F.trim(F.concat_ws(" ", s["t"], x)).alias("t"))
+        full = F.struct((limit + 1).cast("int").alias("n"), s["t"].alias("t"))
+        words = F.slice(F.regexp_extract_all(x, F.lit(r"\s*([\p{L}\p{N}]+|[^\s\p{L}\p{N}])"), 0), F.lit(1), F.greatest(limit, F.lit(1)))
+        part = F.struct((limit + 1).cast("int").alias("n"), F.trim(F.array_join(words, "")).alias("t"))
+        return F.when(s["n"] + n <= limit, whole).when(s["n"] == 0, part).otherwise(full)
+
+    kept = F.aggregate(F.split(text, r"(?<=[.!?])\s+"), state, step, lambda s: s["t"])
     return F.when(text.isNotNull(), kept)
 
 

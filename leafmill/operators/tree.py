@@ -160,8 +160,7 @@ def search_text(nodes: DataFrame, documents: DataFrame, libraries: DataFrame) ->
 def stitch(blocks: DataFrame, least: float = 0.6) -> DataFrame:
     """Grids that go on over pages joined: same width, later page, alike headers; a repeated header row is dropped.
 
-    Grids of one document meet in one group; only their first rows decide, so a group
-    holds its grids and nothing else.
+    Only first rows and row counts decide, so that is all that a document's group holds.
     """
     import pandas as pd
 
@@ -171,20 +170,17 @@ def stitch(blocks: DataFrame, least: float = 0.6) -> DataFrame:
         frame = frame.sort_values(["page_idx", "block_id"])
         out: list[dict] = []
         for r in frame.itertuples():
-            grid = [list(x) for x in r.grid]
-            if not grid:
-                continue
-            head = [(c or "").lower() for c in grid[0]]
+            head = [(c or "").lower() for c in r.head]
             last = out[-1] if out else None
             if last and last["width"] == len(head) and r.page_idx > last["page"] and SequenceMatcher(None, " ".join(last["head"]), " ".join(head)).ratio() >= least:
-                last["rows"] += len(grid) - (1 if last["head"] == head else 0)
+                last["rows"] += r.n - (1 if last["head"] == head else 0)
                 last["blocks"].append(r.block_id)
                 last["page"] = r.page_idx
             else:
-                out.append({"head": head, "width": len(head), "page": r.page_idx, "rows": len(grid), "blocks": [r.block_id]})
+                out.append({"head": head, "width": len(head), "page": r.page_idx, "rows": r.n, "blocks": [r.block_id]})
         return pd.DataFrame([{"document_id": frame["document_id"].iloc[0], "first_block": o["blocks"][0], "n_blocks": len(o["blocks"]), "n_rows": o["rows"]} for o in out], columns=["document_id", "first_block", "n_blocks", "n_rows"])
 
-    grids = blocks.where(F.col("grid").isNotNull() & (F.size("grid") > 0)).select("document_id", "page_idx", "block_id", "grid")
+    grids = blocks.where(F.col("grid").isNotNull() & (F.size("grid") > 0)).select("document_id", "page_idx", "block_id", F.coalesce(F.get("grid", F.lit(0)), F.array().cast("array<string>")).alias("head"), F.size("grid").alias("n"))
     return grids.groupBy("document_id").applyInPandas(run, "document_id bigint, first_block bigint, n_blocks int, n_rows int")
 
 
