@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import dtypes
 from .operators import grid as G
 from .operators import pagemd, tree
 from .plans import answer, cascade
