@@ -41,7 +41,6 @@ PRIOR = 0.3
 #: Texts at one length, and their excess over the fit, that make it a candidate limit.
 LIMIT_ROWS, LIMIT_RATIO = 5, 6.0
 _END = r"[.!?…。！？][\"'”’»)\]」』）*_]*\s*$"
-_CLOSERS = {")": "(", "]": "[", "}": "{"}
 #: What follows a complete text's last word in markup (fixed patterns).
 _MARKUP_END = r"(</[A-Za-z][A-Za-z0-9]*>|<br\s*/?>|/>|\}\}|\]\]|\|\}|```|\\end\{[a-z*]+\}|-->|\*\*|\$|\\\)|\\\]|__|\}|''|~~|`|</\w+&gt;|&gt;|==)\s*$"
 
@@ -93,7 +92,6 @@ def limits_of(histogram: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("length")
         length, n = group["length"].to_numpy(float), group["n"].to_numpy(float)
         total, above = n.sum(), n[::-1].cumsum()[::-1] - n
-        mu, sigma = fit_lengths(length, n)
         for i in np.flatnonzero((n >= LIMIT_ROWS) & (above <= 0.1 * n) & (length >= 40)):
             m, s = fit_lengths(np.minimum(length, length[i]), n, length[i])
             z = (math.log(length[i]) - m) / s
@@ -101,7 +99,6 @@ def limits_of(histogram: pd.DataFrame) -> pd.DataFrame:
             expected = max(total * mass, 0.25)
             if n[i] / expected >= LIMIT_RATIO:
                 out.append((unit, int(length[i]), m, s, int(n[i]), float(1.0 - expected / n[i])))
-        del mu, sigma
     return pd.DataFrame(out, columns=["unit", "limit", "mu", "sigma", "n", "posterior"])
 
 
