@@ -209,7 +209,9 @@ class Reader:
         wide = np.add.reduceat(_wide(points[starts]).astype(np.int64), at)
         solid = (size - wide >= MIN_WORDS) | (wide >= 2 * MIN_WORDS)
         out["sentence"][unit_doc[solid & full[with_words]]] = True
-        out["chosen"] = self._choose(like, scores, at, size, unit_doc, solid, n)
+        # a further language needs a whole sentence: one that ends, or as long as one
+        whole = solid & (full[with_words] | (size - wide >= 2 * MIN_WORDS) | (wide >= 4 * MIN_WORDS))
+        out["chosen"] = self._choose(like, scores, at, size, unit_doc, whole, n)
         post, out["proportions"] = _mixture(like, out["chosen"], unit_doc, size, n)
         lang = post.argmax(1)
         return out | {"doc": unit_doc, "start": unit_starts[with_words], "end": unit_ends[with_words], "lang": lang, "confidence": post[np.arange(len(lang)), lang]}
