@@ -268,6 +268,7 @@ SQL = {
     "tag_split": f"WITH {_PAGES} SELECT document_id, page_idx, tag, count(*) AS sections, CAST(sum(length(text)) AS BIGINT) AS chars FROM t WHERE trim(text, ' ') <> '' GROUP BY 1, 2, 3",
     "think_strip": "SELECT doc_id, md5(text || '!') AS digest FROM documents WHERE text IS NOT NULL",
     "fence_strip": "SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL AND NOT contains(text, '```')",
+    "paragraphs": "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS p FROM documents WHERE text IS NOT NULL) WHERE regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY 1",
     "json_shred": "SELECT event_id, unnest(json_keys(props)) AS key, props ->> ('$.' || unnest(json_keys(props))) AS value FROM events",
     "json_entities": """WITH j AS (SELECT content_id, from_json(raw, '{"items":[{"ordinal":"INTEGER","content":"VARCHAR","depth":"INTEGER"}]}') AS r FROM content_nodes WHERE type = 'list' AND raw IS NOT NULL),
         x AS (SELECT content_id, unnest(r.items) AS i, unnest(range(0, len(r.items))) AS n FROM j) SELECT content_id, CAST(n AS INT) AS item, i.ordinal AS ordinal, i.content AS content, i.depth AS depth FROM x""",
@@ -294,5 +295,5 @@ SQL = {
         SELECT l.library_id, coalesce(u.n, 0) AS unsummarised, coalesce(w.n, 0) AS waiting, coalesce(u.n, 0) = 0 AND coalesce(w.n, 0) = 0 AS ready FROM (SELECT DISTINCT library_id FROM documents) l LEFT JOIN u ON l.library_id = u.library_id LEFT JOIN w ON l.library_id = w.library_id""",
     "drained_libraries": "SELECT library_id, count(*) FILTER (WHERE status IN ('queued', 'processing')) = 0 AS drained FROM documents GROUP BY 1",
 }
-_NAMES = [*SQL, "meta_strip", "paragraphs", "plain_markdown", "document_summaries", "markdown_export"]
+_NAMES = [*SQL, "meta_strip", "plain_markdown", "document_summaries", "markdown_export"]
 QUERIES = {n: globals()[n] for n in _NAMES}

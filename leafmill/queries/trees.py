@@ -134,8 +134,9 @@ SQL = {
         SELECT block_id, array_to_string(list_filter([{', '.join(f"CASE WHEN s{i} > greatest(0, {', '.join(f'coalesce(s{j}, 0)' for j in range(1, i)) or '0'}) THEN t{i} END" for i in range(1, 7))}], lambda x: x IS NOT NULL), ' > ') AS path FROM h""",
     "page_ordinals": f"WITH {_B} SELECT block_id, CAST(row_number() OVER (PARTITION BY document_id, page_idx ORDER BY block_id) - 1 AS INT) AS ordinal FROM b",
     "block_ordinals": "SELECT content_id, row_number() OVER (PARTITION BY document_id ORDER BY coalesce(page_no, sheet_no), ordinal, content_id) AS place FROM content_nodes",
+    "clean_texts": f"WITH {_B} SELECT block_id, md5({_CLEAN.format(t='text')}) AS digest FROM b WHERE text IS NOT NULL",
     "table_search_texts": "SELECT table_id, concat_ws(chr(10), l.name, c.title, array_to_string(list_transform(column_specs, lambda s: s.header), chr(10))) AS made FROM table_catalog c LEFT JOIN libraries l USING (library_id)",
     "library_tree": "SELECT library_id, count(*) AS children, md5(string_agg(lpad(CAST(doc_id AS VARCHAR), 12, '0'), ',' ORDER BY lpad(CAST(doc_id AS VARCHAR), 12, '0'))) AS digest FROM documents GROUP BY 1",
 }
-_NAMES = [*SQL, "clean_texts", "search_texts", "stitched_tables", "content_tree"]
+_NAMES = [*SQL, "search_texts", "stitched_tables", "content_tree"]
 QUERIES = {n: globals()[n] for n in _NAMES}
