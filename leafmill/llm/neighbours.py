@@ -6,7 +6,9 @@ shard of its nearest centre and queries the ``probes`` nearest shards. Each
 shard builds a robust-pruned directed graph: greedy (beam) searches propose
 neighbours, the relaxed distance rule ``alpha * d(p*, p') <= d(p, p')`` prunes
 them to a diverse few, edges are made both ways and pruned again. Queries run a
-beam search over the graph, all queries of a shard at once in numpy.
+beam search over the graph, all queries of a shard at once in numpy. Pruning would
+keep one of several equal vectors, so a graph holds one vector of each cell of
+``CELL`` a dimension; what else lies in a found cell is compared exactly.
 
 Accuracy: :func:`recall` measures the lists of every query whose id is
 divisible by 100 against an exact scan of its library.
@@ -31,6 +33,8 @@ DIMENSIONS, K, SHARD_ROWS, PROBES = 64, 10, 2048, 3
 DEGREE, BEAM, BUILD_BEAM, ALPHA = 24, 48, 48, 1.15
 #: Vectors a library's centres are fitted on.
 SAMPLE_PER_CENTRE = 24
+#: Width of a cell in each dimension; vectors of one cell differ by less than the root of 64 cells.
+CELL = 1e-4
 
 
 def usable(df: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -161,6 +165,65 @@ def _reverse(vectors: np.ndarray, edges: np.ndarray, batch: np.ndarray, degree:
         edges[nodes[part]] = prune(vectors, nodes[part], np.concatenate([edges[nodes[part]], lists], 1), degree, alpha)
 
 
+# ---------------------------------------------------------------- equal vectors
+
+
+def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each group of equal rows, and each row's group."""
+    _, first, group = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    return first, group.reshape(-1)
+
+
+def _members(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by group in order, and each group's start and size among them."""
+    size = np.bincount(group)
+    return np.argsort(group, kind="stable"), np.cumsum(size) - size, size
+
+
+def _expand(groups: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the members of each of ``groups``, and the entry of ``groups`` each belongs to."""
+    n = size[groups]
+    of = np.repeat(np.arange(len(groups)), n)
+    return start[groups][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of
+
+
+def nearest(base: np.ndarray, queries: np.ndarray, k: int = K, beam: int = BEAM, degree: int = DEGREE):
+    """For blocks of queries: query row, base row and similarity of the k + 1 nearest base rows and some more.
+
+    Of equal base rows the first k + 1 can be in a list; of the vectors of a cell all are compared.
+    """
+    first, copy = _groups((base + np.float32(0)).view(np.int32))
+    by_copy, copy_start, copies = _members(copy)
+    copies = np.minimum(copies, k + 1)
+    distinct = base[first]
+    cell_first, cell = _groups(np.round(distinct / CELL).astype(np.int16))
+    by_cell, cell_start, cell_size = _members(cell)
+    by_cell = by_cell[np.lexsort((first[by_cell], cell[by_cell]))]  # equal similarities go to the earlier row
+    rows_in_cell = np.bincount(cell, weights=copies).astype(np.int64)
+    graph = distinct[cell_first]
+    edges, entries = build(graph, degree)
+    slack = 2 * CELL * base.shape[1] ** 0.5
+    for a in range(0, len(queries), 1024):
+        q = queries[a : a + 1024]
+        found, sims = search(graph, edges, entries, q, max(beam, k + 1))
+        size = np.where(found >= 0, rows_in_cell[found], 0)
+        needed = (found >= 0) & (np.cumsum(size, 1) - size <= k)
+        last = np.where(needed, sims, np.inf).min(1, keepdims=True)
+        row, col = np.nonzero(needed | ((found >= 0) & (sims >= last - slack)))
+        at = found[row, col]
+        one = cell_size[at] == 1
+        parts = [(row[one], cell_first[at[one]], sims[row[one], col[one]])]
+        for c in np.unique(at[~one]):
+            own, rows = by_cell[cell_start[c] : cell_start[c] + cell_size[c]], row[at == c]
+            for b in range(0, len(rows), step := max(1, 2_000_000 // len(own))):
+                s = q[rows[b : b + step]] @ distinct[own].T
+                top = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
+                parts.append((np.repeat(rows[b : b + step], top.shape[1]), own[top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+        row, at, sim = (np.concatenate(x) for x in zip(*parts, strict=True))
+        place, of = _expand(at, copy_start, copies)
+        yield a + row[of], by_copy[place], sim[of]
+
+
 # ---------------------------------------------------------------- shards
 
 
@@ -223,15 +286,15 @@ def neighbours(df: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, probes:
         none = pd.DataFrame({"content_id": [], "library_id": [], "neighbour_id": [], "similarity": []})
         if not len(base):
             return none
-        edges, entries = build(base, degree)
         out = []
-        for a in range(0, len(v), 1024):
-            found, sims = search(base, edges, entries, v[a : a + 1024], max(beam, k + 1))
-            real = found >= 0
-            real &= base_ids[found] != ids[a : a + 1024, None]
-            keep = real & (np.cumsum(real, 1) <= k)
-            row, col = np.nonzero(keep)
-            out.append(pd.DataFrame({"content_id": ids[a : a + 1024][row], "library_id": key[0], "neighbour_id": base_ids[found[row, col]], "similarity": sims[row, col].astype(float)}))
+        for row, at, sim in nearest(base, v, k, beam, degree):
+            real = base_ids[at] != ids[row]
+            row, at, sim = row[real], at[real], sim[real]
+            order = np.lexsort((at, -sim, row))  # base rows are in order of their ids
+            row, at, sim = row[order], at[order], sim[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, at, sim = row[keep], at[keep], sim[keep]
+            out.append(pd.DataFrame({"content_id": ids[row], "library_id": key[0], "neighbour_id": base_ids[at], "similarity": sim.astype(float)}))
         return pd.concat(out, ignore_index=True)
 
     placed = rows.mapInPandas(assign, "content_id bigint, library_id int, shard int, home boolean, v array<float>")

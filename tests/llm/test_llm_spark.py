@@ -56,6 +56,32 @@ def test_neighbours(spark):
     assert got.where("content_id in (241, 242, 300, 301, 302, 303)").count() == 0 and neighbours.neighbours(df.limit(0)).count() == 0
 
 
+def _skewed():
+    """Random vectors, 40 equal ones, 40 parallel ones of other lengths."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 64))
+    v = np.concatenate([base, np.repeat(base[:1], 39, 0), base[1] * rng.uniform(0.1, 9, (39, 1))])[rng.permutation(378)]
+    return v
+
+
+def test_neighbours_among_copies(spark):
+    v = _skewed()
+    df = spark.createDataFrame([(i, 1, [float(x) for x in r]) for i, r in enumerate(v)], "content_id bigint, library_id int, embedding array<float>")
+    got = neighbours.neighbours(df).toPandas()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, -2)
+    assert got.groupby("content_id").size().tolist() == [10] * len(v)
+    best = np.sort(sim, 1)[:, ::-1][:, :10]
+    mine = np.array([sim[a, b] for a, b in got.sort_values(["content_id", "rank"])[["content_id", "neighbour_id"]].to_numpy()]).reshape(-1, 10)
+    assert (mine >= best - 1e-5).mean() >= 0.99
+    same = sim > 1 - 1e-6
+    assert (mine[same.sum(1) >= 10] > 1 - 1e-6).all()
+    a = int(np.nonzero((v[:, None] == v[None]).all(2).sum(1) == 40)[0][0])
+    copies = [j for j in np.nonzero((v == v[a]).all(1))[0] if j != a]
+    assert got[got["content_id"] == a].sort_values("rank")["neighbour_id"].tolist() == copies[:10]
+
+
 def test_mixing(spark):
     counts = spark.createDataFrame([(i, "big" if i % 3 else "small", 0, 1 + i % 50) for i in range(900)] + [(900, "none", 0, 9), (901, None, 0, 9), (902, "big", 0, 0)], "doc_id bigint, source string, part int, tokens bigint")
     targets = spark.createDataFrame([("big", 0.4, 1), ("small", 0.5, 5), ("gone", 0.1, 3)], "source string, target_share double, max_repeats int")
