@@ -21,6 +21,8 @@ shorter lists; rows of one id delivered twice count once; a null library is a li
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -257,10 +259,16 @@ def centres(rows: DataFrame, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE_
     return out
 
 
-def neighbours(df: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, probes: int = PROBES, beam: int = BEAM, degree: int = DEGREE) -> DataFrame:
+def _by_shard(placed: DataFrame) -> DataFrame:
+    """Few bytes, much work: a fixed number of partitions, which adaptive execution doesn't merge."""
+    slots = placed.sparkSession.sparkContext.defaultParallelism
+    return placed.repartition(max(4 * slots, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "library_id", "shard")
+
+
+def neighbours(df: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, probes: int = PROBES, beam: int = BEAM, degree: int = DEGREE, fitted=None) -> DataFrame:
     """content_id, library_id, neighbour_id, similarity and rank: up to k rows a usable vector."""
     rows = usable(df)
-    fitted = rows.sparkSession.sparkContext.broadcast(centres(rows, shard_rows))  # bounded in centres()
+    fitted = fitted or rows.sparkSession.sparkContext.broadcast(centres(rows, shard_rows))  # bounded in centres()
 
     def assign(frames):
         for frame in frames:
@@ -297,10 +305,7 @@ def neighbours(df: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, probes:
             out.append(pd.DataFrame({"content_id": ids[row], "library_id": key[0], "neighbour_id": base_ids[at], "similarity": sim.astype(float)}))
         return pd.concat(out, ignore_index=True)
 
-    placed = rows.mapInPandas(assign, "content_id bigint, library_id int, shard int, home boolean, v array<float>")
-    # few bytes, much work: a fixed number of partitions, which adaptive execution doesn't merge
-    slots = rows.sparkSession.sparkContext.defaultParallelism
-    placed = placed.repartition(max(4 * slots, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "library_id", "shard")
+    placed = _by_shard(rows.mapInPandas(assign, "content_id bigint, library_id int, shard int, home boolean, v array<float>"))
     found = placed.groupBy("library_id", "shard").applyInPandas(query, "content_id bigint, library_id int, neighbour_id bigint, similarity double")
 
     def merge(column):  # the lists of a vector's shards, at most probes * k entries
@@ -322,15 +327,75 @@ def exact(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     return best.select(F.col("q").alias("content_id"), F.col("content_id").alias("neighbour_id"), "similarity")
 
 
-def p5_found(spark: SparkSession, folder: str, least: float = 0.97) -> DataFrame:
-    """Pairs from the lists with a cosine similarity of at least ``least``, checked exactly."""
-    nodes = table(spark, folder, "node_embeddings")
-    near = neighbours(nodes).where(F.col("similarity") >= least - 1e-4)
-    pairs = near.select(F.least("content_id", "neighbour_id").alias("content_id_a"), F.greatest("content_id", "neighbour_id").alias("content_id_b")).distinct()
-    v = usable(nodes).select("content_id", "v")
-    both = pairs.join(v.toDF("content_id_a", "va"), "content_id_a").join(v.toDF("content_id_b", "vb"), "content_id_b")
+def within(rows: DataFrame, dense: DataFrame, least: float, fitted) -> DataFrame:
+    """All pairs of at least ``least`` that have a ``dense`` vector (content_id) in them, exactly.
+
+    A vector nearer to another centre lies beyond the plane between both centres; a dense
+    one queries every shard whose plane is within the distance that ``least`` allows.
+    """
+    marked = rows.join(dense.withColumn("dense", F.lit(True)), "content_id", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    marked = marked.join(marked.where("dense").select("library_id").distinct(), "library_id", "left_semi")
+    reach = max(0.0, 2 - 2 * least) ** 0.5
+
+    def assign(frames):
+        for frame in frames:
+            library = frame["library_id"].to_numpy()
+            out = []
+            for lib in np.unique(library):
+                own = frame[library == lib]
+                c = fitted.value.get(int(lib))
+                if c is None:
+                    out.append(own.assign(shard=0, home=True))
+                    continue
+                s = _stack(own["v"]) @ c.T
+                home = s.argmax(1)
+                out.append(own.assign(shard=home, home=True))
+                gap = np.linalg.norm(c[home][:, None] - c[None], axis=2)
+                near = s.max(1, keepdims=True) - s <= reach * gap + 1e-4
+                near[np.arange(len(own)), home] = False
+                row, shard = np.nonzero(near & own["dense"].to_numpy(bool)[:, None])
+                out.append(own.iloc[row].assign(shard=shard, home=False))
+            if out:
+                yield pd.concat(out)[["content_id", "library_id", "shard", "home", "dense", "v"]]
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(frames))
+        home, dense = frame["home"].to_numpy(bool), frame["dense"].to_numpy(bool)
+        v, ids = _stack(frame["v"]).astype(float), frame["content_id"].to_numpy()
+        base, base_ids, base_dense = v[home], ids[home], dense[home]
+        q, q_ids = v[dense], ids[dense]
+        for a in range(0, len(q), 256):
+            for b in range(0, len(base), 4096):
+                x = q_ids[a : a + 256, None]
+                y = base_ids[None, b : b + 4096]
+                hit = (q[a : a + 256] @ base[b : b + 4096].T >= least) & ((x < y) | ((x > y) & ~base_dense[None, b : b + 4096]))
+                row, col = np.nonzero(hit)
+                x, y = x[row, 0], y[0, col]
+                yield pd.DataFrame({"content_id_a": np.minimum(x, y), "content_id_b": np.maximum(x, y)})
+
+    placed = _by_shard(marked.mapInPandas(assign, "content_id bigint, library_id int, shard int, home boolean, dense boolean, v array<float>"))
+    return placed.groupBy("library_id", "shard").applyInPandas(pairs, "content_id_a bigint, content_id_b bigint")
+
+
+def pairs(nodes: DataFrame, least: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Pairs of a library with a cosine similarity of at least ``least``, checked exactly.
+
+    They are taken from the lists; a vector whose list is full of such neighbours is compared with its library.
+    """
+    rows = usable(nodes)
+    fitted = rows.sparkSession.sparkContext.broadcast(centres(rows, shard_rows))  # bounded in centres()
+    near = cut(neighbours(nodes, shard_rows=shard_rows, fitted=fitted).where(F.col("similarity") >= least - 1e-4))
+    dense = near.where(F.col("rank") == K).select("content_id")
+    listed = near.select(F.least("content_id", "neighbour_id").alias("content_id_a"), F.greatest("content_id", "neighbour_id").alias("content_id_b")).distinct()
+    v = rows.select("content_id", "v")
+    both = listed.join(v.toDF("content_id_a", "va"), "content_id_a").join(v.toDF("content_id_b", "vb"), "content_id_b")
     sim = F.aggregate(F.zip_with("va", "vb", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return both.where(sim >= least).select("content_id_a", "content_id_b")
+    return both.where(sim >= least).select("content_id_a", "content_id_b").union(within(rows, dense, least, fitted)).distinct()
+
+
+def p5_found(spark: SparkSession, folder: str, least: float = 0.97) -> DataFrame:
+    """All pairs with a cosine similarity of at least ``least``."""
+    return pairs(table(spark, folder, "node_embeddings"), least)
 
 
 def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:

@@ -82,6 +82,22 @@ def test_neighbours_among_copies(spark):
     assert got[got["content_id"] == a].sort_values("rank")["neighbour_id"].tolist() == copies[:10]
 
 
+def test_pairs_beyond_the_lists(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(2, 64))
+    v = np.concatenate([_skewed(), middle[0] + 0.1 * rng.normal(size=(30, 64)), middle[1] + 0.17 * rng.normal(size=(25, 64))])
+    rows = [(i, 1, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, 2, [float(x) for x in v[0]])]
+    df = spark.createDataFrame(rows, "content_id bigint, library_id int, embedding array<float>")
+    df.write.parquet(str(tmp_path / "node_embeddings.parquet"))
+    unit = v.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    truth = {(int(a), int(b)) for a, b in zip(*np.nonzero(unit @ unit.T >= 0.97), strict=True) if a < b}
+    assert len(truth) > 2 * 780 + 435
+    for found in (neighbours.p5_found(spark, str(tmp_path)), neighbours.pairs(df, 0.97, shard_rows=60)):
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == truth
+
+
 def test_mixing(spark):
     counts = spark.createDataFrame([(i, "big" if i % 3 else "small", 0, 1 + i % 50) for i in range(900)] + [(900, "none", 0, 9), (901, None, 0, 9), (902, "big", 0, 0)], "doc_id bigint, source string, part int, tokens bigint")
     targets = spark.createDataFrame([("big", 0.4, 1), ("small", 0.5, 5), ("gone", 0.1, 3)], "source string, target_share double, max_repeats int")
