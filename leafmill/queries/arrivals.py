@@ -65,6 +65,15 @@ def html_tables(spark, folder):
 def html_paragraphs(spark, folder):
     """Block texts written as a page of headings, paragraphs and links, read back."""
     b = T.delivered(table(spark, folder, "blocks")).where("text is not null and type in ('text', 'title', 'caption') and not text rlike '[^ -~]' and trim(text) <> ''")
+    return _read_back(b)
+
+
+def html_blocks(spark, folder):
+    """The same of all blocks that aren't blank, of every type; SQL doesn't fold white space as the reader does."""
+    return _read_back(T.delivered(table(spark, folder, "blocks")).where(r"text rlike r'(?U)\S'"))
+
+
+def _read_back(b):
     page = F.concat(F.lit("<html><head><title>t</title></head><body><h2>"), F.col("block_id").cast("string"), F.lit("</h2><p>"), _escape(F.col("text")), F.lit(' <a href="#x">up</a></p></body></html>'))
     got = html.read_html(b.select("block_id", page.alias("html")), "block_id", "html")
     return got.select("block_id", "ordinal", "type", "text_level", F.md5("text").alias("digest"))
@@ -86,4 +95,4 @@ SQL = {
     "html_paragraphs": f"""WITH {_B}, k AS (SELECT * FROM b WHERE text IS NOT NULL AND type IN ('text', 'title', 'caption') AND NOT regexp_matches(text, '[^ -~]') AND trim(text) <> '')
         SELECT block_id, 0 AS ordinal, 'title' AS type, 2 AS text_level, md5(CAST(block_id AS VARCHAR)) AS digest FROM k UNION ALL SELECT block_id, 1, 'text', NULL, md5(trim(regexp_replace(text, ' +', ' ', 'g')) || ' up') FROM k""",
 }
-QUERIES = {n: globals()[n] for n in SQL}
+QUERIES = {n: globals()[n] for n in [*SQL, "html_blocks"]}

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import zipfile
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.api import Engine
 from leafmill.operators import pagemd
 from leafmill.plans import answer
+from leafmill.queries import arrivals
 from leafmill.sources import detect, files, html, markdown, office, sinks
 
 
@@ -63,6 +65,17 @@ def test_html_blocks():
     assert html.blocks_of(None) == [] and html.blocks_of("") == []
 
 
+def test_html_of_all_blocks(spark, tmp_path):
+    texts = [("text", "Zwölf  Häuser\nam\u00a0Fluss"), ("code", "if a < b:\n    x &= 1"), ("list", "- a\r\n- b"), ("title", "Plain"), ("caption", " \t\u00a0\n"), ("header", ""), ("number", "12"), ("text", None)]
+    rows = [(i, 1, 0, k, x, f"2024-01-0{d}") for i, (k, x) in enumerate(texts) for d in (1, 2)]
+    df = spark.createDataFrame(rows, "block_id bigint, document_id bigint, page_idx int, type string, text string, received_at string")
+    df.withColumn("received_at", F.col("received_at").cast("timestamp")).write.parquet(str(tmp_path / "blocks.parquet"))
+    got = arrivals.html_blocks(spark, str(tmp_path)).collect()
+    want = {0: "Zwölf Häuser am Fluss", 1: "if a < b: x &= 1", 2: "- a - b", 3: "Plain", 6: "12"}
+    assert {(r["block_id"], r["ordinal"], r["type"]) for r in got} == {(i, o, k) for i in want for o, k in ((0, "title"), (1, "text"))} and len(got) == 10
+    assert {r["block_id"]: r["digest"] for r in got if r["ordinal"]} == {i: hashlib.md5(f"{x} up".encode()).hexdigest() for i, x in want.items()}
+
+
 def test_markdown_blocks():
     md = "# One\n\npara **bold** [l](http://u)\nmore\n\n- a\n  - b\n\n```py\nx\n```\n\n| h | i |\n|---|---|\n| 1 | 2 |\n\n$$\na+b\n$$\nTitle\n===\n"
     got = [(b["type"], b["text"] or b["grid"]) for b in markdown.blocks_of(md)]
