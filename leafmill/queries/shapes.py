@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import grid as G
@@ -180,8 +181,6 @@ def inventory(spark, folder):
 
 
 def table_labels(spark, folder):
-    from pyspark.sql import Window
-
     c = table(spark, folder, "table_catalog")
     n = F.count(F.lit(1)).over(Window.partitionBy("title"))
     k = F.row_number().over(Window.partitionBy("title").orderBy("table_id"))
@@ -199,6 +198,13 @@ def summary_upsert(spark, folder):
     return D.upsert(t.where("content_id % 2 = 0"), t.where("content_id % 3 = 0"), "content_id", "loaded_at").select("content_id", "loaded_at")
 
 
+def summary_upsert_all(spark, folder):
+    """The first load of every content_id against its later ones."""
+    first = Window.partitionBy("content_id").orderBy(F.asc_nulls_first("loaded_at"), "text")
+    t = table(spark, folder, "block_texts").withColumn("load", F.row_number().over(first))
+    return D.upsert(t.where("load = 1"), t.where("load > 1"), "content_id", "loaded_at").select("content_id", "loaded_at")
+
+
 def latest_loads(spark, folder):
     return table(spark, folder, "block_texts").groupBy("content_id").agg(F.max("loaded_at").alias("loaded_at"), F.count(F.lit(1)).alias("loads"))
 
@@ -288,6 +294,7 @@ SQL = {
     "table_labels": "SELECT table_id, CASE WHEN count(*) OVER (PARTITION BY title) > 1 THEN title || ' #' || row_number() OVER (PARTITION BY title ORDER BY table_id) ELSE title END AS label FROM table_catalog",
     "citation_audit": "SELECT doc_id, 'Made Up 12; sic' AS fabricated FROM documents WHERE title IS NOT NULL",
     "summary_upsert": "SELECT content_id, max(loaded_at) AS loaded_at FROM block_texts WHERE content_id % 2 = 0 OR content_id % 3 = 0 GROUP BY 1",
+    "summary_upsert_all": "SELECT content_id, max(loaded_at) AS loaded_at FROM block_texts GROUP BY 1",
     "latest_loads": "SELECT content_id, max(loaded_at) AS loaded_at, count(*) AS loads FROM block_texts GROUP BY 1",
     "image_dedup": "SELECT sha256(text) AS digest, min(doc_id) AS kept, count(*) AS copies FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY 1",
     "readiness": """WITH u AS (SELECT library_id, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT document_id FROM content_batches WHERE summary IS NOT NULL) GROUP BY 1),

@@ -6,6 +6,7 @@ from leafmill.functions import dtypes
 from leafmill.operators import grid as G
 from leafmill.operators import reduce as D
 from leafmill.operators import temporal
+from leafmill.queries import shapes
 
 
 def kinds(spark, columns):
@@ -74,6 +75,14 @@ def test_upsert_takes_the_latest(spark):
     assert {r["k"]: r["v"] for r in D.upsert(a, b, "k", "at").collect()} == {1: "new", 2: "kept"}
 
 
+def test_upsert_of_all_loads(spark, tmp_path):
+    loads = [(i, f"t{n}", f"2024-01-0{n}") for i in range(12) for n in range(1, 2 + i % 3)] + [(12, "x", None), (12, "y", "2024-01-05")]
+    df = spark.createDataFrame(loads, "content_id bigint, text string, loaded_at string").withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "block_texts.parquet"))
+    got = {r["content_id"]: str(r["loaded_at"])[:10] for r in shapes.summary_upsert_all(spark, str(tmp_path)).collect()}
+    assert got == {i: f"2024-01-0{1 + i % 3}" for i in range(12)} | {12: "2024-01-05"}
+
+
 def test_asof_and_interval(spark):
     left = spark.createDataFrame([(1, 10, "a"), (1, 5, "b"), (2, 7, "c")], "k int, at int, name string")
     right = spark.createDataFrame([(1, 6, 100), (1, 10, 200), (2, 8, 300)], "k int, at int, v int")
