@@ -76,15 +76,24 @@ def number_cells(spark, folder):
     return _cells(spark, folder).where(G.number_of(F.col("value")).isNotNull()).groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pages(spark, folder):
+def _pages(spark, folder, keep="not contains(text, '```') and not contains(text, '==')"):
     tag = F.when(F.col("type") == "list", "==LIST==").when(F.col("type") == "code", "==CODE==").when(F.col("type") == "equation", "==EQUATION==").when(F.col("type").isin("header", "number"), "==PARATEXT==").otherwise("==TEXT==")
-    b = T.delivered(table(spark, folder, "blocks")).where("text is not null and not contains(text, '```') and not contains(text, '==')")
+    b = T.delivered(table(spark, folder, "blocks")).where(f"text is not null and {keep}")
     md = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", F.concat_ws("\n", tag, "text").alias("t")))), lambda x: x["t"]), "\n")
     return b.groupBy("document_id", "page_idx").agg(md.alias("text"))
 
 
 def tag_split(spark, folder):
-    s = P.sections(_pages(spark, folder), ["document_id", "page_idx"])
+    return _sections(_pages(spark, folder))
+
+
+def tag_split_all(spark, folder):
+    """Pages of all blocks: a fence line in a block opens code to the next one or the page's end, where tags are content; a tag line in a block opens a section."""
+    return _sections(_pages(spark, folder, "true"))
+
+
+def _sections(pages):
+    s = P.sections(pages, ["document_id", "page_idx"])
     return s.groupBy("document_id", "page_idx", "tag").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.length("content")).cast("bigint").alias("chars"))
 
 
@@ -98,6 +107,12 @@ def fence_strip(spark, folder):
     return d.select("doc_id", F.md5(P.strip_fence(F.concat(F.lit("```markdown\n"), "text", F.lit("\n```")))).alias("digest"))
 
 
+def fence_strip_all(spark, folder):
+    """Of all texts: a text whose fence lines don't pair up keeps the fence around it."""
+    d = table(spark, folder, "documents").where("text is not null")
+    return d.select("doc_id", F.md5(P.strip_fence(F.concat(F.lit("```markdown\n"), "text", F.lit("\n```")))).alias("digest"))
+
+
 def meta_strip(spark, folder):
     d = table(spark, folder, "documents").where("text is not null")
     return d.select("doc_id", F.length(P.strip_meta(F.concat(F.lit("Sure, here it is\n---\n"), "text"))).cast("bigint").alias("chars"))
@@ -302,5 +317,5 @@ SQL = {
         SELECT l.library_id, coalesce(u.n, 0) AS unsummarised, coalesce(w.n, 0) AS waiting, coalesce(u.n, 0) = 0 AND coalesce(w.n, 0) = 0 AS ready FROM (SELECT DISTINCT library_id FROM documents) l LEFT JOIN u ON l.library_id = u.library_id LEFT JOIN w ON l.library_id = w.library_id""",
     "drained_libraries": "SELECT library_id, count(*) FILTER (WHERE status IN ('queued', 'processing')) = 0 AS drained FROM documents GROUP BY 1",
 }
-_NAMES = [*SQL, "meta_strip", "plain_markdown", "document_summaries", "markdown_export"]
+_NAMES = [*SQL, "tag_split_all", "fence_strip_all", "meta_strip", "plain_markdown", "document_summaries", "markdown_export"]
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -1,3 +1,5 @@
+import hashlib
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -83,6 +85,23 @@ def test_upsert_of_all_loads(spark, tmp_path):
     assert got == {i: f"2024-01-0{1 + i % 3}" for i in range(12)} | {12: "2024-01-05"}
 
 
+def test_fences_and_markers_in_blocks(spark, tmp_path):
+    texts = [(1, "text", "a"), (1, "code", "```\n==LIST==\n```"), (1, "list", "- b"), (2, "title", "==CODE==\nx = 1"), (2, "text", "p == q"), (3, "code", "```py\ny"), (3, "list", "- c"), (4, "text", "==HELLO==")]
+    rows = [(i, 1, p, k, x, "2024-01-01") for i, (p, k, x) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "block_id bigint, document_id bigint, page_idx int, type string, text string, received_at string")
+    df.withColumn("received_at", F.col("received_at").cast("timestamp")).write.parquet(str(tmp_path / "blocks.parquet"))
+    got = {(r["page_idx"], r["tag"], r["sections"], r["chars"]) for r in shapes.tag_split_all(spark, str(tmp_path)).collect()}
+    assert got == {(1, "TEXT", 1, 1), (1, "CODE", 1, 16), (1, "LIST", 1, 3), (2, "CODE", 1, 5), (2, "TEXT", 1, 6), (3, "CODE", 1, 20), (4, "TEXT", 1, 9)}
+
+
+def test_fences_in_documents(spark, tmp_path):
+    texts = ["plain", "a\n```\nb\n```", "a\n```\nb", "in a ``` line"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["digest"] for r in shapes.fence_strip_all(spark, str(tmp_path)).collect()}
+    want = [texts[0], texts[1], f"```markdown\n{texts[2]}\n```", texts[3]]
+    assert got == {i: hashlib.md5(x.encode()).hexdigest() for i, x in enumerate(want)}
+
+
 def test_asof_and_interval(spark):
     left = spark.createDataFrame([(1, 10, "a"), (1, 5, "b"), (2, 7, "c")], "k int, at int, name string")
     right = spark.createDataFrame([(1, 6, 100), (1, 10, 200), (2, 8, 300)], "k int, at int, v int")
