@@ -40,3 +40,29 @@ def test_empty(spark, catalog):
     rows = spark.createDataFrame([], "table_id bigint, row_idx bigint, values_text string, received_at timestamp")
     assert R.read_lines(rows, catalog).count() == 0
     assert R.read_lines(rows, catalog.limit(0)).count() == 0
+
+
+def test_wide_table(spark):
+    """More columns than any fixed buffer, all of them read and checked."""
+    wide = spark.createDataFrame([(1, ",", [(f"c{i}", "integer") for i in range(1100)])], "table_id bigint, delimiter string, column_specs array<struct<header:string,dtype:string>>")
+    lines = [",".join(["x"] * 1100), ",".join(["7"] * 1100), ",".join(["7"] * 1099), ",".join(["7"] * 1099 + ["+7"]), ",".join(['"7"'] * 1100)]
+    rows = spark.createDataFrame([(1, i, v, None) for i, v in enumerate(lines)], "table_id bigint, row_idx bigint, values_text string, received_at timestamp")
+    got = {r["row_idx"]: r for r in R.read_lines(rows, wide).select("row_idx", "reason", "values").collect()}
+    assert [got[i]["reason"] for i in range(5)] == ["value of column 1", None, "field count", "value of column 1100", None]
+    assert got[1]["values"] == got[4]["values"] == ["7"] * 1100
+
+
+def test_many_shapes(spark, monkeypatch):
+    """More shapes than a plan holds are read in passes, and no line is lost."""
+    monkeypatch.setattr(R, "SHAPES_A_PASS", 2)
+    catalog = spark.createDataFrame([(i, ",", [("c", k)] * n) for i, (k, n) in enumerate([("integer", 1), ("integer", 2), ("date", 1), ("string", 3), ("boolean", 2)])], "table_id bigint, delimiter string, column_specs array<struct<header:string,dtype:string>>")
+    rows = spark.createDataFrame([(0, "1"), (1, "1,x"), (2, "2024-02-30"), (3, "a,b,c"), (4, "y,n"), (9, "?"), (0, None)], "table_id bigint, values_text string").withColumn("row_idx", F.lit(0)).withColumn("received_at", F.lit(None).cast("timestamp"))
+    got = {(r["table_id"], r["values_text"]): r["reason"] for r in R.read_lines(rows, catalog).select("table_id", "values_text", "reason").collect()}
+    assert got == {(0, "1"): None, (1, "1,x"): "value of column 2", (2, "2024-02-30"): "value of column 1", (3, "a,b,c"): None, (4, "y,n"): None, (9, "?"): "unknown table", (0, None): "null line"}
+
+
+def test_corrupt_record_decides(spark, catalog):
+    """A line that the typed reader takes isn't read again; one it calls corrupt is, and may be valid."""
+    rows = spark.createDataFrame([(2, 0, "true|2024-01-01T10:00:00"), (2, 1, "yes|n/a"), (2, 2, "yes|never")], "table_id bigint, row_idx bigint, values_text string").withColumn("received_at", F.current_timestamp())
+    got = {r["row_idx"]: (r["reason"], r["values"], r["corrupt"]) for r in R.read_lines(rows, catalog).collect()}
+    assert got == {0: (None, ["true", "2024-01-01 10:00:00"], None), 1: (None, ["yes", "n/a"], None), 2: ("value of column 2", ["yes", "never"], "yes|never")}
