@@ -25,28 +25,58 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import bound_batches, cut, spread
 from ..session import table
 
 DIMENSIONS, K, SHARD_ROWS, PROBES = 64, 10, 2048, 3
-DEGREE, BEAM, BUILD_BEAM, ALPHA = 24, 48, 48, 1.15
-#: Vectors a library's centres are fitted on.
-SAMPLE_PER_CENTRE = 24
+DEGREE, BEAM, BUILD_BEAM, ALPHA = 24, 28, 24, 1.15
+#: Vectors a centre is fitted on, and centres the driver holds.
+SAMPLE_PER_CENTRE, MOST_CENTRES = 24, 20_000
 #: Width of a cell in each dimension; vectors of one cell differ by less than the root of 64 cells.
 CELL = 1e-4
 
 
 def usable(df: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """content_id, library_id and the unit vector of the usable rows, one an id."""
-    v = F.col("embedding")
-    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    rows = df.where(v.isNotNull() & (F.size(v) == dimensions) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)))
-    rows = rows.select(F.col("content_id").cast("bigint"), F.coalesce("library_id", F.lit(-1)).cast("int").alias("library_id"), v.cast("array<float>").alias("v"), F.sqrt(total).alias("norm"))
-    rows = rows.where((F.col("norm") > 0) & (F.col("norm") < F.lit(float("inf"))) & ~F.isnan("norm"))
-    return rows.withColumn("v", F.transform("v", lambda x: (x / F.col("norm")).cast("float"))).drop("norm").dropDuplicates(["content_id"])
+    """content_id, library_id and the unit vector of the usable rows, one an id (of several, the least vector).
+
+    Checked and scaled a batch at a time, and written down once: every later step reads the unit vectors.
+    """
+
+    def clean(batches):
+        for batch in batches:
+            column = batch.column(2)
+            size = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+            right = np.flatnonzero(size == dimensions)
+            flat = column.take(pa.array(right, pa.int64())).flatten()
+            v = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
+            norm = np.sqrt((v * v).sum(1))
+            good = np.isfinite(norm) & (norm > 0)
+            unit = (v[good] / norm[good, None]).astype(np.float32)
+            at = pa.array(right[good], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), _lists(unit)], names=["content_id", "library_id", "v"])
+
+    bound_batches(df.sparkSession)
+    rows = df.where("embedding is not null").select(F.col("content_id").cast("bigint"), F.coalesce("library_id", F.lit(-1)).cast("int").alias("library_id"), F.col("embedding").cast("array<float>"))
+    units = spread(rows).mapInArrow(clean, "content_id bigint, library_id int, v array<float>")
+    one = units.groupBy("content_id").agg(F.min(F.struct("library_id", "v")).alias("x"))
+    return cut(one.select("content_id", "x.library_id", "x.v"))
+
+
+def _lists(v: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an Arrow list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32()), pa.array(v.ravel(), pa.float32()))
+
+
+def _matrix(column) -> np.ndarray:
+    """An Arrow list column as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1 if len(column) else DIMENSIONS)
 
 
 def _stack(column) -> np.ndarray:
@@ -229,86 +259,220 @@ def nearest(base: np.ndarray, queries: np.ndarray, k: int = K, beam: int = BEAM,
 # ---------------------------------------------------------------- shards
 
 
-def centres(rows: DataFrame, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE_PER_CENTRE) -> dict[int, np.ndarray]:
-    """Centres of each library that needs more than one shard, fitted on ``sample`` vectors a centre.
+def fit_centres(v: np.ndarray, wanted: int, seed: int) -> np.ndarray:
+    """Unit centres of a sample by spherical k-means."""
+    rng = np.random.default_rng(seed & 0xFFFF)
+    c = v[rng.choice(len(v), min(wanted, len(v)), replace=False)].copy()
+    for _ in range(8):
+        near = np.concatenate([(v[a : a + 4096] @ c.T).argmax(1) for a in range(0, len(v), 4096)])
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, v)
+        empty = np.bincount(near, minlength=len(c)) == 0
+        sums[empty] = v[rng.integers(len(v), size=int(empty.sum()))]
+        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    return c
+
+
+def _draw(share) -> F.Column:
+    """Whether a row is among a sample of about ``share``; the same rows at every run."""
+    return F.pmod(F.xxhash64("content_id"), F.lit(1 << 20)) < share * (1 << 20)
 
-    What reaches the driver is ``sample`` vectors for every ``shard_rows`` rows: 1/85 of
-    the corpus by default, and never more than the bound below; beyond it shards grow instead.
+
+class Shards:
+    """How vectors are divided: centres by library on the driver, and below them, by shard, where those don't suffice.
+
+    ``top`` are at most ``most`` centres fitted on ``sample`` vectors each, so what the
+    driver holds and broadcasts is bounded (20,000 centres and 480,000 vectors by
+    default). Libraries that need more shards than that are divided again below each
+    centre, by centres that are fitted and kept on the executors: shards keep their size.
     """
-    sizes = {r["library_id"]: r["n"] for r in rows.groupBy("library_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows).collect()}
-    if not sizes:
-        return {}
-    total = sum(-(-n // shard_rows) for n in sizes.values())
-    shrink = min(1.0, 20_000 / total)  # at most 20,000 centres and 480,000 sampled vectors
-    wanted = {k: max(2, int(-(-n // shard_rows) * shrink)) for k, n in sizes.items()}
-    chance = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample * wanted[k] / n)))])[F.col("library_id")]
-    picked = rows.withColumn("chance", chance).where(F.pmod(F.xxhash64("content_id"), F.lit(1 << 20)) < F.col("chance") * (1 << 20))
-    got = picked.select("library_id", "v").toPandas()
-    out = {}
-    for k, group in got.groupby("library_id"):
-        v = _stack(group["v"])
-        rng = np.random.default_rng(int(k) & 0xFFFF)
-        c = v[rng.choice(len(v), min(wanted[k], len(v)), replace=False)].copy()
-        for _ in range(8):
-            near = (v @ c.T).argmax(1)
-            for j in range(len(c)):
-                own = v[near == j]
-                c[j] = own.mean(0) if len(own) else v[rng.integers(len(v))]
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-        out[int(k)] = c
-    return out
+
+    def __init__(self, rows: DataFrame, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE_PER_CENTRE, most: int = MOST_CENTRES) -> None:
+        self.shard_rows, self.sample = shard_rows, sample
+        sizes = {r["library_id"]: r["n"] for r in rows.groupBy("library_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows).collect()}
+        total = sum(-(-n // shard_rows) for n in sizes.values())
+        shrink = min(1.0, most / max(total, 1))
+        self.deep = shrink < 1.0
+        wanted = {k: max(2, int(-(-n // shard_rows) * shrink)) for k, n in sizes.items()}
+        top = {}
+        if sizes:
+            chance = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample * wanted[k] / n)))])[F.col("library_id")]
+            got = rows.where(_draw(chance)).select("library_id", "v").toPandas()
+            top = {int(k): fit_centres(_stack(g["v"]), wanted[k], int(k)) for k, g in got.groupby("library_id")}
+        self.top = rows.sparkSession.sparkContext.broadcast(top)
+        self.below = cut(self._fit_below(rows)) if self.deep else None
+
+    def _fit_below(self, rows: DataFrame) -> DataFrame:
+        """library_id, shard and the centres of a shard that is above twice the wanted size, in one binary value."""
+        placed = self._place(rows.withColumn("queries", F.lit(False)), _home_only)
+        sizes = placed.groupBy("library_id", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * self.shard_rows)
+        wanted = F.ceil(F.col("n") / self.shard_rows).cast("int")
+        picked = placed.join(sizes.withColumn("wanted", wanted), ["library_id", "shard"]).where(_draw(F.least(F.lit(1.0), F.lit(self.sample) * F.col("wanted") / F.col("n"))))
+
+        def fit(key, frame):
+            c = fit_centres(_stack(frame["v"]), int(frame["wanted"].iloc[0]), int(key[1]))
+            return pd.DataFrame({"library_id": [key[0]], "shard": [key[1]], "centres": [c.tobytes()]})
+
+        return picked.groupBy("library_id", "shard").applyInPandas(fit, "library_id int, shard int, centres binary")
+
+    def _place(self, rows: DataFrame, rule) -> DataFrame:
+        """Every row in its own shard (home), and as a visitor in those that ``rule`` names."""
+        top = self.top
+
+        def assign(batches):
+            for batch in batches:
+                library, v = batch.column(1).to_numpy(zero_copy_only=False), _matrix(batch.column(3))
+                queries = batch.column(2).to_numpy(zero_copy_only=False)
+                at, shard, home = [], [], []
+                for lib in np.unique(library):
+                    own = np.flatnonzero(library == lib)
+                    c = top.value.get(int(lib))
+                    row, to, first = (np.arange(len(own)), np.zeros(len(own), np.int64), np.ones(len(own), bool)) if c is None else rule(v[own], c, queries[own])
+                    at.append(own[row])
+                    shard.append(to)
+                    home.append(first)
+                if at:
+                    yield _placed(batch, np.concatenate(at), np.concatenate(shard), np.concatenate(home), batch.column(2), np.zeros(sum(map(len, at)), np.int64))
+
+        return rows.select("content_id", "library_id", "queries", "v").mapInArrow(assign, _PLACED)
+
+    def place(self, rows: DataFrame, rule, below=None) -> DataFrame:
+        """``rows``: content_id, library_id, queries, v. ``below``: the rule for visitors of a divided shard."""
+        placed = self._place(rows, rule)
+        if not self.deep:
+            return placed
+        below = below or rule
+        slots = 4 * rows.sparkSession.sparkContext.defaultParallelism
+        # the centres come before the rows of their shard, in each of the partitions a large shard is salted over
+        salt = F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("content_id", "bigint"), ("queries", "boolean"), ("home", "boolean"), ("v", "array<float>"))]
+        heads = self.below.select("library_id", "shard", "centres", *none, F.lit(0).alias("sub"), salt.alias("salt"), F.lit(0).alias("turn"))
+        body = placed.withColumns({"centres": F.lit(None).cast("binary"), "salt": F.pmod(F.xxhash64("content_id"), F.lit(slots)).cast("int"), "turn": F.lit(1)})
+        both = heads.unionByName(body).repartition(4 * slots, "library_id", "shard", "salt").sortWithinPartitions("library_id", "shard", "salt", "turn")
+
+        def divide(batches):
+            key, c = None, None
+            for batch in batches:
+                library, shard = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                head = batch.column(2)
+                edges = np.flatnonzero(np.concatenate([[True], (library[1:] != library[:-1]) | (shard[1:] != shard[:-1]), [True]]))
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    if key != (library[a], shard[a]):
+                        key, c = (library[a], shard[a]), None
+                    if head[int(a)].is_valid:
+                        c = np.frombuffer(head[int(a)].as_py(), np.float32).reshape(-1, DIMENSIONS)
+                    part = batch.slice(a, b - a)
+                    part = part.filter(pc.is_null(part.column(2)))
+                    if not part.num_rows:
+                        continue
+                    part = part.select(["content_id", "library_id", "queries", "v", "shard", "home"])
+                    n, own = part.num_rows, part.column(5).to_numpy(zero_copy_only=False)
+                    if c is None:
+                        yield _placed(part, np.arange(n), part.column(4).to_numpy(), own, part.column(2), np.zeros(n, np.int64))
+                        continue
+                    v, queries = _matrix(part.column(3)), part.column(2).to_numpy(zero_copy_only=False)
+                    row, to, first = [], [], []
+                    for mine, use in ((np.flatnonzero(own), rule), (np.flatnonzero(~own), below)):
+                        if len(mine):
+                            r, t, f = use(v[mine], c, queries[mine])
+                            row.append(mine[r])
+                            to.append(t)
+                            first.append(f & own[mine[r]])
+                    at = np.concatenate(row)
+                    yield _placed(part, at, part.column(4).to_numpy()[at], np.concatenate(first), part.column(2), np.concatenate(to))
+
+        return both.select("library_id", "shard", "centres", "content_id", "queries", "home", "v").mapInArrow(divide, _PLACED)
+
+
+_PLACED = "content_id bigint, library_id int, queries boolean, shard int, sub int, home boolean, v array<float>"
+
+
+def _placed(batch, at: np.ndarray, shard: np.ndarray, home: np.ndarray, queries, sub: np.ndarray) -> pa.RecordBatch:
+    take = pa.array(at, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0).take(take), batch.column(1).take(take), queries.take(take), pa.array(shard, pa.int32()), pa.array(sub, pa.int32()), pa.array(home, pa.bool_()), batch.column(3).take(take)],
+        names=["content_id", "library_id", "queries", "shard", "sub", "home", "v"],
+    )
+
+
+def _home_only(v: np.ndarray, c: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each vector in the shard of its nearest centre."""
+    to = np.concatenate([(v[a : a + 512] @ c.T).argmax(1) for a in range(0, len(v), 512)])
+    return np.arange(len(v)), to, np.ones(len(v), bool)
+
+
+def _probe(probes: int):
+    """The rule of searches: a vector's shard is its nearest centre's, and it visits the next ones."""
+
+    def rule(v, c, queries):
+        m, row, to = min(probes, len(c)), [], []
+        for a in range(0, len(v), 512):  # blocks, so that the scores of many centres stay small
+            s = v[a : a + 512] @ c.T
+            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+            row.append(np.repeat(np.arange(a, a + len(s)), m))
+            to.append(top.ravel())
+        row, to = np.concatenate(row), np.concatenate(to)
+        return row, to, np.arange(len(row)) % m == 0
+
+    return rule
+
+
+def _reach(least: float):
+    """The rule of exact comparisons: a query visits every shard whose dividing plane is near enough to hold ``least``."""
+    reach = max(0.0, 2 - 2 * least) ** 0.5
+
+    def rule(v, c, queries):
+        row, to, first = [], [], []
+        for a in range(0, len(v), 512):
+            s = v[a : a + 512] @ c.T
+            home = s.argmax(1)
+            gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (c[home] @ c.T)))
+            near = (s.max(1, keepdims=True) - s <= reach * gap + 1e-4) & queries[a : a + 512, None]
+            near[np.arange(len(s)), home] = True
+            r, t = np.nonzero(near)
+            row.append(r + a)
+            to.append(t)
+            first.append(t == home[r])
+        return np.concatenate(row), np.concatenate(to), np.concatenate(first)
+
+    return rule
 
 
 def _by_shard(placed: DataFrame) -> DataFrame:
     """Few bytes, much work: a fixed number of partitions, which adaptive execution doesn't merge."""
     slots = placed.sparkSession.sparkContext.defaultParallelism
-    return placed.repartition(max(4 * slots, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "library_id", "shard")
+    return placed.repartition(max(4 * slots, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "library_id", "shard", "sub").groupBy("library_id", "shard", "sub")
 
 
-def neighbours(df: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, probes: int = PROBES, beam: int = BEAM, degree: int = DEGREE, fitted=None) -> DataFrame:
+def neighbours(df: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, probes: int = PROBES, beam: int = BEAM, degree: int = DEGREE) -> DataFrame:
     """content_id, library_id, neighbour_id, similarity and rank: up to k rows a usable vector."""
     rows = usable(df)
-    fitted = fitted or rows.sparkSession.sparkContext.broadcast(centres(rows, shard_rows))  # bounded in centres()
-
-    def assign(frames):
-        for frame in frames:
-            library = frame["library_id"].to_numpy()
-            out = []
-            for lib in np.unique(library):
-                own = frame[library == lib]
-                c = fitted.value.get(int(lib))
-                if c is None:
-                    out.append(own.assign(shard=0, home=True))
-                    continue
-                m = min(probes, len(c))
-                near = np.argsort(-(_stack(own["v"]) @ c.T), axis=1, kind="stable")[:, :m]
-                for j in range(m):
-                    out.append(own.assign(shard=near[:, j], home=j == 0))
-            yield pd.concat(out)[["content_id", "library_id", "shard", "home", "v"]]
-
-    def query(key, frame):
-        frame = frame.sort_values(["home", "content_id"], ascending=[False, True], kind="stable")
+    return _lists_of(rows, Shards(rows, shard_rows), k, probes, beam, degree)
+
+
+def _lists_of(rows: DataFrame, shards: Shards, k: int = K, probes: int = PROBES, beam: int = BEAM, degree: int = DEGREE) -> DataFrame:
+    def query(key: tuple[pa.Scalar, ...], frame: pa.Table) -> pa.Table:
+        ids = frame["content_id"].to_numpy()
         home = frame["home"].to_numpy()
-        v, ids = _stack(frame["v"]), frame["content_id"].to_numpy()
+        order = np.lexsort((ids, ~home))
+        v, ids, home = _matrix(frame["v"])[order], ids[order], home[order]
         base, base_ids = v[home], ids[home]
-        none = pd.DataFrame({"content_id": [], "library_id": [], "neighbour_id": [], "similarity": []})
-        if not len(base):
-            return none
-        out = []
-        for row, at, sim in nearest(base, v, k, beam, degree):
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for row, at, sim in nearest(base, v, k, beam, degree) if len(base) else ():
             real = base_ids[at] != ids[row]
             row, at, sim = row[real], at[real], sim[real]
             order = np.lexsort((at, -sim, row))  # base rows are in order of their ids
             row, at, sim = row[order], at[order], sim[order]
             keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-            row, at, sim = row[keep], at[keep], sim[keep]
-            out.append(pd.DataFrame({"content_id": ids[row], "library_id": key[0], "neighbour_id": base_ids[at], "similarity": sim.astype(float)}))
-        return pd.concat(out, ignore_index=True)
+            parts.append((ids[row[keep]], base_ids[at[keep]], sim[keep].astype(float)))
+        mine, other, sim = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.table({"content_id": pa.array(mine, pa.int64()), "library_id": pa.array(np.full(len(mine), key[0].as_py()), pa.int32()), "neighbour_id": pa.array(other, pa.int64()), "similarity": pa.array(sim, pa.float64())})
 
-    placed = _by_shard(rows.mapInPandas(assign, "content_id bigint, library_id int, shard int, home boolean, v array<float>"))
-    found = placed.groupBy("library_id", "shard").applyInPandas(query, "content_id bigint, library_id int, neighbour_id bigint, similarity double")
+    placed = shards.place(rows.withColumn("queries", F.lit(True)), _probe(probes), _probe(1))
+    found = _by_shard(placed).applyInArrow(query, "content_id bigint, library_id int, neighbour_id bigint, similarity double")
 
-    def merge(column):  # the lists of a vector's shards, at most probes * k entries
+    def merge(column):  # the lists of a vector's shards, at most 2 * probes * k entries
         return F.slice(F.reverse(F.array_sort(column)), 1, k)
 
     lists = found.groupBy("content_id", "library_id").agg(merge(F.collect_list(F.struct("similarity", (-F.col("neighbour_id")).alias("minus")))).alias("l"))
@@ -327,41 +491,19 @@ def exact(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     return best.select(F.col("q").alias("content_id"), F.col("content_id").alias("neighbour_id"), "similarity")
 
 
-def within(rows: DataFrame, dense: DataFrame, least: float, fitted) -> DataFrame:
+def within(rows: DataFrame, dense: DataFrame, least: float, shards: Shards) -> DataFrame:
     """All pairs of at least ``least`` that have a ``dense`` vector (content_id) in them, exactly.
 
     A vector nearer to another centre lies beyond the plane between both centres; a dense
     one queries every shard whose plane is within the distance that ``least`` allows.
     """
-    marked = rows.join(dense.withColumn("dense", F.lit(True)), "content_id", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
-    marked = marked.join(marked.where("dense").select("library_id").distinct(), "library_id", "left_semi")
-    reach = max(0.0, 2 - 2 * least) ** 0.5
+    marked = rows.join(dense.withColumn("queries", F.lit(True)), "content_id", "left").withColumn("queries", F.coalesce("queries", F.lit(False)))
+    marked = marked.join(marked.where("queries").select("library_id").distinct(), "library_id", "left_semi")
 
-    def assign(frames):
-        for frame in frames:
-            library = frame["library_id"].to_numpy()
-            out = []
-            for lib in np.unique(library):
-                own = frame[library == lib]
-                c = fitted.value.get(int(lib))
-                if c is None:
-                    out.append(own.assign(shard=0, home=True))
-                    continue
-                s = _stack(own["v"]) @ c.T
-                home = s.argmax(1)
-                out.append(own.assign(shard=home, home=True))
-                gap = np.linalg.norm(c[home][:, None] - c[None], axis=2)
-                near = s.max(1, keepdims=True) - s <= reach * gap + 1e-4
-                near[np.arange(len(own)), home] = False
-                row, shard = np.nonzero(near & own["dense"].to_numpy(bool)[:, None])
-                out.append(own.iloc[row].assign(shard=shard, home=False))
-            if out:
-                yield pd.concat(out)[["content_id", "library_id", "shard", "home", "dense", "v"]]
-
-    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames))
-        home, dense = frame["home"].to_numpy(bool), frame["dense"].to_numpy(bool)
-        v, ids = _stack(frame["v"]).astype(float), frame["content_id"].to_numpy()
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame = pa.Table.from_batches(list(batches))
+        home, dense = frame["home"].to_numpy(), frame["queries"].to_numpy()
+        v, ids = _matrix(frame["v"]).astype(float), frame["content_id"].to_numpy()
         base, base_ids, base_dense = v[home], ids[home], dense[home]
         q, q_ids = v[dense], ids[dense]
         for a in range(0, len(q), 256):
@@ -371,10 +513,9 @@ def within(rows: DataFrame, dense: DataFrame, least: float, fitted) -> DataFrame
                 hit = (q[a : a + 256] @ base[b : b + 4096].T >= least) & ((x < y) | ((x > y) & ~base_dense[None, b : b + 4096]))
                 row, col = np.nonzero(hit)
                 x, y = x[row, 0], y[0, col]
-                yield pd.DataFrame({"content_id_a": np.minimum(x, y), "content_id_b": np.maximum(x, y)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["content_id_a", "content_id_b"])
 
-    placed = _by_shard(marked.mapInPandas(assign, "content_id bigint, library_id int, shard int, home boolean, dense boolean, v array<float>"))
-    return placed.groupBy("library_id", "shard").applyInPandas(pairs, "content_id_a bigint, content_id_b bigint")
+    return _by_shard(shards.place(marked, _reach(least))).applyInArrow(pairs, "content_id_a bigint, content_id_b bigint")
 
 
 def pairs(nodes: DataFrame, least: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -383,14 +524,17 @@ def pairs(nodes: DataFrame, least: float, shard_rows: int = SHARD_ROWS) -> DataF
     They are taken from the lists; a vector whose list is full of such neighbours is compared with its library.
     """
     rows = usable(nodes)
-    fitted = rows.sparkSession.sparkContext.broadcast(centres(rows, shard_rows))  # bounded in centres()
-    near = cut(neighbours(nodes, shard_rows=shard_rows, fitted=fitted).where(F.col("similarity") >= least - 1e-4))
+    shards = Shards(rows, shard_rows)
+    near = cut(_lists_of(rows, shards).where(F.col("similarity") >= least - 1e-4))
     dense = near.where(F.col("rank") == K).select("content_id")
     listed = near.select(F.least("content_id", "neighbour_id").alias("content_id_a"), F.greatest("content_id", "neighbour_id").alias("content_id_b")).distinct()
     v = rows.select("content_id", "v")
     both = listed.join(v.toDF("content_id_a", "va"), "content_id_a").join(v.toDF("content_id_b", "vb"), "content_id_b")
     sim = F.aggregate(F.zip_with("va", "vb", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return both.where(sim >= least).select("content_id_a", "content_id_b").union(within(rows, dense, least, fitted)).distinct()
+    found = both.where(sim >= least).select("content_id_a", "content_id_b")
+    if dense.isEmpty():  # a look at one row of what is written down
+        return found
+    return found.union(within(rows, dense, least, shards)).distinct()
 
 
 def p5_found(spark: SparkSession, folder: str, least: float = 0.97) -> DataFrame:
@@ -403,16 +547,25 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours(table(spark, folder, "node_embeddings"))
 
 
-def p5_recall(spark: SparkSession, folder: str) -> DataFrame:
+def recall(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Share of the true lists that was found, over every query whose id is divisible by 100."""
-    nodes = table(spark, folder, "node_embeddings")
     rows = usable(nodes)
     queries = rows.where("content_id % 100 = 0")
     truth = exact(queries, rows)
-    got = cut(neighbours(nodes)).where("content_id % 100 = 0").select("content_id", "neighbour_id", F.lit(1).alias("hit"))
+    got = cut(_lists_of(rows, Shards(rows, shard_rows)).where("content_id % 100 = 0").select("content_id", "neighbour_id", F.lit(1).alias("hit")))
     return truth.join(got, ["content_id", "neighbour_id"], "left").agg(F.countDistinct("content_id").alias("queries"), F.count(F.lit(1)).alias("true_neighbours"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"))
 
 
+def p5_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall within the libraries."""
+    return recall(table(spark, folder, "node_embeddings"))
+
+
+def p5_recall_pooled(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall with all vectors in one library, which is divided among many shards and searched in few of them."""
+    return recall(table(spark, folder, "node_embeddings").withColumn("library_id", F.lit(0)))
+
+
 SQL = {
     "p5_found": """WITH u AS (
         SELECT content_id, coalesce(library_id, -1) AS lib, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM node_embeddings
@@ -421,4 +574,4 @@ SQL = {
       SELECT a.content_id AS content_id_a, b.content_id AS content_id_b FROM n a JOIN n b ON a.lib = b.lib AND a.content_id < b.content_id
       WHERE list_cosine_similarity(a.v, b.v) >= 0.97"""
 }
-QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall}
+QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_recall": p5_recall, "p5_recall_pooled": p5_recall_pooled}

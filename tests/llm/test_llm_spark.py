@@ -135,3 +135,25 @@ def test_limits(spark):
     df = spark.createDataFrame(rows, "origin string, item_id bigint, source string, kind string, text string")
     assert {(r["source"], r["limit"]) for r in truncation.limits(df).collect()} == {("s", 320)}
     assert truncation.limits(df.limit(0)).count() == 0
+
+
+def test_shards_below_shards(spark):
+    """Where the driver's centres don't suffice, shards are divided again and no vector or pair is lost."""
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(40, 64))
+    v = np.concatenate([m + 0.1 * rng.normal(size=(12, 64)) for m in middles])
+    df = spark.createDataFrame([(i, 1, [float(x) for x in r]) for i, r in enumerate(v)], "content_id bigint, library_id int, embedding array<float>")
+    rows = neighbours.usable(df)
+    shards = neighbours.Shards(rows, shard_rows=20, most=3)
+    assert shards.deep and shards.below.count() == 3 and len(shards.top.value[1]) == 3
+    placed = shards.place(rows.withColumn("queries", F.lit(True)), neighbours._probe(3), neighbours._probe(1)).cache()
+    homes = placed.where("home")
+    assert homes.count() == homes.select("content_id").distinct().count() == len(v)
+    assert homes.groupBy("shard", "sub").count().agg(F.max("count")).first()[0] < 120
+    got = neighbours._lists_of(rows, shards)
+    truth = neighbours.exact(rows, rows).select("content_id", "neighbour_id")
+    assert truth.join(got, ["content_id", "neighbour_id"], "left_semi").count() >= 0.95 * truth.count()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    pairs = {(int(a), int(b)) for a, b in zip(*np.nonzero(unit @ unit.T >= 0.97), strict=True) if a < b}
+    found = neighbours.within(rows, rows.select("content_id"), 0.97, shards).collect()
+    assert len(pairs) > 2000 and {tuple(r) for r in found} == pairs and len(found) == len(pairs)
