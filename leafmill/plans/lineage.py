@@ -41,8 +41,13 @@ def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Round-robin a scan of fewer partitions than there are task slots; wider inputs pass unchanged.
 
-    Meant for what goes to Python, so Arrow batches are bounded as well.
+    Only scans and what is narrow above them are looked at, as their partitions are known
+    without a job; what has been shuffled is spread by its shuffle. Meant for what goes
+    to Python, so Arrow batches are bounded as well.
     """
     bound_batches(df.sparkSession)
     least = least or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df
+    return df if execution.toRdd().getNumPartitions() >= least else df.repartition(least)
