@@ -101,19 +101,34 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the polynomial's base and of its inverse."""
+    up, down = _POWERS.upto(n)
+    return up[:n], down[:n]
+
+
+def mixed(points: np.ndarray) -> np.ndarray:
+    """What each code point adds to a word's sum, before its place's power."""
+    with np.errstate(over="ignore"):
+        out = (points.astype(np.uint64) + np.uint64(1)) * _MULT
+    out ^= out >> np.uint64(31)
+    return out
+
+
+def finish(sums: np.ndarray, length) -> np.ndarray:
+    """The hash from a word's sum and length."""
+    with np.errstate(over="ignore"):
+        out = (sums ^ (sums >> np.uint64(32))) * _MULT
+    return out ^ np.asarray(length).astype(np.uint64)
+
+
 def hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of every slice ``[start, end)`` of ``points``."""
     up, down = _POWERS.upto(len(points) + 1)
     with np.errstate(over="ignore"):
-        mixed = (points.astype(np.uint64) + np.uint64(1)) * _MULT
-        mixed ^= mixed >> np.uint64(31)
         total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(mixed * up[: len(points)], out=total[1:])
-        out = (total[ends] - total[starts]) * down[starts]
-        out ^= out >> np.uint64(32)
-        out *= _MULT
-        out ^= (ends - starts).astype(np.uint64)
-    return out
+        np.cumsum(mixed(points) * up[: len(points)], out=total[1:])
+        return finish((total[ends] - total[starts]) * down[starts], ends - starts)
 
 
 def take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

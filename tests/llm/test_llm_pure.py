@@ -173,6 +173,55 @@ def test_scans_are_repaired():
         assert not any(ed.repair(text, [], None, None)[1].values()), text
 
 
+def _lexicon(texts):
+    first, second = np.zeros(scans.SLOTS, np.float32), np.zeros(scans.SLOTS, np.float32)
+    points, offsets = scans.T.flatten(pa.array(texts, pa.string()))
+    keys = scans.T.hashes(scans.T.lowers()[points], *scans._word_places(points, offsets))
+    np.add.at(first, (keys % np.uint64(scans.SLOTS)).astype(int), 1)
+    np.add.at(second, ((keys >> np.uint64(40)) % np.uint64(scans.SLOTS)).astype(int), 1)
+    return scans.Lexicon(first, second)
+
+
+def test_confusions_are_learnt_from_the_corpus():
+    """Confusions that no list has: told from the corpus, repaired on held-out text, invented names left alone."""
+    rng = random.Random(4)
+    parts = ["ba", "ker", "ton", "mil", "gra", "sed", "vor", "pal", "zin", "lo", "qua", "ster", "fen", "ru", "dok", "wit", "hem", "ny", "cal", "po"]
+    vocabulary = list(dict.fromkeys("".join(rng.choices(parts, k=rng.randint(2, 4))) for _ in range(900)))
+    confusions = [("k", "7"), ("ba", "6a"), ("w", "vu"), ("st", "$t"), ("e", "o"), ("ny", "my"), ("l", "t"), ("r", "y")]
+
+    def spoil(word):
+        true, seen = rng.choice(confusions)
+        at = word.find(true)
+        return word if at < 0 or len(word) < 5 else word[:at] + seen + word[at + len(true) :]
+
+    def line(rate):
+        words = rng.choices(vocabulary, [1 / (5 + i) for i in range(len(vocabulary))], k=14)
+        return [(spoil(w) if rng.random() < rate else w, w) for w in words]
+
+    texts = [" ".join(bad for bad, _ in line(0.01)) + "." for _ in range(6000)]
+    rows = [{"type": "text", "text": x, "titles": ["Ledger"], "page": 1, "y": None} for x in texts[:3000]]
+    ed = scans.train(rows, _lexicon(texts), more=texts[3000:])
+    assert {("7", "k"), ("vu", "w"), ("y", "r")} <= set(ed.channel.weight)
+    held = [pair for _ in range(400) for pair in line(0.2)]
+    ed.meet([" ".join(bad for bad, _ in held)])
+    changed = [(ed.known.get(bad, bad), bad, good) for bad, good in held]
+    right, made, wanted = sum(k == g != b for k, b, g in changed), sum(k != b for k, b, _ in changed), sum(b != g for _, b, g in changed)
+    assert wanted > 300 and right / made > 0.93 and right / wanted > 0.85, (right, made, wanted)
+    names = ["Orvindal", "Tasmerro", "Ulgrith", "Pellovar"]
+    ed.meet([" ".join(names)])
+    assert [ed.known[n] for n in names] == names
+
+
+def test_paragraphs_are_continuous():
+    ed = scans.Editor(_lexicon([]), scans.Channel({}, {}, []), scans.Perceptron(), scans.Perceptron(), [])
+    wrapped = "The board of trustees met on the third\nfloor of the old building and approved\nthe minutes. The clerk read the statement\nand the meeting closed.\n\nA second paragraph begins here."
+    want = "The board of trustees met on the third floor of the old building and approved the minutes. The clerk read the statement and the meeting closed.\n\nA second paragraph begins here."
+    assert ed.repair(wrapped, [], None, None) == (want, {"words": 0, "joins": 0, "furniture": 0})
+    assert ed.repair(wrapped, [], None, None, lines_stay=True)[0] == wrapped
+    items = "Agenda:\n- first item of the\nlist\n- second item\n1. third"
+    assert scans.unwrap(items) == "Agenda:\n- first item of the list\n- second item\n1. third"
+
+
 def test_pivots_keep_the_mass():
     import pandas as pd
 
