@@ -3,46 +3,60 @@
 Per source, a log-normal length distribution is fitted by maximum likelihood,
 lengths at a candidate limit being right-censored there (the true text was at
 least that long). A candidate limit is a length, in characters or in UTF-8
-bytes, that far more texts of the source have than the fitted distribution
-allows and that hardly a text exceeds. A value's censoring posterior is the
-fitted share of the texts at its length that only a limit can explain.
-
-Ending evidence is a log-likelihood ratio of "cut at random" against "ended":
-closing punctuation, a replacement character, open brackets, a last word that is
-the beginning of words but no word, a last word that ends texts seldom although
-it is common, and an opening that only complete notes have. Its counts are taken
-over all texts, in count tables of a fixed size. A value is cut where the
-posterior odds, that is censoring odds plus the ending's ratio, are above zero.
+bytes, that far more different texts of the source have than the fitted
+distribution allows. A value's censoring posterior is the fitted share of the
+texts at its length that only a limit can explain.
+
+Ending evidence is a log-likelihood ratio of "cut at random" against "ended",
+from signs of the end: closing punctuation, markup, a replacement character, open
+brackets, a last word that is the beginning of words but no word, how often the
+last word ends texts, how often complete texts open like this one. Counts are
+taken over all texts, in tables of a fixed size. The weights of the signs are
+fitted, not set: texts of a bounded sample (``SAMPLE_ROWS``) are cut at random
+places and told from the sample as it came by logistic regression; as that holds
+cut texts itself, expectation-maximisation weighs each of its rows by how likely
+it is complete. The prior is the share of cut texts that broken words tell.
+
+A value was cut where its posterior odds, the censoring odds (or the prior)
+times the ending's likelihood ratio, are above one: a length at a limit can
+outweigh a full stop, and an ending a length that is at no limit. ``inside``
+tells whether the text then stops inside a word or sentence, as ``p4_found`` asks.
 
 Defined cases: null, empty and blank texts are not cut; ties can't occur; a null
 source is a source of its own; repeated rows are judged alike and come out once
-in ``p4_found``; a source with too few texts has no limit and goes by endings.
+in ``p4_found``; a source with too few texts has no limit and goes by endings; a
+corpus too small to fit weights has no cut texts but those at a limit.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import bound_batches, spread
+from ..plans.lineage import bound_batches, cut, spread
 from ..session import table
 from . import textkit as T
 
 #: Slots of each count table (the broadcast's proven size: six float32 tables).
 SLOTS = 1 << 18
-#: Log odds that a text without any other sign is cut.
-PRIOR = 0.3
-#: Texts at one length, and their excess over the fit, that make it a candidate limit.
-LIMIT_ROWS, LIMIT_RATIO = 5, 6.0
-_END = r"[.!?…。！？][\"'”’»)\]」』）*_]*\s*$"
+#: Rows the weights of the ending evidence are fitted on, about, and texts that they need at least.
+SAMPLE_ROWS, LEAST_ROWS = 8000, 30
+#: Rows at least so likely cut in the first comparison, which is with all rows, are set aside from the complete ones.
+SET_ASIDE = 0.1
+#: The sign of a text that stops inside a word.
+TORN = "no word but a beginning"
+#: Texts at one length, and their excess over the fit, that make it a candidate limit; below longer texts of the source it takes more, and different ones.
+LIMIT_ROWS, LIMIT_RATIO, INNER_ROWS, INNER_RATIO = 5, 6.0, 30, 20.0
+_END = re.compile(r"[.!?…。！？][\"'”’»)\]」』）*_]*$")
 #: What follows a complete text's last word in markup (fixed patterns).
-_MARKUP_END = r"(</[A-Za-z][A-Za-z0-9]*>|<br\s*/?>|/>|\}\}|\]\]|\|\}|```|\\end\{[a-z*]+\}|-->|\*\*|\$|\\\)|\\\]|__|\}|''|~~|`|</\w+&gt;|&gt;|==)\s*$"
+_MARKUP_END = re.compile(r"(</[A-Za-z][A-Za-z0-9]*>|<br\s*/?>|/>|\}\}|\]\]|\|\}|```|\\end\{[a-z*]+\}|-->|\*\*|\$|\\\)|\\\]|__|\}|''|~~|`|</\w+&gt;|&gt;|==)$")
 
 
 def texts_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,30 +99,34 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, limit: float | None = N
 def limits_of(histogram: pd.DataFrame) -> pd.DataFrame:
     """For one source: each candidate limit with its unit, the fit and the censoring posterior.
 
-    ``histogram``: unit, length, n; its rows are the distinct lengths of the source.
+    ``histogram``: unit, length, n and, where texts repeat, the ``different`` ones among
+    them; its rows are the distinct lengths of the source. Below longer texts of the
+    source a length needs many different texts, as one that is often repeated is no limit.
     """
     out = []
     for unit, group in histogram.groupby("unit"):
         group = group.sort_values("length")
         length, n = group["length"].to_numpy(float), group["n"].to_numpy(float)
+        different = group["different"].to_numpy(float) if "different" in group else n
         total, above = n.sum(), n[::-1].cumsum()[::-1] - n
-        for i in np.flatnonzero((n >= LIMIT_ROWS) & (above <= 0.1 * n) & (length >= 40)):
+        last = above <= 0.1 * n
+        for i in np.flatnonzero(np.where(last, n >= LIMIT_ROWS, different >= INNER_ROWS) & (length >= 40)):
             m, s = fit_lengths(np.minimum(length, length[i]), n, length[i])
             z = (math.log(length[i]) - m) / s
             mass = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / (s * length[i])  # of texts that happen to be this long
             expected = max(total * mass, 0.25)
-            if n[i] / expected >= LIMIT_RATIO:
+            if (n[i] / expected >= LIMIT_RATIO) if last[i] else (different[i] / expected >= INNER_RATIO):
                 out.append((unit, int(length[i]), m, s, int(n[i]), float(1.0 - expected / n[i])))
     return pd.DataFrame(out, columns=["unit", "limit", "mu", "sigma", "n", "posterior"])
 
 
 def limits(texts: DataFrame) -> DataFrame:
     """Candidate limits of every source, from the histogram of its lengths in characters and bytes."""
-    t = texts.where("text is not null and trim(text) <> ''").select(
-        "origin", "source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.char_length("text").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length")))).alias("x")
-    )
+    t = texts.where("text is not null and trim(text) <> ''").select("origin", "source", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("text"))
+    t = t.groupBy("origin", "source", "chars", "bytes", "text").agg(F.count(F.lit(1)).alias("copies"))
+    t = t.select("origin", "source", "copies", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("x"))
     # a histogram has at most as many rows as there are lengths, however many texts a source has
-    histogram = t.groupBy("origin", "source", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("n"))
+    histogram = t.groupBy("origin", "source", "x.unit", "x.length").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("different"))
 
     def run(key, frame):
         got = limits_of(frame)
@@ -122,37 +140,54 @@ def limits(texts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- ending evidence
 
 
-def _slot(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit(SLOTS)).cast("int")
+_TRAILING = "".join(map(chr, [*range(0x21), *range(0x7F, 0xA1), 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_LETTER = re.compile(r"[^\W\d_]")
+_STOP = re.compile(r"[.!?…。！？]")
+_OPENING = re.compile(r"(?:.*[.!?…]\s+)?[\W\d_]*((?:[^\W\d_]|['’])+(?:[ \n]+(?:[^\W\d_]|['’])+)?)")
+_ITEM = re.compile(r"[-*•]|\w[.)]|\d\d[.)]")
 
 
-def _last_word(text: Column) -> Column:
-    return F.lower(F.regexp_extract(text, r"([\p{L}\p{M}\p{N}'’-]+)\P{L}*$", 1))
+class Signs:
+    """What a text's end shows; None instead of signs for a text without letters."""
 
+    __slots__ = ("broken", "closed", "last", "marked", "opening", "tail", "unpunctuated")
 
-def _opening(text: Column) -> Column:
-    """The first two words of the last sentence that has no end, or of the text."""
-    return F.lower(F.regexp_extract(text, r"(?:.*[.!?…]\s+)?[^\p{L}]*([\p{L}'’]+(?:[ \n]+[\p{L}'’]+)?)", 1))
+    def __init__(self, text: str) -> None:
+        t = text.rstrip(_TRAILING)
+        self.tail = tail = t[-400:]
+        self.closed = bool(_END.search(tail[-16:]))
+        self.marked = bool(_MARKUP_END.search(tail[-32:]))
+        self.broken = tail[-1:] == "\ufffd" or (tail[-1:] == "-" and tail[-2:-1].isalpha())
+        self.last = _last_word(tail)
+        m = _OPENING.match(tail)
+        self.opening = m.group(1).lower() if m else ""
+        self.unpunctuated = not _STOP.search(text) and _LETTER.search(text).group().islower()
 
+    @property
+    def inside(self) -> bool:
+        """Whether the text stops inside a word or sentence."""
+        return self.broken or not (self.closed or self.marked) or (self.closed and bool(re.search(r"\([^()]{0,12}$", self.tail)))
+
+
+def signs_of(text: str | None) -> Signs | None:
+    return Signs(text) if text and _LETTER.search(text) else None
 
-def ending(texts: DataFrame) -> DataFrame:
-    """Signs of each text's end, as columns; expressions only."""
-    t = F.rtrim(F.regexp_replace("text", r"[\s\p{Cc}]+$", ""))
-    tail = F.substring(F.regexp_replace("text", r"[\s\p{Cc}]+$", ""), -400, 400)
-    return texts.withColumns(
-        {
-            "blank": F.coalesce(F.trim(t) == "", F.lit(True)) | ~t.rlike(r"\p{L}"),
-            "closed": tail.rlike(_END),
-            "marked": tail.rlike(_MARKUP_END),
-            "broken": tail.rlike("�$") | tail.rlike(r"[\p{L}]-$"),
-            "last_word": _last_word(tail),
-            "opening": _opening(tail),
-            "unpunctuated": ~F.col("text").rlike(r"[.!?…。！？]") & F.col("text").rlike(r"^\P{L}*\p{Ll}"),
-            "tail": tail,
-            "chars": F.char_length("text"),
-            "bytes": F.octet_length("text"),
-        }
-    )
+
+def _inner(c: str) -> bool:
+    return c.isalnum() or c in "'’-" or "\u0300" <= c <= "\u036f"
+
+
+def _last_word(tail: str) -> str:
+    """The word that holds the last letter, lower-case."""
+    i = len(tail)
+    while i and not tail[i - 1].isalpha():
+        i -= 1
+    a = b = i
+    while b < len(tail) and _inner(tail[b]):
+        b += 1
+    while a and _inner(tail[a - 1]):
+        a -= 1
+    return tail[a:b].lower()
 
 
 class Counts:
@@ -166,20 +201,23 @@ class Counts:
         self.tables = dict(zip(self.NAMES, flat.reshape(len(self.NAMES), SLOTS), strict=True))
 
 
-def count_tables(signs: DataFrame) -> Counts:
+def count_tables(texts: DataFrame) -> Counts:
     """Counts over all texts. At most ``SLOTS`` rows a table reach the driver."""
-    rows = spread(signs.where(~F.col("blank")).select("text", "kind", "closed", "marked", "opening"))
+    rows = spread(texts.where("text is not null").select("text", "kind"))
 
     def run(batches):
         sums = {n: np.zeros(SLOTS, np.int64) for n in Counts.NAMES}
         for batch in batches:
-            kind, closed, marked, opening = (batch.column(i).to_pylist() for i in range(1, 5))
+            kind = batch.column(1).to_pylist()
             points, offsets = T.flatten(batch.column(0))
             for a, b in T.chunks(offsets):
                 _tally(points[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], np.array([k == "list" for k in kind[a:b]], bool), sums)
-            for k, c, m, o in zip(kind, closed, marked, opening, strict=True):
-                if k == "text" and o:
-                    sums["opens_ended" if c or m else "opens_other"][_word_slot(o)] += 1
+            openings = {"opens_ended": [], "opens_other": []}
+            for text, k in zip(batch.column(0).to_pylist(), kind, strict=True):
+                if k == "text" and (s := signs_of(text)) and s.opening:
+                    openings["opens_ended" if s.closed or s.marked else "opens_other"].append(s.opening)
+            for name, words in openings.items():
+                np.add.at(sums[name], _word_slots(words), 1)
         for i, s in enumerate(sums.values()):
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array(at + i * SLOTS, pa.int32()), pa.array(s[at])], names=["slot", "n"])
@@ -222,97 +260,193 @@ def _tally(points: np.ndarray, offsets: np.ndarray, lists: np.ndarray, sums: dic
         sums["prefix"] += np.bincount((T.hashes(points, starts[some], starts[some] + width) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
 
 
-def _word_slot(word: str) -> int:
-    points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return int(T.hashes(points, np.zeros(1, np.int64), np.array([len(points)]))[0] % np.uint64(SLOTS))
-
-
-def ratio(kind: str, closed: bool, marked: bool, broken: bool, unpunctuated: bool, last: str, opening: str, tail: str, counts: dict) -> float:
-    """Log-likelihood ratio of a random cut against a complete text, from the signs of its end."""
-    if broken:
-        return 12.0
-    if closed and re.search(r"\([^()]{0,12}$", tail):  # an abbreviation's stop within a bracket
-        return 6.0
-    if closed or marked:
-        return -12.0
-    if not last:
-        return -3.0
-    slot = _word_slot(last)
-    word, end, prefix = counts["word"][slot], counts["end"][slot], counts["prefix"][slot]
-    score = 0.0
-    if tail[-1:].isalnum():
-        digits = any(c.isdigit() for c in last)
-        if digits:
-            score -= 1.0
-        elif word < 1:
-            score += 6.0 if prefix >= 1 else 0.5
+def _word_slots(words: list[str]) -> np.ndarray:
+    points, offsets = T.flatten(pa.array(words, pa.string()))
+    return (T.hashes(points, offsets[:-1], offsets[1:]) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _level(x: float, low: int = -6, high: int = 6) -> int:
+    return int(max(low, min(high, round(x))))
+
+
+def evidence(signs: list[Signs], kinds: list[str], counts: dict[str, np.ndarray]) -> list[list[str]]:
+    """Names of the evidence that each text's end shows."""
+    last, opening = _word_slots([s.last for s in signs]), _word_slots([s.opening for s in signs])
+    word, end, item_end, prefix = (counts[n][last] for n in ("word", "end", "item_end", "prefix"))
+    ended, other = counts["opens_ended"][opening], counts["opens_other"][opening]
+    out = []
+    for i, (s, kind) in enumerate(zip(signs, kinds, strict=True)):
+        tail, sign = s.tail, s.tail[-1:]
+        if s.broken:
+            out.append(["broken"])
+            continue
+        if s.closed or s.marked:
+            abbreviated = s.closed and re.search(r"\([^()]{0,12}$", tail)
+            out.append(["closed in a bracket" if abbreviated else "closed" if s.closed else "marked"])
+            continue
+        names = ["open"]
+        line = tail.rsplit("\n", 1)[-1]
+        words = tail.split()
+        opens = "other"
+        if kind == "list" or _ITEM.match(line):
+            names += ["item", f"item ends so {item_end[i] >= 1 and word[i] >= 1}"]
+        elif len(tail) < 80 and len(words) > 1 and all(w[0].isupper() or not w[0].isalpha() for w in words):
+            names.append("capitals")  # a heading or page furniture
+        elif s.unpunctuated:  # written without sentence marks: a missing one says nothing
+            names.append("unpunctuated")
+        else:  # complete notes open in ways that ended texts don't
+            level = _level(math.log((ended[i] + 0.5) / (other[i] + 0.5)))
+            names += [f"opening {level}", f"opening seen {ended[i] >= 1}"]
+            opens = "as texts" if level >= 1 and ended[i] >= 1 else "as notes" if level <= -2 or ended[i] < 1 else "as both"
+        if not s.last:
+            names.append("no word")
+        if sign.isalnum():  # what the last word says depends on whether texts that open so have a stop at all
+            if any(c.isdigit() for c in s.last):
+                names.append("ends in a number")
+            elif word[i] < 1:
+                names.append(TORN if prefix[i] >= 1 else f"unknown word, opens {opens}")
+            else:
+                names.append(f"word ends texts {_level(math.log((end[i] + 0.5) / (word[i] + 1.0)), -6, 0)}, opens {opens}")
+                if prefix[i] > 4 * word[i]:
+                    names.append(f"begins words {_level(math.log(prefix[i] / word[i]), 1, 5)}")
         else:
-            # of a word's places, the share before an end: a cut falls anywhere, an ending on words that end
-            score += min(3.0, -math.log((end + 0.5) / (word + 1.0)) - 1.5)
-            if prefix > 4 * word:
-                score += min(4.0, math.log(prefix / word))
-    elif tail[-1:] in ",;–—-(“[{" or re.search(r"[,;]['\"”’»]+$", tail):
-        score += 3.0
-    elif tail[-1:] in ":":
-        score -= 2.0
-    line = tail.rsplit("\n", 1)[-1]
-    if kind == "list" or line[:1] in "-*•" or (line[:1].isalnum() and line[1:2] in ").") or (line[:2].isdigit() and line[2:3] in ").") :
-        # an item ends on the words that end items
-        return -3.0 if counts["item_end"][slot] >= 1 and word >= 1 else score + 1.0
-    words = tail.split()
-    if len(tail) < 80 and len(words) > 1 and all(w[0].isupper() or not w[0].isalpha() for w in words):
-        return -3.0  # a heading or page furniture
-    first = _word_slot(opening) if opening else 0
-    ended, other = (counts["opens_ended"][first], counts["opens_other"][first]) if opening else (0.0, 0.0)
-    if unpunctuated:  # written without sentence marks: a missing one says nothing
-        return score - 1.0
-    # complete notes, headings and page furniture open in ways that ended texts don't
-    score += max(-6.0, min(5.0, math.log((ended + 0.5) / (other + 0.5)) - 0.5))
-    if ended < 1:
-        score -= 2.5
-    if sum(tail.count(c) for c in "([{“«") > sum(tail.count(c) for c in ")]}”»"):
-        score += 2.0
-    return score
+            names.append("comma" if sign in ",;–—-(“[{" or re.search(r"[,;]['\"”’»]+$", tail) else "colon" if sign == ":" else "other sign")
+        if sum(tail.count(c) for c in "([{“«") > sum(tail.count(c) for c in ")]}”»"):
+            names.append("open bracket")
+        out.append(names)
+    return out
 
 
-def judged(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text with its limit, censoring posterior, ending ratio and ``cut``."""
-    texts = texts_of(spark, folder)
-    signs = ending(texts)
-    counts = spark.sparkContext.broadcast(count_tables(signs))
+class Endings:
+    """Fitted weights of the evidence: the log-likelihood ratio of a cut, and the prior log odds."""
+
+    def __init__(self, weights: dict[str, float], bias: float, prior: float) -> None:
+        self.weights, self.bias, self.prior = weights, bias, prior
+
+    def ratio(self, names: list[str]) -> float:
+        return self.bias + sum(self.weights.get(n, 0.0) for n in names)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weighted ridge logistic regression by Newton's method; the first column is the bias and is left free."""
+    beta = start.copy()
+    hold = np.full(x.shape[1], ridge)
+    hold[0] = 1e-6
+    for _ in range(25):
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -30, 30)))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(hold + 1e-9), x.T @ (w * (y - p)) - hold * beta)
+        beta += step
+        if np.abs(step).max() < 1e-5:
+            break
+    return beta
+
+
+def fit_endings(rows: list[tuple[str, str, float | None]], counts: dict[str, np.ndarray], seed: int = 11) -> Endings:
+    """Weights from a sample of (text, kind, censoring posterior or None).
+
+    The sample's closed texts, cut at random places, show how cut texts end; the sample
+    itself is a mixture of complete and cut ones, which expectation-maximisation parts.
+    """
+    rng = random.Random(seed)
+    seen = [(s, k, p, t) for t, k, p in rows if (s := signs_of(t))]
+    # texts that are complete as far as can be told: closed ones, and lists, whose items have no stops
+    whole = [(t, k) for s, k, p, t in seen if len(t) >= 60 and p is None and (s.closed or (k == "list" and not s.broken))]
+    made = [(s, k) for t, k in whole for _ in range(2) if (s := signs_of(t[: rng.randint(20, len(t) - 1)]))]
+    if len(made) < LEAST_ROWS:
+        return Endings({}, -20.0, 0.0)
+    names = evidence([s for s, _ in made] + [s for s, *_ in seen], [k for _, k in made] + [k for _, k, *_ in seen], counts)
+    free = np.array([p is None for _, _, p, _ in seen])
+    # about half of the random cuts break a word: how much rarer that is in the sample tells the share of cut texts
+    torn = [np.array([TORN in row for row in part]) for part in (names[: len(made)], names[len(made) :])]
+    share = torn[1][free].mean() / torn[0].mean() if free.any() and torn[0].any() else 0.0
+    prior = float(_log_odds(min(0.5, max(share, 0.5 / (len(seen) + 1)))))
+    # cuts by bytes split characters, which texts cut in memory don't show: as many as their share of the cut texts
+    split = min(0.5, sum(s.broken for s, *_ in seen) / max(1.0, share * len(seen)))
+    names = [["broken"]] * int(len(made) * split / (1 - split)) + names
+    index = {n: i for i, n in enumerate(sorted({n for row in names for n in row}), 1)}
+    x = np.zeros((len(names), len(index) + 1))
+    x[:, 0] = 1.0
+    for i, row in enumerate(names):
+        x[i, [index[n] for n in row]] = 1.0
+    n = len(seen)
+    cut_rows = len(names) - n
+    y = np.concatenate([np.ones(cut_rows), np.zeros(n)])
+    at_limit = np.array([-1.0 if p is None else p for _, _, p, _ in seen])
+    sure = np.array([s.broken or TORN in row for (s, *_), row in zip(seen, names[cut_rows:], strict=True)])
+    chance = np.where(at_limit >= 0, at_limit, np.where(sure, 1.0, 0.0))
+    beta = np.zeros(x.shape[1])
+    for turn in range(12):
+        whole_weight = 1.0 - chance
+        w = np.concatenate([np.full(cut_rows, whole_weight.sum() / cut_rows), whole_weight])  # both kinds weigh the same: the fit is the ratio
+        beta = _logistic(x, y, w, beta)
+        odds = x[cut_rows:] @ beta + np.where(at_limit >= 0, _log_odds(at_limit), prior)
+        # the first comparison is with all rows, cut ones among them: there the share times the ratio is the chance itself
+        again = (odds > (math.log(SET_ASIDE) if turn == 0 else 0.0)).astype(float)  # each row is taken for the likelier of both: halves would blur the few cut texts
+        if (again == chance).all():
+            break
+        chance = again
+    return Endings({k: float(beta[i]) for k, i in index.items()}, float(beta[0]), prior)
+
+
+def _log_odds(p) -> np.ndarray:
+    p = np.clip(np.asarray(p, float), 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+# ---------------------------------------------------------------- the operator
+
+
+def _with_limits(texts: DataFrame) -> DataFrame:
+    """Each text with the censoring posterior and the limit at its length, null where there is none."""
     # one row a source, holding its few limits
     found = limits(texts).groupBy("origin", F.coalesce("source", F.lit("\0")).alias("s")).agg(F.collect_list(F.struct("posterior", "limit", "unit")).alias("found"))
-    rows = signs.where(~F.col("blank")).withColumn("s", F.coalesce("source", F.lit("\0"))).join(found, ["origin", "s"], "left")
+    rows = texts.where("text is not null").withColumn("s", F.coalesce("source", F.lit("\0"))).join(cut(found), ["origin", "s"], "left")
 
     def at_limit(x):  # what a limit in bytes leaves may be a few bytes short of it, where a character didn't fit
-        size, slack = F.when(x["unit"] == "bytes", F.col("bytes")).otherwise(F.col("chars")), F.when(x["unit"] == "bytes", 3).otherwise(1)
+        size, slack = F.when(x["unit"] == "bytes", F.octet_length("text")).otherwise(F.char_length("text")), F.when(x["unit"] == "bytes", 3).otherwise(1)
         return (size <= x["limit"]) & (size >= x["limit"] - slack)
 
     best = F.array_max(F.filter("found", at_limit))
-    rows = rows.select("origin", "item_id", "source", "kind", "closed", "marked", "broken", "unpunctuated", "last_word", "opening", "tail", best["posterior"].alias("posterior"), best["limit"].alias("limit"))
+    return rows.select("origin", "item_id", "source", "kind", "text", best["posterior"].alias("posterior"), best["limit"].alias("limit"))
+
+
+def endings_of(rows: DataFrame, counts: Counts) -> Endings:
+    """The fitted endings of the texts with their limits, from about ``SAMPLE_ROWS`` of them picked by a hash of their id."""
+    total = max(1, rows.count())
+    picked = rows.where(F.pmod(F.xxhash64("origin", "item_id", F.lit(4)), F.lit(1 << 20)) < F.lit(SAMPLE_ROWS / total * (1 << 20)))
+    got = picked.select("text", "kind", "posterior").orderBy("text", "kind").collect()
+    return fit_endings([tuple(r) for r in got], counts.tables)
 
+
+def judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with its limit, censoring posterior, ending ratio, ``cut`` and ``inside``."""
+    texts = texts_of(spark, folder)
+    rows = _with_limits(texts)
+    counts = count_tables(texts)
+    shared = spark.sparkContext.broadcast((counts, endings_of(rows, counts)))
     bound_batches(spark)
+
     def run(batches):
-        tables = counts.value.tables
+        tables, endings = shared.value[0].tables, shared.value[1]
         for batch in batches:
-            cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            out = []
-            for i in range(batch.num_rows):
-                lr = ratio(cols["kind"][i], cols["closed"][i], cols["marked"][i], cols["broken"][i], cols["unpunctuated"][i], cols["last_word"][i], cols["opening"][i], cols["tail"][i], tables)
-                p = cols["posterior"][i]
-                prior = math.log(max(p, 1e-3) / max(1.0 - p, 1e-3)) if p is not None else PRIOR
-                out.append((lr, prior + lr))
+            found = [signs_of(t) for t in batch.column(4).to_pylist()]
+            at = [i for i, s in enumerate(found) if s]
+            signs, kinds = [found[i] for i in at], batch.column(3).to_pylist()
+            posterior = batch.column(5).to_pylist()
+            ratios = [endings.ratio(names) for names in evidence(signs, [kinds[i] for i in at], tables)]
+            odds = [lr + (endings.prior if posterior[i] is None else float(_log_odds(posterior[i]))) for i, lr in zip(at, ratios, strict=True)]
+            kept = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(3)] + [batch.column(batch.schema.get_field_index("limit")), batch.column(batch.schema.get_field_index("posterior")), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[1] > 0 for o in out], pa.bool_())],
-                names=["origin", "item_id", "source", "limit", "posterior", "ending_ratio", "log_odds", "cut"],
+                [*(batch.column(i).take(kept) for i in (0, 1, 2, 6, 5)), pa.array(ratios, pa.float64()), pa.array(odds, pa.float64()), pa.array([o > 0 for o in odds], pa.bool_()), pa.array([s.inside for s in signs], pa.bool_())],
+                names=["origin", "item_id", "source", "limit", "posterior", "ending_ratio", "log_odds", "cut", "inside"],
             )
 
-    return rows.mapInArrow(run, "origin string, item_id bigint, source string, limit int, posterior double, ending_ratio double, log_odds double, cut boolean")
+    return rows.mapInArrow(run, "origin string, item_id bigint, source string, limit int, posterior double, ending_ratio double, log_odds double, cut boolean, inside boolean")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts that were cut off."""
-    return judged(spark, folder).where("cut").select("origin", "item_id").distinct()
+    """Texts that were cut off inside a word or sentence."""
+    return judged(spark, folder).where("cut and inside").select("origin", "item_id").distinct()
 
 
 def p4_judged(spark: SparkSession, folder: str) -> DataFrame:
@@ -322,8 +456,15 @@ def p4_judged(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Share of cut texts by source."""
-    j = judged(spark, folder)
-    return j.groupBy("origin", "source").agg(F.countDistinct("item_id").alias("texts"), F.count_distinct(F.when(F.col("cut"), F.col("item_id"))).alias("cut_texts")).withColumn("share", F.round(F.col("cut_texts") / F.col("texts"), 6))
+    j = judged(spark, folder).groupBy("origin", "source", "item_id").agg(F.max("cut").alias("cut"), F.max(F.col("cut") & F.col("inside")).alias("inside"))
+    j = j.groupBy("origin", "source").agg(F.count(F.lit(1)).alias("texts"), F.count_if("cut").alias("cut_texts"), F.count_if("inside").alias("cut_inside"))
+    return j.withColumn("share", F.round(F.col("cut_inside") / F.col("texts"), 6)).withColumn("share_with_ends", F.round(F.col("cut_texts") / F.col("texts"), 6))
+
+
+def p4_deciding(spark: SparkSession, folder: str) -> DataFrame:
+    """How many verdicts each kind of evidence decides: what the posterior turns against the ending with the prior alone, and the reverse."""
+    j = judged(spark, folder).select("cut", "posterior", (F.col("ending_ratio") > 0).alias("by_ending"), F.coalesce(F.col("posterior") > 0.5, F.lit(False)).alias("by_length"))
+    return j.groupBy("by_length", "by_ending", "cut").agg(F.count(F.lit(1)).alias("n"))
 
 
 def p4_limits(spark: SparkSession, folder: str) -> DataFrame:
@@ -331,4 +472,4 @@ def p4_limits(spark: SparkSession, folder: str) -> DataFrame:
     return limits(texts_of(spark, folder))
 
 
-QUERIES = {"p4_found": p4_found, "p4_judged": p4_judged, "p4_shares": p4_shares, "p4_limits": p4_limits}
+QUERIES = {"p4_found": p4_found, "p4_judged": p4_judged, "p4_shares": p4_shares, "p4_limits": p4_limits, "p4_deciding": p4_deciding}

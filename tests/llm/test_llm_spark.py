@@ -157,3 +157,39 @@ def test_shards_below_shards(spark):
     pairs = {(int(a), int(b)) for a, b in zip(*np.nonzero(unit @ unit.T >= 0.97), strict=True) if a < b}
     found = neighbours.within(rows, rows.select("content_id"), 0.97, shards).collect()
     assert len(pairs) > 2000 and {tuple(r) for r in found} == pairs and len(found) == len(pairs)
+
+
+def test_cut_texts(spark, tmp_path):
+    """Fitted endings and censoring together: each can decide, and complete notes are none."""
+    import random
+
+    rng = random.Random(8)
+    who = "The field station|The harbour authority|A second witness|The survey group|Each regional office|The board of trustees".split("|")
+    did = "approved|recorded|amended|withdrew|confirmed|published".split("|")
+    what = "the annual statement|the depreciation schedule|a list of open claims|the sworn affidavit|the measurement protocol|the shipping calendar".split("|")
+    when = "after a long discussion|within ten working days|near the old customs house|before the end of the month|without further delay".split("|")
+
+    def text(n):
+        return " ".join(f"{rng.choice(who)} {rng.choice(did)} {rng.choice(what)} {rng.choice(when)}." for _ in range(n))
+
+    rows, cuts = [], set()
+    for i in range(900):
+        t = text(rng.randint(1, 4))
+        if i % 25 == 0:
+            t, _ = t[: rng.randint(25, len(t) - 2)], cuts.add(i)
+        rows.append((i, "text", t, "free"))
+    rows += [(1000 + i, "text", f"{rng.choice(['Visit of', 'Call with', 'Parcel for'])} {rng.choice(['auditor', 'clerk', 'tenant'])}", "free") for i in range(60)]
+    held = [text(rng.randint(1, 4))[:180] for _ in range(120)]
+    stop = "The field station approved the annual statement. "
+    held += [(stop * 4)[:179] + "."] * 1
+    rows += [(2000 + i, "text", t, "held") for i, t in enumerate(held)]
+    rows += [(3000, "text", None, "free"), (3001, "text", "", None), (3002, "text", " \n", "free"), (3003, "list", "12 - 4", "free")]
+    spark.createDataFrame(rows, "block_id bigint, type string, text string, source string").write.parquet(str(tmp_path / "blocks.parquet"))
+    spark.createDataFrame([], "batch_id bigint, source string, summary string").write.parquet(str(tmp_path / "content_batches.parquet"))
+    got = {r["item_id"]: r for r in truncation.judged(spark, str(tmp_path)).collect()}
+    free = {i for i, r in got.items() if r["source"] == "free" and r["cut"] and r["inside"]}
+    assert free <= cuts and len(free) >= 0.85 * len(cuts)
+    full = [r for r in got.values() if r["source"] == "held" and r["limit"] == 180]
+    assert len(full) > 40 and all(r["cut"] for r in full) and not got[2120]["inside"]
+    assert got[2120]["ending_ratio"] < 0 < got[2120]["log_odds"]
+    assert not {3000, 3001, 3002, 3003} & set(got)
