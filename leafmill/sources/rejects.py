@@ -100,6 +100,14 @@ def _shapes(catalog: DataFrame) -> list[tuple[str, tuple[str, ...]]]:
     return sorted((r[0], tuple(k or "string" for k in r[1])) for r in rows)
 
 
+def _key(sep: str, kinds: tuple[str, ...]) -> str:
+    return "\x01".join((sep, *kinds))
+
+
+def _key_of() -> Column:
+    return F.concat_ws("\x01", F.array("delimiter"), F.transform("column_specs.dtype", lambda k: F.coalesce(k, F.lit("string"))))
+
+
 def _text(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -150,13 +158,9 @@ def read_lines(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     specs = catalog.select("table_id", "delimiter", "column_specs").dropDuplicates(["table_id"])
     shapes = list(enumerate(_shapes(specs)))
-    number = F.lit(None).cast("int")
-    if shapes:
-        kinds = F.transform("column_specs.dtype", lambda k: F.coalesce(k, F.lit("string")))
-        known = rows.sparkSession.createDataFrame([(sep, list(k), i) for i, (sep, k) in shapes], "delimiter string, kinds array<string>, shape int")
-        specs = specs.withColumn("kinds", kinds).join(known, ["delimiter", "kinds"], "left").drop("kinds")
-    else:
-        specs = specs.withColumn("shape", number)
+    # numbered by an expression over the catalogue, whose size stays known, so a small one is broadcast by Spark itself
+    specs = specs.withColumn("shape", F.array_position(F.array(*[F.lit(_key(*x)) for _, x in shapes]), _key_of()) - 1 if shapes else F.lit(None).cast("bigint"))
+    specs = specs.withColumn("shape", F.when(F.col("shape") >= 0, F.col("shape")).cast("int"))
     both = spread(rows).join(specs, "table_id", "left")
     if len(shapes) <= SHAPES_A_PASS:
         both = _read(both, shapes)
