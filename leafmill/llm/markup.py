@@ -14,7 +14,8 @@ than LaTeX maths.
 
 Defined cases: null texts have null clean text; empty, blank and markup-free
 texts come out as they are; broken JSON in ``raw`` is read as plain text;
-repeated rows are converted alike and found once.
+repeated rows are converted alike and found once. A text that is nothing but site
+template has an empty clean text.
 """
 
 from __future__ import annotations
@@ -40,8 +41,9 @@ TAGS = (
 ).split()
 BLOCK = set("article aside div figure footer form header li main nav ol section table ul comment template wikitable".split())
 DROPPED = {"script", "style", "head", "comment", "ref", "references", "noscript", "iframe"}
-#: A subtree is a site template if it is on so many pages of a host, at least this share of them.
-MIN_PAGES, MIN_SHARE, MIN_CHARS = 20, 0.02, 24
+#: A subtree of so many characters is a site template if it is on so many pages of a host, and at least this share of
+#: them: on a host of up to 500 pages ten are enough, on larger ones it takes the share.
+MIN_PAGES, MIN_SHARE, MIN_CHARS = 10, 0.02, 24
 
 _TAG = rf"</?(?:{'|'.join(TAGS)})(?:\s+[a-zA-Z_:][-\w:.]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?)*\s*/?>"
 TAG = re.compile(_TAG, re.I)
@@ -155,10 +157,31 @@ def subtrees(text: str, node: Node):
     for child in node.children:
         body = text[child.start : child.end]
         if child.tag in BLOCK and len(body) >= MIN_CHARS:
-            yield xxhash.xxh64_intdigest(re.sub(r"\s+", " ", re.sub(r"\d+", "0", body)).strip()) - (1 << 63), child
+            yield _digest(body), child
         yield from subtrees(text, child)
 
 
+def _digest(body: str) -> int:
+    return xxhash.xxh64_intdigest(re.sub(r"\s+", " ", re.sub(r"\d+", "0", body)).strip()) - (1 << 63)
+
+
+_PARAGRAPH = re.compile(r"[^\n]+(?:\n[ \t]*[^\s][^\n]*)*")
+
+
+def elements_of(text: str) -> list[tuple[int, Node]]:
+    """What a page may share with others of its host: block subtrees, and, of texts written without elements, paragraphs that hold markup.
+
+    A paragraph that is the whole text is content, however often it recurs.
+    """
+    root = tree(text)
+    out = list(subtrees(text, root))
+    for m in _PARAGRAPH.finditer(text):
+        a, b = m.span()
+        if b - a >= MIN_CHARS and b - a < len(text.strip()) and not any(c.start < b and a < c.end for c in root.children) and kinds_of(m.group(), "prose"):
+            out.append((_digest(m.group()), Node("paragraph", a, b)))
+    return out
+
+
 def unescape(text: str) -> str:
     """Entities replaced, twice at most, as text may have been escaped twice."""
     for _ in range(2):
@@ -252,9 +275,13 @@ def render(text: str, templates: set[int], place: str) -> str:
         return re.sub(r"\A\s*\$\$?\s*|\s*\$\$?\s*\Z", "", text).strip()
     root = tree(text)
     if templates:
-        gone = [n for h, n in subtrees(text, root) if h in templates]
-        for node in sorted(gone, key=lambda n: -n.start):
-            text = text[: node.start] + text[min(node.end, len(text)) :] if node.end <= len(text) else text[: node.start]
+        gone, end = [], 0
+        for node in sorted((n for h, n in elements_of(text) if h in templates), key=lambda n: (n.start, -n.end)):
+            if node.start >= end:  # a subtree within one that goes is gone with it
+                gone.append(node)
+                end = node.end
+        for node in reversed(gone):
+            text = text[: node.start] + text[node.end :]
         root = tree(text)
     held: list[str] = []
 
@@ -327,17 +354,17 @@ def parts_of(value: str | None) -> list[str]:
 
 # ---------------------------------------------------------------- the operator
 
-_PARSED = "origin string, item_id bigint, host string, page bigint, place string, form string, text string, kinds array<string>, elements array<bigint>"
+_PARSED = "origin string, item_id bigint, host string, page bigint, place string, form string, text string, kinds array<string>, elements array<struct<element:bigint,body:string>>"
 _KEPT = ("origin", "item_id", "host", "page", "place", "form", "text")
-_CLEAN = "origin string, item_id bigint, kinds array<string>, clean_text string"
+_CLEAN = "origin string, item_id bigint, kinds array<string>, templates int, clean_text string"
 
 
 def _value(text: str | None, form: str) -> list[str]:
     return parts_of(text) if form == "raw" else [] if text is None else [text]
 
 
-def convert(items: DataFrame) -> DataFrame:
-    """Clean text of every item with markup. ``items``: origin, item_id, host, page, place, form (text or raw), text."""
+def parsed_items(items: DataFrame) -> DataFrame:
+    """The texts that may hold markup, parsed once and written down: kinds of markup, and elements with their hash."""
     suspects = items.where(F.col("text").rlike(SUSPECT))
 
     def parse(batches):
@@ -347,24 +374,34 @@ def convert(items: DataFrame) -> DataFrame:
             for text, place, form in zip(c["text"], c["place"], c["form"], strict=True):
                 values = _value(text, form)
                 kinds.append(sorted({k for v in values for k in kinds_of(v, place)}))
-                elements.append(sorted({h for v in values if place == "prose" and kinds[-1] for u in [unescape(v)] for h, _ in subtrees(u, tree(u))}))
-            keep = [i for i, k in enumerate(kinds) if k]
+                found = {h: u[n.start : n.end] for v in values if place == "prose" for u in [unescape(v)] for h, n in elements_of(u)} if kinds[-1] or "<" in text or "{" in text else {}
+                elements.append([{"element": h, "body": body} for h, body in sorted(found.items())])
+            keep = [i for i, k in enumerate(kinds) if k or elements[i]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(n)).take(pa.array(keep, pa.int64())) for n in _KEPT]
-                + [pa.array([kinds[i] for i in keep], pa.list_(pa.string())), pa.array([elements[i] for i in keep], pa.list_(pa.int64()))],
+                + [pa.array([kinds[i] for i in keep], pa.list_(pa.string())), pa.array([elements[i] for i in keep], pa.list_(pa.struct([("element", pa.int64()), ("body", pa.string())])))],
                 names=[*_KEPT, "kinds", "elements"],
             )
 
-    # the texts with markup, parsed once, written down, and read for the counts and for the conversion
-    parsed = cut(spread(suspects.select(*_KEPT)).mapInArrow(parse, _PARSED))
-    # per host and subtree the number of pages: one row a page and subtree first, so no page list is held
-    seen = parsed.select("host", "page", F.explode("elements").alias("element")).distinct()
+    return cut(spread(suspects.select(*_KEPT)).mapInArrow(parse, _PARSED))
+
+
+def templates_of(parsed: DataFrame, pages: DataFrame) -> DataFrame:
+    """Site templates: host, element, the pages it is on, and the host's pages. ``pages``: host and page of all items."""
+    # one row a page and element first, so no list of pages is held
+    seen = parsed.select("host", "page", F.explode("elements.element").alias("element")).distinct()
     counted = seen.groupBy("host", "element").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    sizes = parsed.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
-    recurring = counted.join(sizes, "host").where(F.col("pages") >= MIN_SHARE * F.col("all_pages")).select("host", "element")
-    hits = parsed.select("origin", "item_id", "host", F.explode("elements").alias("element")).join(recurring, ["host", "element"])
+    sizes = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    return counted.join(sizes, "host").where(F.col("pages") >= MIN_SHARE * F.col("host_pages"))
+
+
+def convert(items: DataFrame) -> DataFrame:
+    """Clean text of every item with markup or a site template. ``items``: origin, item_id, host, page, place, form (text or raw), text."""
+    parsed = parsed_items(items)
+    recurring = templates_of(parsed, items).select("host", "element")
+    hits = parsed.select("origin", "item_id", "host", F.explode("elements.element").alias("element")).join(recurring, ["host", "element"])
     hits = hits.groupBy("origin", "item_id").agg(F.collect_set("element").alias("templates"))  # of one item's own subtrees
-    todo = parsed.join(hits, ["origin", "item_id"], "left").select("origin", "item_id", "place", "form", "text", "kinds", "templates")
+    todo = parsed.drop("elements").join(hits, ["origin", "item_id"], "left").where("size(kinds) > 0 or templates is not null")
 
     def finish(batches):
         for batch in batches:
@@ -372,11 +409,12 @@ def convert(items: DataFrame) -> DataFrame:
             clean = []
             for text, place, form, gone in zip(c["text"], c["place"], c["form"], c["templates"], strict=True):
                 values = _value(text, form)
-                done = [render(v, set(gone or ()), place) if kinds_of(v, place) else v for v in values]
+                done = [render(v, set(gone or ()), place) if gone or kinds_of(v, place) else v for v in values]
                 clean.append("\n".join(f"- {d}" for d in done) if len(done) > 1 else done[0] if done else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), pa.array(clean, pa.string())], names=["origin", "item_id", "kinds", "clean_text"])
+            number = [len(gone or ()) for gone in c["templates"]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), pa.array(number, pa.int32()), pa.array(clean, pa.string())], names=["origin", "item_id", "kinds", "templates", "clean_text"])
 
-    return todo.mapInArrow(finish, _CLEAN)
+    return todo.select("origin", "item_id", "place", "form", "text", "kinds", "templates").mapInArrow(finish, _CLEAN)
 
 
 def items_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -400,4 +438,13 @@ def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
     return convert(items_of(spark, folder))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean}
+def p2_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Site templates that conversion removes, with one of the texts each stands for."""
+    items = items_of(spark, folder)
+    parsed = parsed_items(items)
+    found = templates_of(parsed, items)
+    bodies = parsed.select("host", F.explode("elements").alias("e")).select("host", "e.element", "e.body").join(found.select("host", "element"), ["host", "element"], "left_semi")
+    return found.join(bodies.groupBy("host", "element").agg(F.min("body").alias("body")), ["host", "element"])
+
+
+QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p2_templates": p2_templates}

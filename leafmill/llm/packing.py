@@ -14,7 +14,9 @@ group can cost one partly filled batch.
 
 Defined cases: null or negative sizes count as 0 tokens and are packed;
 null documents form a document of their own; a block loaded more than once
-counts once, with its latest load; other columns are not read.
+counts once, with its latest load; other columns are not read; a piece with more
+loss-bearing tokens than a batch may hold stays whole and counts as the limit, the rest
+of them being for the trainer to mask.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from ..session import table
 from .latest import latest
 
-CAPACITY, SEGMENTS, GROUP_BLOCKS = 512, 512, 4096
+CAPACITY, SEGMENTS, GROUP_BLOCKS, SALTS = 512, 512, 4096, 64
+#: Limits of batches for instruction data: segments, and tokens that bear loss.
+MOST_SEGMENTS, MOST_LOSS = 16, 448
 _OUT = "document_id bigint, grp bigint, bin int, block_ordinal int, content_id bigint, piece_no int, piece_tokens int, loss_tokens int"
 
 
@@ -68,7 +72,7 @@ def pack_group(tokens: np.ndarray, lossy: np.ndarray, capacity: int, segments: i
     at = np.repeat(np.arange(len(tokens)), count)
     piece = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
     size = np.minimum(capacity, tokens[at] - piece * capacity)
-    # loss-bearing tokens go with a split block's pieces from the front
+    # loss-bearing tokens go with a split block's pieces from the front; those of one piece above the limit are to be masked
     part = np.minimum(np.clip(lossy[at] - piece * capacity, 0, size), loss)
     if size.sum() <= capacity and len(at) <= segments and part.sum() <= loss:
         bins = np.zeros(len(at), np.int64)
@@ -86,20 +90,19 @@ def pack(blocks: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS,
         F.greatest(F.coalesce("loss" if "loss" in blocks.columns else "tokens", F.lit(0)), F.lit(0)).cast("int").alias("loss"),
     )
     # groups are ranges of ordinals: no count of the document's rows is needed first, and a huge document is many keys
-    rows = rows.withColumn("grp", F.coalesce(F.floor(F.col("block_ordinal") / group_blocks), F.lit(-1)).cast("bigint"))
+    grp = F.coalesce(F.floor(F.col("block_ordinal") / group_blocks), F.lit(-1))
+    # blocks without a document are no document, so they may be packed apart: salted, as there may be very many
+    rows = rows.withColumn("grp", F.when(F.col("document_id").isNull(), -2 - F.pmod(F.xxhash64("content_id"), F.lit(SALTS))).otherwise(grp).cast("bigint"))
     rows = rows.repartition("document_id", "grp").sortWithinPartitions("document_id", "grp", "block_ordinal", "content_id")
 
-    def pack_rows(columns: list[np.ndarray], begins: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-        out = [[] for _ in range(5)]
-        for a, b in zip(begins, ends, strict=True):
-            number = 0
-            # many blocks under one ordinal (or none) are packed in runs, so a group's cost stays bounded
-            for low in range(a, b, group_blocks):
-                high = min(b, low + group_blocks)
-                at, piece, size, part, bins = pack_group(columns[4][low:high], columns[5][low:high], capacity, segments, loss)
-                for column, x in zip(out, (at + low, piece, size, part, bins + number), strict=True):
-                    column.append(x)
-                number += int(bins.max()) + 1
+    def pack_rows(columns: list[np.ndarray], spans: list[tuple[int, int, int]]) -> tuple[pa.RecordBatch, int]:
+        """Spans of rows packed, each with the first bin number it may use; and the number after the last."""
+        out, number = [[] for _ in range(5)], 0
+        for low, high, number in spans:
+            at, piece, size, part, bins = pack_group(columns[4][low:high], columns[5][low:high], capacity, segments, loss)
+            for column, x in zip(out, (at + low, piece, size, part, bins + number), strict=True):
+                column.append(x)
+            number += int(bins.max()) + 1
         at, piece, size, part, bins = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
         return pa.RecordBatch.from_arrays(
             [
@@ -108,11 +111,11 @@ def pack(blocks: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS,
                 pa.array(piece, pa.int32()), pa.array(size, pa.int32()), pa.array(part, pa.int32()),
             ],
             names=["document_id", "grp", "bin", "block_ordinal", "content_id", "piece_no", "piece_tokens", "loss_tokens"],
-        )
+        ), number
 
     def run(batches_):
-        """Groups end where their key changes; the last group of a batch waits for the next batch."""
-        carry = None
+        """Groups end where their key changes; the last group of a batch waits for the next one, but for its full runs."""
+        carry, number = None, 0
         for batch in batches_:
             columns = [batch.column(i).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 5, 1, 2, 3, 4)]
             columns += [batch.column(i).is_null().to_numpy(zero_copy_only=False) for i in (0, 5, 1, 2)]
@@ -124,11 +127,20 @@ def pack(blocks: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS,
             new = np.ones(n, bool)
             new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[6][1:] != columns[6][:-1])
             begins = np.flatnonzero(new)
-            carry = [c[begins[-1] :] for c in columns]
-            if len(begins) > 1:
-                yield pack_rows(columns, begins[:-1], begins[1:])
-        if carry is not None:
-            yield pack_rows(carry, np.zeros(1, np.int64), np.array([len(carry[0])]))
+            for k, a in enumerate(begins):
+                last = k + 1 == len(begins)
+                end = n if last else begins[k + 1]
+                if k:
+                    number = 0
+                # many blocks under one ordinal (or none) are packed in runs, so a group's cost stays bounded
+                stop = a + (end - a) // group_blocks * group_blocks if last else end
+                for low in range(a, stop, group_blocks):
+                    made, number = pack_rows(columns, [(low, min(stop, low + group_blocks), number)])
+                    yield made
+                if last:
+                    carry = [c[stop:] for c in columns]
+        if carry is not None and len(carry[0]):
+            yield pack_rows(carry, [(0, len(carry[0]), number)])[0]
 
     return rows.mapInArrow(run, _OUT)
 
@@ -155,6 +167,33 @@ def p3_batches(spark: SparkSession, folder: str) -> DataFrame:
     return batches(pack(document_blocks(spark, folder)))
 
 
+def instruction_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of all documents with the tokens that bear loss: those of bodies; titles, captions and tables are prompts."""
+    kinds = table(spark, folder, "content_nodes").groupBy("content_id").agg(F.max("type").alias("type"))
+    prompt = F.coalesce(F.col("type"), F.lit("")).isin("title", "caption", "table")
+    return document_blocks(spark, folder).join(kinds, "content_id", "left").withColumn("loss", F.when(prompt, 0).otherwise(F.col("tokens"))).drop("type")
+
+
+def p3_instruction(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches under three limits at once: 512 tokens, 16 segments, 448 tokens that bear loss."""
+    return batches(pack(instruction_blocks(spark, folder), segments=MOST_SEGMENTS, loss=MOST_LOSS))
+
+
+def p3_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: the tokens packed under the three limits, and whether every batch keeps each of them."""
+    b = p3_instruction(spark, folder)
+    return b.groupBy("document_id").agg(
+        F.sum("content_tokens").cast("bigint").alias("tokens"), F.sum("loss_tokens").cast("bigint").alias("loss_tokens"),
+        (F.max("content_tokens") <= CAPACITY).alias("tokens_held"), (F.max("segments") <= MOST_SEGMENTS).alias("segments_held"), (F.max("loss_tokens") <= MOST_LOSS).alias("loss_held"),
+    )
+
+
+def p3_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """How many batches each of the three limits fills to the last place."""
+    b = p3_instruction(spark, folder)
+    return b.agg(F.count(F.lit(1)).alias("batches"), F.count_if(F.col("content_tokens") == CAPACITY).alias("full_of_tokens"), F.count_if(F.col("segments") == MOST_SEGMENTS).alias("full_of_segments"), F.count_if(F.col("loss_tokens") == MOST_LOSS).alias("full_of_loss"))
+
+
 def p3_waste(spark: SparkSession, folder: str) -> DataFrame:
     """Whole corpus: batches used against the least possible number, and the fill."""
     per_doc = p3_batches(spark, folder).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.sum("content_tokens").alias("tokens"))
@@ -168,8 +207,10 @@ def p3_content(spark: SparkSession, folder: str) -> DataFrame:
     return p.groupBy("document_id").agg(F.countDistinct("content_id").cast("bigint").alias("blocks"), F.sum("piece_tokens").cast("bigint").alias("tokens"))
 
 
+_LATEST = "SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY loaded_at DESC, coalesce(length(text), -1) DESC) AS rn FROM block_texts"
 SQL = {
-    "p3_content": """SELECT document_id, CAST(count(*) AS BIGINT) AS blocks, CAST(sum(greatest(coalesce(tokens, 0), 0)) AS BIGINT) AS tokens FROM (
-        SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY loaded_at DESC, coalesce(length(text), -1) DESC) AS rn FROM block_texts) WHERE rn = 1 GROUP BY document_id"""
+    "p3_content": f"SELECT document_id, CAST(count(*) AS BIGINT) AS blocks, CAST(sum(greatest(coalesce(tokens, 0), 0)) AS BIGINT) AS tokens FROM ({_LATEST}) WHERE rn = 1 GROUP BY document_id",
+    "p3_bounds": f"""SELECT document_id, CAST(sum(t) AS BIGINT) AS tokens, CAST(sum(CASE WHEN type IN ('title', 'caption', 'table') THEN 0 ELSE t // 512 * 448 + least(t % 512, 448) END) AS BIGINT) AS loss_tokens, true AS tokens_held, true AS segments_held, true AS loss_held
+        FROM (SELECT l.document_id, greatest(coalesce(tokens, 0), 0) AS t, n.type FROM ({_LATEST}) l LEFT JOIN (SELECT content_id, max(type) AS type FROM content_nodes GROUP BY 1) n ON l.content_id = n.content_id WHERE rn = 1) GROUP BY 1""",
 }
-QUERIES = {"p3_batches": p3_batches, "p3_waste": p3_waste, "p3_content": p3_content}
+QUERIES = {"p3_batches": p3_batches, "p3_waste": p3_waste, "p3_content": p3_content, "p3_instruction": p3_instruction, "p3_bounds": p3_bounds, "p3_limits": p3_limits}

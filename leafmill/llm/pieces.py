@@ -19,7 +19,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import bound_batches
@@ -141,11 +141,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """Per item: pieces, the longest, the greatest overlap, and whether the pieces cover the text."""
+    """Per item: the characters its pieces cover, and whether they keep the limit and the overlap, leave no gap and are as few as can be or one more in ten."""
     p = p1_pieces(spark, folder)
+    before = Window.partitionBy("origin", "content_id").orderBy("piece_no")  # the pieces of one text
+    p = p.withColumn("shared", F.coalesce(F.lag("end_char").over(before) - F.col("start_char"), F.lit(0)))
+    least = 1 + F.ceil((F.max("end_char") - LIMIT) / (LIMIT - OVERLAP))
     return p.groupBy("origin", "content_id").agg(
-        F.count(F.lit(1)).alias("pieces"), F.max(F.col("end_char") - F.col("start_char")).cast("int").alias("longest"),
-        F.max("end_char").alias("covered"), F.min("start_char").alias("begins"),
+        F.max("end_char").cast("bigint").alias("covered"), (F.max(F.col("end_char") - F.col("start_char")) <= LIMIT).alias("limit_held"),
+        (F.max("shared") <= OVERLAP).alias("overlap_held"), ((F.min("shared") >= 0) & (F.min("start_char") == 0)).alias("gapless"),
+        (F.count(F.lit(1)) <= F.ceil(least * 1.1)).alias("few"), (F.max("shared") > 0).alias("overlaps"),
     )
 
 
@@ -154,5 +158,8 @@ _LONG = """
         SELECT content_id, text, row_number() OVER (PARTITION BY content_id ORDER BY loaded_at DESC, coalesce(length(text), -1) DESC) AS rn FROM block_texts)
     WHERE rn = 1 AND length(text) > 1600
     UNION ALL SELECT 'content_nodes', content_id, search_text FROM content_nodes WHERE length(search_text) > 1600"""
-SQL = {"p1_found": f"SELECT origin, content_id FROM ({_LONG})"}
+SQL = {
+    "p1_found": f"SELECT origin, content_id FROM ({_LONG})",
+    "p1_coverage": f"SELECT origin, content_id, CAST(length(text) AS BIGINT) AS covered, true AS limit_held, true AS overlap_held, true AS gapless, true AS few, true AS overlaps FROM ({_LONG})",
+}
 QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_coverage": p1_coverage}

@@ -40,6 +40,32 @@ def test_packing(spark):
     assert small.agg(F.sum("content_tokens")).first()[0] == 3030
 
 
+def test_packing_under_three_limits(spark):
+    """Blocks that one limit alone would put together: the dot product keeps all three, and no document loses a token."""
+    rows = [(1, i, i, 40, 40 if i % 2 else 0) for i in range(24)] + [(2, i, 100 + i, 5, 0) for i in range(40)] + [(3, i, 200 + i, 100, 100) for i in range(10)] + [(4, 0, 300, 500, 500)]
+    df = spark.createDataFrame(rows, "document_id bigint, block_ordinal int, content_id bigint, tokens int, loss int")
+    limits = {"capacity": 512, "segments": 16, "loss": 256}
+    b = {r["document_id"]: r for r in packing.batches(packing.pack(df, **limits)).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.max("content_tokens").alias("t"), F.max("segments").alias("s"), F.max("loss_tokens").alias("l"), F.sum("content_tokens").alias("all"), F.sum("loss_tokens").alias("all_loss")).collect()}
+    assert all(r["t"] <= 512 and r["s"] <= 16 and r["l"] <= 256 for r in b.values())
+    assert [(b[i]["all"], b[i]["all_loss"]) for i in (1, 2, 3, 4)] == [(960, 480), (200, 0), (1000, 1000), (500, 256)]
+    assert [b[i]["n"] for i in (1, 2, 3, 4)] == [2, 3, 5, 1]  # bound by tokens, by segments, by loss; a block above the loss limit stays whole
+    one = {r["document_id"]: r["n"] for r in packing.batches(packing.pack(df.drop("loss"), capacity=512)).groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert one == {1: 2, 2: 1, 3: 2, 4: 1}  # tokens alone break the other limits
+
+
+def test_packing_of_one_key(spark):
+    """All blocks under one ordinal, or without a document: packed in runs, none lost, bins told apart."""
+    rows = [(1, 0, i, 100) for i in range(1000)] + [(None, 7, 5000 + i, 100) for i in range(500)]
+    df = spark.createDataFrame(rows, "document_id bigint, block_ordinal int, content_id bigint, tokens int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "150")
+    packed = packing.pack(df, group_blocks=64)
+    assert packed.count() == packed.select("content_id").distinct().count() == 1500
+    b = packing.batches(packed)
+    assert b.agg(F.max("content_tokens")).first()[0] == 500
+    assert b.where("document_id = 1").count() == 15 * 13 + 8
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(260, 64))
@@ -120,6 +146,25 @@ def test_markup_templates(spark):
     assert markup.convert(df.limit(0)).count() == 0
 
 
+def test_templates_follow_the_host(spark):
+    """On a small host ten pages make a template, on a large one a share of its pages; Markdown pages have templates too."""
+    row = "origin string, item_id bigint, host string, page bigint, place string, form string, text string"
+    menu, bar = "<ul><li>Archive of the harbour</li></ul>", "[Home](/) | [Archive](/a) | [Contact](/c)"
+    rows = [("b", i, "small", i, "prose", "text", f"{menu}<p>Page <b>{i}</b></p>") for i in range(25)]
+    rows += [("b", 1000 + i, "other", i, "prose", "text", f"<ul><li>Item of page {chr(97 + i)}{chr(97 + i)}{chr(97 + i)} alone</li></ul>") for i in range(25)]
+    rows += [("b", 2000 + i, "large", i, "prose", "text", f"{menu}<p>Page <b>{i}</b></p>") for i in range(12)] + [("b", 3000 + i, "large", 100 + i, "prose", "text", "Plain.") for i in range(700)]
+    rows += [("b", 4000 + i, "md", i, "prose", "text", f"{bar}\n\n# Title {i}\n\nText of the page.") for i in range(15)]
+    rows += [("b", 5000 + i, "same", i, "prose", "text", "**The very same text** of one paragraph") for i in range(15)]
+    df = spark.createDataFrame(rows, row)
+    got = {r["item_id"]: r for r in markup.convert(df).collect()}
+    assert got[3]["clean_text"] == "Page 3" and got[3]["templates"] == 1
+    assert "Item of page" in got[1003]["clean_text"] and got[1003]["templates"] == 0
+    assert "Archive" in got[2003]["clean_text"]  # twelve of 712 pages are below the share
+    assert got[4003]["clean_text"] == "Title 3\n\nText of the page." and got[5003]["clean_text"] == "The very same text of one paragraph"
+    found = markup.templates_of(markup.parsed_items(df), df).collect()
+    assert {(r["host"], r["pages"], r["host_pages"]) for r in found} == {("small", 25, 25), ("md", 15, 15)}
+
+
 def test_languages(spark):
     docs = spark.createDataFrame([(1, "the board approved the annual statement of the year.", "en-US"), (2, "der Vorstand genehmigte den Jahresabschluss des Jahres.", " DE "), (3, None, "en"), (4, "", None)], "doc_id bigint, text string, lang string")
     model = language.train(docs, ["de", "en"])
