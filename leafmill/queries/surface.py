@@ -56,11 +56,29 @@ _TEXTS: dict[str, str | tuple[str, str]] = {
     "sql_series": ("SELECT s AS n, s * s AS sq FROM (SELECT GENERATE_SERIES(1, 20) AS s)", "SELECT s AS n, s * s AS sq FROM (SELECT UNNEST(GENERATE_SERIES(1, 20)) AS s)"),
     "sql_arrays": ("SELECT doc_id, CARDINALITY(paratext) AS n, ARRAY_JOIN(paratext, '|') AS j FROM documents WHERE paratext IS NOT NULL", "SELECT doc_id, len(paratext) AS n, array_to_string(paratext, '|') AS j FROM documents WHERE paratext IS NOT NULL"),
     "sql_unnest": ("SELECT doc_id, UNNEST(paratext) AS entry FROM documents", "SELECT doc_id, UNNEST(paratext) AS entry FROM documents"),
-    "sql_json": ("SELECT event_id, CAST(GET_JSON_OBJECT(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events"),
+    "sql_json": ("SELECT event_id, (props ->> 'k')::bigint AS k, props -> 'k' AS raw FROM events", "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k, CAST(props -> '$.k' AS VARCHAR) AS raw FROM events"),
+    "sql_json_items": ("SELECT content_id, item ->> 'content' AS content, (item ->> 'depth')::int AS depth FROM content_nodes, jsonb_array_elements(raw -> 'items') AS t(item) WHERE type = 'list'", "SELECT content_id, item ->> '$.content' AS content, CAST(item ->> '$.depth' AS INT) AS depth FROM (SELECT content_id, unnest(from_json(raw -> '$.items', '[\"JSON\"]')) AS item FROM content_nodes WHERE type = 'list')"),
+    "sql_json_path": ("SELECT content_id, raw #>> '{items,0,content}' AS first_item, jsonb_array_length(raw -> 'items')::bigint AS n FROM content_nodes WHERE raw IS NOT NULL", "SELECT content_id, raw ->> '$.items[0].content' AS first_item, CASE WHEN (raw -> '$.items') IS NOT NULL THEN CAST(json_array_length(raw -> '$.items') AS BIGINT) END AS n FROM content_nodes WHERE raw IS NOT NULL"),
+    "sql_regex_column": ("SELECT p_partkey, p_name ~* left(p_type, 3) AS like_type, p_brand !~ p_name AS odd FROM part", "SELECT p_partkey, regexp_matches(p_name, '(?i)' || left(p_type, 3)) AS like_type, NOT regexp_matches(p_brand, p_name) AS odd FROM part"),
+    "sql_similar": ("SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#(1|2)%' AND p_type NOT SIMILAR TO '%(STEEL|TIN)'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#(1|2).*') AND NOT regexp_full_match(p_type, '.*(STEEL|TIN)')"),
+    "sql_array_agg": ("SELECT o_custkey, ARRAY_AGG(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS keys FROM orders GROUP BY o_custkey", "SELECT o_custkey, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS keys FROM orders GROUP BY o_custkey"),
+    "sql_any_all": ("SELECT n_nationkey, n_regionkey = ANY(ARRAY[1, 3]) AS some, n_nationkey <> ALL(ARRAY[2, 4, 6]) AS none, n_nationkey > ALL(ARRAY[5, 9]) AS above FROM nation", "SELECT n_nationkey, n_regionkey IN (1, 3) AS some, n_nationkey NOT IN (2, 4, 6) AS none, n_nationkey > 9 AS above FROM nation"),
+    "sql_array_items": ("SELECT doc_id, paratext[1] AS first_entry, CARDINALITY(paratext[2:3]) AS later FROM documents WHERE paratext IS NOT NULL", "SELECT doc_id, paratext[1] AS first_entry, len(paratext[2:3]) AS later FROM documents WHERE paratext IS NOT NULL"),
+    "sql_unnest_from": ("SELECT d.doc_id, e.entry FROM documents d, unnest(d.paratext) AS e(entry) WHERE e.entry <> ''", "SELECT doc_id, entry FROM (SELECT doc_id, unnest(paratext) AS entry FROM documents) WHERE entry <> ''"),
+    "sql_series_from": ("SELECT g.n, COUNT(o.o_orderkey) AS orders FROM generate_series(0, 6) AS g(n) LEFT JOIN orders o ON extract(dow FROM o.o_orderdate) = g.n GROUP BY g.n", "SELECT g.n, COUNT(o.o_orderkey) AS orders FROM generate_series(0, 6) AS g(n) LEFT JOIN orders o ON extract(dow FROM o.o_orderdate) = g.n GROUP BY g.n"),
+    "sql_groups_frame": "SELECT p_partkey, SUM(p_size) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS near, COUNT(*) OVER (PARTITION BY p_brand ORDER BY p_size DESC GROUPS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS after FROM part",
+    "sql_offset_fetch": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey OFFSET 7 ROWS FETCH NEXT 5 ROWS ONLY",
+    "sql_arithmetic": ("SELECT l_orderkey, l_linenumber, -l_linenumber ^ 2 AS sq, 2 ^ l_linenumber ^ 2 AS pw, 100 - l_partkey % 7 * 2 AS m, l_partkey / 3 / 2 AS q, (l_partkey + 9007199254740993) / 1 AS big, l_partkey / 2 * 2.5 AS half FROM lineitem", "SELECT l_orderkey, l_linenumber, pow(-l_linenumber, 2) AS sq, pow(pow(2, l_linenumber), 2) AS pw, 100 - l_partkey % 7 * 2 AS m, l_partkey // 3 // 2 AS q, l_partkey + 9007199254740993 AS big, (l_partkey // 2) * 2.5 AS half FROM lineitem"),
+    "sql_text_functions": ("SELECT c_custkey, left(c_name, -4) AS l, right(c_name, -9) AS r, substring(c_name from '[0-9]+') AS digits, substring(c_name from 'Customer#0*([1-9][0-9]*)') AS id, format('%s of %s', c_name, c_mktsegment) AS f, INITCAP(LOWER(c_mktsegment)) AS i FROM customer", "SELECT c_custkey, left(c_name, -4) AS l, right(c_name, -9) AS r, nullif(regexp_extract(c_name, '[0-9]+'), '') AS digits, nullif(regexp_extract(c_name, 'Customer#0*([1-9][0-9]*)', 1), '') AS id, c_name || ' of ' || c_mktsegment AS f, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS i FROM customer"),
+    "sql_date_arithmetic": (
+        "SELECT o_orderkey, o_orderdate::date - DATE '1992-01-01' AS days, extract(epoch FROM o_orderdate - TIMESTAMP '1992-01-01 00:00:00')::bigint AS secs, extract(year FROM age(o_orderdate, TIMESTAMP '1992-01-01 00:00:00')) AS y, extract(month FROM age(o_orderdate, TIMESTAMP '1992-01-01 00:00:00')) AS mon, to_date(to_char(o_orderdate, 'DD.MM.YYYY'), 'DD.MM.YYYY') AS back, to_char(o_orderdate, 'DD/MM/YY HH24:MI') AS t FROM orders",
+        "SELECT o_orderkey, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS days, CAST(epoch(o_orderdate) - epoch(TIMESTAMP '1992-01-01') AS BIGINT) AS secs, extract(year FROM age(o_orderdate, TIMESTAMP '1992-01-01')) AS y, extract(month FROM age(o_orderdate, TIMESTAMP '1992-01-01')) AS mon, CAST(o_orderdate AS DATE) AS back, strftime(o_orderdate, '%d/%m/%y %H:%M') AS t FROM orders",
+    ),
+    "sql_map": ("SELECT doc_id, element_at(m, 'lang') AS lang, map_keys(m) AS keys FROM (SELECT doc_id, map('lang', lang, 'source', source) AS m FROM documents)", "SELECT doc_id, m['lang'] AS lang, map_keys(m) AS keys FROM (SELECT doc_id, MAP {'lang': lang, 'source': source} AS m FROM documents)"),
+    "sql_approx": ("SELECT l_returnflag, COUNT(DISTINCT l_partkey) AS parts, ABS(APPROX_COUNT_DISTINCT(l_partkey) - COUNT(DISTINCT l_partkey)) <= 0.15 * COUNT(DISTINCT l_partkey) AS near FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, COUNT(DISTINCT l_partkey) AS parts, COUNT(DISTINCT l_partkey) > 0 AS near FROM lineitem GROUP BY l_returnflag"),
     "sql_hash": ("SELECT c_custkey, MD5(c_name) AS m, SHA2(c_name, 256) AS s FROM customer", "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s FROM customer"),
     "sql_theta_join": "SELECT a.r_name AS a, b.r_name AS b FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey",
     "sql_having": "SELECT o_custkey, COUNT(*) AS n, MAX(o_totalprice) AS top FROM orders GROUP BY o_custkey HAVING COUNT(*) >= 12",
-    "sql_approx": ("SELECT 1 AS one, ABS(APPROX_COUNT_DISTINCT(l_partkey) - COUNT(DISTINCT l_partkey)) <= 0.1 * COUNT(DISTINCT l_partkey) AS close FROM lineitem", "SELECT 1 AS one, true AS close"),
     "tpch_pricing_summary": "SELECT l_returnflag, l_linestatus, CAST(SUM(l_quantity) AS BIGINT) AS sum_qty, ROUND(SUM(l_extendedprice), 2) AS sum_base, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, COUNT(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus",
     "tpch_shipping_priority": "SELECT l_orderkey, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10",
     "tpch_local_supplier": "SELECT n_name, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name",
