@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordering import numbered
+
 
 def cell(value: Column) -> Column:
     """A cell's text; an absent cell is empty."""
@@ -53,16 +55,14 @@ def headers(grid: Column, header_rows: Column) -> Column:
 
 def stride_sample(rows: DataFrame, by: list[str], order: list[str], k: int = 10) -> DataFrame:
     """All rows of a table of up to ``k``, else every ``n/k``-th."""
-    w = Window.partitionBy(*by)
-    r = rows.withColumn("rn", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    r = numbered(rows, by, order)
     picks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * F.col("n") / k).cast("int"))
     return r.where((F.col("n") <= k) | F.array_contains(picks, F.col("rn"))).drop("rn", "n")
 
 
 def stratified_sample(rows: DataFrame, by: list[str], order: list[str], top: int = 4, bottom: int = 2, every: int = 25, cap: int = 20) -> DataFrame:
     """First rows, last rows and every ``every``-th between, at most ``cap`` a table (the sample's own size)."""
-    w = Window.partitionBy(*by)
-    r = rows.withColumn("rn", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    r = numbered(rows, by, order)
     step = F.greatest(F.lit(every), F.ceil((F.col("n") - top - bottom) / F.lit(cap - top - bottom)))
     return r.where((F.col("rn") < top) | (F.col("rn") >= F.col("n") - bottom) | (F.pmod(F.col("rn") - top, step) == 0)).drop("rn", "n")
 
@@ -94,6 +94,13 @@ def conformance(cells: DataFrame, by: list[str], order: str = "row_idx", value:
     return c.groupBy(*by, "run", "state").agg(F.min(order).alias("from_row"), F.max(order).alias("to_row"), F.count(F.lit(1)).alias("n"))
 
 
+def transposed_body(grid: Column, data_start: Column, data_end: Column, col_start: Column, col_end: Column) -> tuple[Column, Column]:
+    """A table whose records are columns: headers and data rows of the slice, turned; its first row then names the columns."""
+    turned = transpose(sliced(grid, col_start, col_end, F.filter(grid, lambda r, i: (i >= data_start) & (i < data_end))))
+    none = F.expr("cast(array() as array<int>)")
+    return headers(turned, F.array(F.lit(0))), body(turned, F.lit(1), F.size(turned), none)
+
+
 def unpivot(grid: DataFrame, keys: list[str], values: list[str], name: str = "header", value: str = "value") -> DataFrame:
     """A crosstab in long form: one row for each cell that isn't empty."""
     return grid.unpivot(keys, values, name, value).where(F.col(value).isNotNull() & (F.trim(F.col(value).cast("string")) != ""))
@@ -116,7 +123,7 @@ def claims(tables: DataFrame) -> DataFrame:
 
 def overlaps(tables: DataFrame) -> DataFrame:
     """Pairs of tables of a region whose rectangles intersect."""
-    a, b = tables.alias("a"), tables.alias("b")
+    a, b = tables.alias("a"), tables.alias("b")  # the few tables of one sheet's region
     meet = (F.col("a.region_id") == F.col("b.region_id")) & (F.col("a.table_no") < F.col("b.table_no")) & (F.col("a.data_start") < F.col("b.data_end")) & (F.col("b.data_start") < F.col("a.data_end")) & (F.col("a.col_start") < F.col("b.col_end")) & (F.col("b.col_start") < F.col("a.col_end"))
     return a.join(b, meet).select(F.col("a.region_id").alias("region_id"), F.col("a.table_no").alias("first_no"), F.col("b.table_no").alias("second_no"))
 

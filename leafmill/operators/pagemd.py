@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 #: Tags of the page format (fixed values).
 TAGS = ["TEXT", "EXTRA", "LIST", "TABLE", "FORM", "CODE", "EQUATION", "VISUAL", "PARATEXT"]
-#: Lines in which a reader talks about itself (fixed patterns).
-META = [r"(?i)^(sure|certainly)[,!.]", r"(?i)^here is (the|a) ", r"(?i)^i('m| am) (sorry|unable)", r"(?i)^as an ai", r"(?i)^the (image|page) (shows|contains|is blank)", r"(?i)^note: (the|this) (image|page)"]
+#: Lines in which a reader talks about itself instead of the page (fixed patterns).
+META = [
+    r"(?i)^here is the (content|text|transcription)\b", r"(?i)^this transcription includes\b", r"(?i)^i (cannot|can't|am unable to)\b",
+    r"(?i)^the (provided )?image (is|appears)\b.*(blank|empty)", r"(?i)^there is no (visible )?(text|content)\b", r"(?i)^therefore,.*(cannot|no markdown|no table)\b",
+]
 
 
 def strip_think(text: Column) -> Column:
@@ -25,7 +28,7 @@ def strip_fence(text: Column) -> Column:
 def strip_meta(text: Column) -> Column:
     """Rules and self-talk away."""
     lines = F.split(text, "\n", -1)
-    bad = lambda x: F.trim(x).rlike("^-{3,}$") | F.coalesce(*[F.when(F.trim(x).rlike(p), True) for p in META], F.lit(False))
+    bad = lambda x: (F.trim(x) == "---") | F.coalesce(*[F.when(F.trim(x).rlike(p), True) for p in META], F.lit(False))
     return F.array_join(F.filter(lines, lambda x: ~bad(x)), "\n")
 
 

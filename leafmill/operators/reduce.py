@@ -83,6 +83,12 @@ def extract_summary(text: Column, budget: Column | int) -> Column:
     return F.when(text.isNotNull(), kept)
 
 
+def fabricated(answer: Column, known: Column) -> Column:
+    """Bracketed citations of an answer that name no known source, each once in order; a page suffix is no part of a name."""
+    cited = F.transform(F.regexp_extract_all(answer, F.lit(r"\[([^\]\n]+)\]"), 1), lambda c: F.regexp_replace(F.trim(c), r"\s+p\.?[0-9]+$", ""))
+    return F.array_except(F.array_distinct(cited), known)
+
+
 def upsert(current: DataFrame, incoming: DataFrame, key: str, when: str) -> DataFrame:
     """Both, the latest row of a key winning; incoming wins a tie."""
     both = current.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
@@ -90,13 +96,21 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, when: str) -> Data
     return both.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__new")
 
 
-def export_markdown(nodes: DataFrame) -> DataFrame:
-    """A document's nodes as Markdown: a heading where it changes, lists, fenced code, formulas."""
+def join_markdown(leaves: DataFrame, order: list[str]) -> DataFrame:
+    """A document's parts (document_id, heading, md, content_id) as one text, a heading standing where it changes."""
+    w = Window.partitionBy("document_id").orderBy(*[F.col(c).asc_nulls_last() for c in order], "content_id")
+    n = leaves.withColumn("place", F.row_number().over(w))
     w = Window.partitionBy("document_id").orderBy("place")
+    changed = F.col("heading").isNotNull() & ~F.lag("heading").over(w).eqNullSafe(F.col("heading"))
+    n = n.withColumn("md", F.concat_ws("\n\n", F.when(changed, F.concat(F.lit("## "), F.col("heading"))), "md"))
+    return n.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "md"))), lambda x: x["md"]), "\n\n").alias("markdown"))
+
+
+def export_markdown(nodes: DataFrame) -> DataFrame:
+    """A document's nodes as Markdown: a heading where it changes, lists indented, fenced code, formulas, tables' pipes escaped."""
     body = F.get_json_object("raw", "$.text")
     items = F.array_join(F.transform(F.from_json("raw", "struct<items:array<struct<content:string,depth:int>>>")["items"], lambda i: F.concat(F.repeat(F.lit("  "), F.coalesce(i["depth"], F.lit(0))), F.lit("- "), F.coalesce(i["content"], F.lit("")))), "\n")
-    part = F.when(F.col("type") == "list", items).when(F.col("type") == "code", F.concat(F.lit("```\n"), body, F.lit("\n```"))).when(F.col("type") == "equation", F.concat(F.lit("$$\n"), F.col("latex"), F.lit("\n$$"))).when(F.col("type") == "title", F.concat(F.lit("## "), body)).when(F.col("type") == "table", F.regexp_replace("search_text", "\\|", "\\\\|")).otherwise(body)
-    n = nodes.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy(F.coalesce("page_no", "sheet_no").asc_nulls_last(), F.col("ordinal").asc_nulls_last(), "content_id")))
-    changed = F.col("heading").isNotNull() & ~F.coalesce(F.lag("heading").over(w).eqNullSafe(F.col("heading")), F.lit(False)) & (F.col("type") != "title")
-    n = n.withColumn("md", F.concat_ws("\n\n", F.when(changed, F.concat(F.lit("## "), F.col("heading"))), part))
-    return n.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "md"))), lambda x: x["md"]), "\n\n").alias("markdown"))
+    part = F.when(F.col("type") == "list", items).when(F.col("type") == "code", F.concat(F.lit("```\n"), body, F.lit("\n```"))).when(F.col("type") == "equation", F.concat(F.lit("$$\n"), F.col("latex"), F.lit("\n$$"))).when(F.col("type") == "title", F.concat(F.lit("## "), body)).when(F.col("type") == "table", F.replace(F.col("search_text"), F.lit("|"), F.lit("\\|"))).otherwise(body)
+    heading = F.when(F.col("type") == "title", F.lit(None)).otherwise(F.col("heading"))
+    n = nodes.withColumns({"md": part, "heading": heading, "__page": F.coalesce("page_no", "sheet_no")})
+    return join_markdown(n, ["__page", "ordinal"])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import threading
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -65,12 +66,14 @@ def execute(spark: SparkSession, sql: str, labels: list[str] | None = None, time
     timer = threading.Timer(timeout, lambda: spark.interruptTag(tag))
     timer.start()
     try:
+        df = df.persist()  # what the first rows were made of isn't made again to be counted
         rows = [tuple(r) for r in df.limit(cap + 1).collect()]
         total = len(rows) if len(rows) <= cap else df.count()
     finally:
+        df.unpersist()
         timer.cancel()
         spark.removeTag(tag)
-    return SqlResult(sql, df.columns, rows[:cap], total, sources(sql, labels or []))
+    return SqlResult(sql, df.columns, rows[:cap], total, sources(sql, labels or [], df.columns, rows[:cap]))
 
 
 def answer_all(spark: SparkSession, queries: list[str], labels: list[str] | None = None) -> list[SqlResult]:
@@ -84,19 +87,25 @@ def answer_all(spark: SparkSession, queries: list[str], labels: list[str] | None
     return out
 
 
-def sources(sql: str, labels: list[str]) -> list[str]:
-    """Labels of the tables a query names, each once, in order."""
-    return list(dict.fromkeys(labels[int(n)] for n in re.findall(r"\bt(\d+)\b", sql) if int(n) < len(labels)))
+def sources(sql: str, labels: list[str], columns: list[str] = (), rows: list[tuple] = ()) -> list[str]:
+    """Labels of the tables a query names, each once, in order; of a query that names none, what its ``file`` and ``sheet`` columns hold; else all labels."""
+    named = [labels[int(n)] for n in re.findall(r"\bt(\d+)\b", sql) if int(n) < len(labels)]
+    if named:
+        return list(dict.fromkeys(named))
+    at = [i for i, c in enumerate(columns) if c.lower() in ("file", "sheet")]
+    held = [str(r[i]) for r in rows for i in at if r[i] is not None]
+    return list(dict.fromkeys(held or labels))
 
 
 def labels_of(names: list[tuple[str, str | None]]) -> list[str]:
     """``file (place)`` for each table; repeats are numbered in order."""
     plain = [f"{f} ({p})" if p else f for f, p in names]
+    times = Counter(plain)
     seen: dict[str, int] = {}
     out = []
     for label in plain:
         seen[label] = seen.get(label, 0) + 1
-        out.append(f"{label} #{seen[label]}" if plain.count(label) > 1 else label)
+        out.append(f"{label} #{seen[label]}" if times[label] > 1 else label)
     return out
 
 

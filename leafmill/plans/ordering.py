@@ -22,3 +22,17 @@ def global_rank(df: DataFrame, order: list[Column | str], name: str = "place") -
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
     # one row a partition: never more than the shuffle's partitions
     return rows.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], count: str = "n", number: str = "rn", sums: dict[str, str] | None = None) -> DataFrame:
+    """Every row's number from 0 within its group, the group's rows, and sums over the group.
+
+    One group may be most of the rows: rows are ranked over all groups by range
+    partitions, and a group's first rank is taken off; only one row a group is aggregated.
+    """
+    ranked = global_rank(df, [*by, *order], "__rank")
+    groups = ranked.groupBy(*by).agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias(count), *[F.sum(c).alias(name) for name, c in (sums or {}).items()])
+    keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    both = ranked.alias("a").join(groups.alias("b"), keys)
+    made = [count, *(sums or {})]
+    return both.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a.__rank") - F.col("b.__first")).alias(number), *[F.col(f"b.{c}") for c in made])

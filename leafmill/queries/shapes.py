@@ -66,10 +66,23 @@ def pivot_crosstab(spark, folder):
 
 
 def claimed_regions(spark, folder):
+    """Batches as the tables of a document's region, each three rows longer than it is: those that are left, moved out of each other's way."""
     b = table(spark, folder, "content_batches").where("start_block_ordinal is not null")
     t = b.select(F.col("document_id").alias("region_id"), F.col("batch_no").alias("table_no"), F.col("start_block_ordinal").alias("data_start"), (F.col("end_block_ordinal") + 3).alias("data_end"), (F.col("batch_no") % 2).alias("col_start"), (F.col("batch_no") % 2 + 2).alias("col_end"))
-    t = t.select("region_id", *[F.col(c).cast("int").alias(c) for c in ("table_no", "data_start", "data_end", "col_start", "col_end")])
-    return G.overlaps(G.claims(t)).groupBy().agg(F.count(F.lit(1)).alias("overlapping"))
+    return G.claims(t.select("region_id", *[F.col(c).cast("int").alias(c) for c in ("table_no", "data_start", "data_end", "col_start", "col_end")]))
+
+
+def region_overlaps(spark, folder):
+    """The same tables before they are moved: which pairs meet."""
+    b = table(spark, folder, "content_batches").where("start_block_ordinal is not null")
+    t = b.select(F.col("document_id").alias("region_id"), F.col("batch_no").alias("table_no"), F.col("start_block_ordinal").alias("data_start"), (F.col("end_block_ordinal") + 3).alias("data_end"), (F.col("batch_no") % 2).alias("col_start"), (F.col("batch_no") % 2 + 2).alias("col_end"))
+    return G.overlaps(t)
+
+
+def transposed_tables(spark, folder):
+    """Grids read as tables whose records are columns."""
+    heads, rows = G.transposed_body(F.col("grid"), F.lit(0), F.size("grid"), F.lit(0), G.width(F.col("grid")))
+    return _grids(spark, folder).select("block_id", F.array_join(heads, "|").alias("names"), F.md5(_flat(rows)).alias("digest"), F.size(rows).cast("bigint").alias("n_rows"))
 
 
 def number_cells(spark, folder):
@@ -114,8 +127,10 @@ def fence_strip_all(spark, folder):
 
 
 def meta_strip(spark, folder):
+    """Texts under a reader's own remarks, and their own lines that look like some but aren't."""
     d = table(spark, folder, "documents").where("text is not null")
-    return d.select("doc_id", F.length(P.strip_meta(F.concat(F.lit("Sure, here it is\n---\n"), "text"))).cast("bigint").alias("chars"))
+    said = F.concat(F.lit("Here is the transcription of it:\n---\nThe image shows a harbour.\nI cannot read more.\n"), "text")
+    return d.select("doc_id", F.md5(P.strip_meta(said)).alias("digest"))
 
 
 def paragraphs(spark, folder):
@@ -203,9 +218,12 @@ def table_labels(spark, folder):
 
 
 def citation_audit(spark, folder):
-    d = table(spark, folder, "documents").where("title is not null").select("doc_id", "title", F.concat(F.lit("As stated ["), "title", F.lit("] and [Made Up 12] and [sic].")).alias("answer"))
-    cited = F.regexp_extract_all("answer", F.lit(r"\[([^\]\n]+)\]"), 1)
-    return d.select("doc_id", F.array_join(F.array_sort(F.array_except(cited, F.array("title"))), "; ").alias("fabricated"))
+    """An answer per document that cites its title with a page, its file and its source; its title and source are known."""
+    d = table(spark, folder, "documents").where("title is not null")
+    page = F.concat(F.lit(" p"), (F.col("doc_id") % 9 + 1).cast("string"))
+    said = F.concat(F.lit("As ["), "title", page, F.lit("] has it, and ["), F.coalesce("filename", F.lit("no file")), F.lit("], see ["), F.coalesce("source", F.lit("nowhere")), F.lit("] and ["), "title", F.lit("]."))
+    made = D.fabricated(said, F.array("title", F.coalesce("source", F.lit("somewhere"))))
+    return d.select("doc_id", F.array_join(made, "; ").alias("fabricated"))
 
 
 def summary_upsert(spark, folder):
@@ -269,6 +287,7 @@ _PACK = """RECURSIVE o AS (SELECT document_id, block_ordinal, content_id, coales
       UNION ALL SELECT o.document_id, o.content_id, o.block_ordinal, o.i, o.t, CASE WHEN p.used > 0 AND p.used + o.t > 512 THEN o.t ELSE p.used + o.t END, p.bin + CASE WHEN p.used > 0 AND p.used + o.t > 512 THEN 1 ELSE 0 END FROM p JOIN o ON o.document_id = p.document_id AND o.i = p.i + 1)"""
 _PAGES = _B + """, t AS (SELECT document_id, page_idx, block_id, CASE type WHEN 'list' THEN 'LIST' WHEN 'code' THEN 'CODE' WHEN 'equation' THEN 'EQUATION' WHEN 'header' THEN 'PARATEXT' WHEN 'number' THEN 'PARATEXT' ELSE 'TEXT' END AS tag, text
     FROM b WHERE text IS NOT NULL AND NOT contains(text, '```') AND NOT contains(text, '=='))"""
+_REGIONS = "t AS (SELECT document_id AS region_id, CAST(batch_no AS INT) AS table_no, CAST(start_block_ordinal AS INT) AS data_start, CAST(end_block_ordinal + 3 AS INT) AS data_end, CAST(batch_no % 2 AS INT) AS col_start, CAST(batch_no % 2 + 2 AS INT) AS col_end FROM content_batches WHERE start_block_ordinal IS NOT NULL)"
 SQL = {
     "transpose_grid": _G + ", w AS (SELECT block_id, grid, list_max(list_transform(grid, lambda r: len(r))) AS w FROM g) SELECT block_id, array_to_string(list_transform(range(1, w + 1), lambda i: array_to_string(list_transform(grid, lambda r: coalesce(r[i], '')), '|')), chr(10)) AS flat FROM w",
     "header_naming": _G + ", w AS (SELECT block_id, grid[1] AS h, list_max(list_transform(grid, lambda r: len(r))) AS w FROM g) SELECT block_id, array_to_string(list_transform(range(1, w + 1), lambda i: CASE WHEN trim(coalesce(h[i], '')) = '' OR regexp_matches(trim(h[i]), '^-?[0-9]+\\.[0-9]+$') THEN 'col' || CAST(i - 1 AS VARCHAR) ELSE trim(h[i]) END), '|') AS names FROM w",
@@ -284,7 +303,17 @@ SQL = {
         SELECT block_id, CAST(col AS INT) AS col, CAST(run AS INT) AS run, state, CAST(min(row_idx) AS INT) AS from_row, CAST(max(row_idx) AS INT) AS to_row, count(*) AS n FROM u GROUP BY block_id, col, run, state""",
     "unpivot_crosstab": "SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem WHERE l_linestatus IN ('F', 'O') GROUP BY 1, 2",
     "pivot_crosstab": "SELECT o_orderpriority, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS F, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS O, nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS P FROM orders GROUP BY 1",
-    "claimed_regions": "SELECT CAST(0 AS BIGINT) AS overlapping",
+    "claimed_regions": f"""WITH RECURSIVE {_REGIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY data_start, table_no, data_end, col_start, col_end) AS i FROM t),
+        r AS (SELECT DISTINCT region_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(table_no INT, data_start INT, data_end INT, col_start INT, col_end INT)[]) AS done FROM t
+          UNION ALL SELECT region_id, i, CASE WHEN s < data_end THEN list_append(done, {{'table_no': table_no, 'data_start': s, 'data_end': data_end, 'col_start': col_start, 'col_end': col_end}}) ELSE done END FROM (
+            SELECT o.*, r.done, greatest(o.data_start, coalesce(list_max(list_transform(list_filter(r.done, lambda d: d.col_start < o.col_end AND o.col_start < d.col_end), lambda d: d.data_end)), 0)) AS s FROM r JOIN o ON o.region_id = r.region_id AND o.i = r.i + 1)),
+        l AS (SELECT region_id, unnest(arg_max(done, i)) AS d FROM r GROUP BY 1) SELECT region_id, d.table_no, d.data_start, d.data_end, d.col_start, d.col_end FROM l""",
+    "region_overlaps": f"WITH {_REGIONS} SELECT a.region_id, a.table_no AS first_no, b.table_no AS second_no FROM t a JOIN t b ON a.region_id = b.region_id AND a.table_no < b.table_no AND a.data_start < b.data_end AND b.data_start < a.data_end AND a.col_start < b.col_end AND b.col_start < a.col_end",
+    "transposed_tables": _G + """, w AS (SELECT block_id, grid, list_max(list_transform(grid, lambda r: len(r))) AS w FROM g),
+        x AS (SELECT block_id, list_transform(range(1, w + 1), lambda i: list_transform(grid, lambda r: coalesce(r[i], ''))) AS t, len(grid) AS n FROM w),
+        y AS (SELECT block_id, n, t[1] AS h, list_filter(t[2:], lambda r: len(list_filter(r, lambda c: trim(c) <> '')) > 0) AS b FROM x)
+        SELECT block_id, array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN trim(coalesce(h[i], '')) = '' OR regexp_matches(trim(h[i]), '^-?[0-9]+\\.[0-9]+$') THEN 'col' || CAST(i - 1 AS VARCHAR) ELSE trim(h[i]) END), '|') AS names,
+          md5(coalesce(array_to_string(list_transform(b, lambda r: array_to_string(r, '|')), chr(10)), '')) AS digest, CAST(len(b) AS BIGINT) AS n_rows FROM y""",
     "number_cells": _CELLS + " SELECT block_id, count(*) AS n FROM c WHERE regexp_matches(regexp_replace(trim(value), '[,%]', '', 'g'), '^[-+]?[0-9]+(\\.[0-9]+)?([eE][-+]?[0-9]+)?$') GROUP BY 1",
     "tag_split": f"WITH {_PAGES} SELECT document_id, page_idx, tag, count(*) AS sections, CAST(sum(length(text)) AS BIGINT) AS chars FROM t WHERE trim(text, ' ') <> '' GROUP BY 1, 2, 3",
     "think_strip": "SELECT doc_id, md5(text || '!') AS digest FROM documents WHERE text IS NOT NULL",
@@ -307,7 +336,12 @@ SQL = {
     "size_gate": "SELECT document_id, coalesce(sum(summary_tokens), 0) <= 22528 AS fits FROM content_batches GROUP BY 1",
     "inventory": "SELECT d.doc_id, coalesce(title, filename, '?') || ' (' || coalesce(n, 0) || ' sections)' AS entry FROM documents d LEFT JOIN (SELECT document_id, count(*) AS n FROM content_batches GROUP BY 1) b ON d.doc_id = b.document_id",
     "table_labels": "SELECT table_id, CASE WHEN count(*) OVER (PARTITION BY title) > 1 THEN title || ' #' || row_number() OVER (PARTITION BY title ORDER BY table_id) ELSE title END AS label FROM table_catalog",
-    "citation_audit": "SELECT doc_id, 'Made Up 12; sic' AS fabricated FROM documents WHERE title IS NOT NULL",
+    "citation_audit": """WITH c AS (SELECT doc_id, title, coalesce(source, 'somewhere') AS known, coalesce(filename, 'no file') AS f, coalesce(source, 'nowhere') AS s FROM documents WHERE title IS NOT NULL),
+        n AS (SELECT *, list_filter([regexp_replace(trim(title || ' p' || (doc_id % 9 + 1)), '\\s+p\\.?[0-9]+$', ''), regexp_replace(trim(f), '\\s+p\\.?[0-9]+$', ''), regexp_replace(trim(s), '\\s+p\\.?[0-9]+$', '')], lambda x: x <> title AND x <> known) AS bad FROM c)
+        SELECT doc_id, array_to_string(CASE WHEN len(bad) = 2 AND bad[1] = bad[2] THEN bad[1:1] ELSE bad END, '; ') AS fabricated FROM n""",
+    "meta_strip": """SELECT doc_id, md5('The image shows a harbour.' || chr(10) || array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT (trim(x, ' ') = '---'
+        OR regexp_matches(trim(x, ' '), '(?i)^here is the (content|text|transcription)\\b') OR regexp_matches(trim(x, ' '), '(?i)^this transcription includes\\b') OR regexp_matches(trim(x, ' '), '(?i)^i (cannot|can''t|am unable to)\\b')
+        OR regexp_matches(trim(x, ' '), '(?i)^the (provided )?image (is|appears)\\b.*(blank|empty)') OR regexp_matches(trim(x, ' '), '(?i)^there is no (visible )?(text|content)\\b') OR regexp_matches(trim(x, ' '), '(?i)^therefore,.*(cannot|no markdown|no table)\\b'))), chr(10))) AS digest FROM documents WHERE text IS NOT NULL""",
     "summary_upsert": "SELECT content_id, max(loaded_at) AS loaded_at FROM block_texts WHERE content_id % 2 = 0 OR content_id % 3 = 0 GROUP BY 1",
     "summary_upsert_all": "SELECT content_id, max(loaded_at) AS loaded_at FROM block_texts GROUP BY 1",
     "latest_loads": "SELECT content_id, max(loaded_at) AS loaded_at, count(*) AS loads FROM block_texts GROUP BY 1",
@@ -317,5 +351,5 @@ SQL = {
         SELECT l.library_id, coalesce(u.n, 0) AS unsummarised, coalesce(w.n, 0) AS waiting, coalesce(u.n, 0) = 0 AND coalesce(w.n, 0) = 0 AS ready FROM (SELECT DISTINCT library_id FROM documents) l LEFT JOIN u ON l.library_id = u.library_id LEFT JOIN w ON l.library_id = w.library_id""",
     "drained_libraries": "SELECT library_id, count(*) FILTER (WHERE status IN ('queued', 'processing')) = 0 AS drained FROM documents GROUP BY 1",
 }
-_NAMES = [*SQL, "tag_split_all", "fence_strip_all", "meta_strip", "plain_markdown", "document_summaries", "markdown_export"]
+_NAMES = [*SQL, "tag_split_all", "fence_strip_all", "plain_markdown", "document_summaries", "markdown_export"]
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -28,17 +28,6 @@ def typed_view_orders(spark: SparkSession, folder: str) -> DataFrame:
     return v.select(F.col("c0").alias("o_orderkey"), F.col("c1").alias("o_custkey"), F.col("c2").alias("o_orderstatus"), F.col("c3").cast("double").alias("o_totalprice"), F.col("c4").cast("timestamp_ntz").alias("o_orderdate"), F.col("c5").alias("o_orderpriority"))
 
 
-def dtype_inference(spark: SparkSession, folder: str) -> DataFrame:
-    """Inferred type of every column of five tables."""
-    out = None
-    for name in ("part", "customer", "supplier", "nation", "events"):
-        df = table(spark, folder, name)
-        cells = df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("tab"), F.lit(c).alias("col"), F.coalesce(df[c].cast("string"), F.lit("")).alias("value")) for c in df.columns])).alias("x")).select("x.*")
-        got = dtypes.infer(cells, ["tab", "col"]).select("tab", "col", "dtype")
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
 def typed_view_sentinels(spark: SparkSession, folder: str) -> DataFrame:
     """Label spellings as dates with null sentinels, integers and booleans: nothing raises."""
     d = table(spark, folder, "documents").select("doc_id", F.coalesce("lang", F.lit("NULL")).alias("v"))
@@ -50,10 +39,6 @@ _CELL = "coalesce(CAST({c} AS VARCHAR), '')"
 SQL = {
     "flagship_segments": "SELECT c_mktsegment AS segment, count(*) AS n_orders, CAST(round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS DOUBLE) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1",
     "typed_view_orders": "SELECT * FROM orders",
-    "dtype_inference": """SELECT * FROM (VALUES ('part','p_partkey','integer'),('part','p_name','string'),('part','p_brand','string'),('part','p_type','string'),('part','p_size','integer'),('part','p_retailprice','decimal'),
-        ('customer','c_custkey','integer'),('customer','c_name','string'),('customer','c_nationkey','integer'),('customer','c_acctbal','decimal'),('customer','c_mktsegment','string'),
-        ('supplier','s_suppkey','integer'),('supplier','s_name','string'),('supplier','s_nationkey','integer'),('supplier','s_acctbal','decimal'),('nation','n_nationkey','integer'),('nation','n_name','string'),('nation','n_regionkey','integer'),
-        ('events','event_id','integer'),('events','ts','datetime'),('events','user_id','integer'),('events','event_type','string'),('events','value','decimal'),('events','props','string')) AS t(tab, col, dtype)""",
     "typed_view_sentinels": """SELECT doc_id, CASE WHEN lower(trim(v)) IN ('', '-', '--', '—', 'n/a', 'na', 'none', 'null', 'nan', 'nat', '?', 'tbd') THEN NULL ELSE v END AS kept,
         CASE WHEN regexp_matches(trim(v), '^[-+]?[0-9]+$') THEN try_cast(trim(v) AS BIGINT) END AS i, CASE WHEN lower(trim(v)) IN ('', '-', 'n/a', 'null') THEN NULL ELSE try_cast(substr(trim(v), 1, 10) AS DATE) END AS d
         FROM (SELECT doc_id, coalesce(lang, 'NULL') AS v FROM documents)""",

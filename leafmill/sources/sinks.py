@@ -28,6 +28,13 @@ def delete(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unseen(df: DataFrame, ledger: str, key: str) -> DataFrame:
+    """Rows whose key isn't in the ledger: a small table of keys, so nothing else of what is stored is read."""
+    if not exists(df.sparkSession, ledger):
+        return df
+    return df.join(df.sparkSession.read.parquet(ledger).select(key).distinct(), key, "left_anti").select(df.columns)
+
+
 def append_missing(df: DataFrame, path: str, keys: list[str], partition: list[str] | None = None) -> int:
     """Append the rows whose key isn't stored yet; returns how many. A second delivery appends nothing."""
     spark = df.sparkSession
@@ -52,7 +59,7 @@ def replace_partitions(df: DataFrame, path: str, partition: list[str]) -> None:
 
 def document_trees(leaves: DataFrame, documents: DataFrame) -> DataFrame:
     """One JSON tree a document: type, filename, title and its blocks in order."""
-    block = F.struct("page_idx", "ordinal", "kind", F.col("heading_path"), "text")
+    block = F.struct("page_idx", "ordinal", "kind", F.col("heading_path"), F.coalesce(*[F.col(c) for c in ("text", "list_content", "latex") if c in leaves.columns]).alias("text"))
     trees = leaves.groupBy("document_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
     d = documents.select(F.col("doc_id").alias("document_id"), "library_id", "filename", "title")
     return d.join(trees, "document_id", "left").select("library_id", "document_id", F.to_json(F.struct(F.lit("document").alias("type"), "filename", "title", F.coalesce("blocks", F.expr("cast(array() as array<struct<page_idx:int,ordinal:int,kind:string,heading_path:array<string>,text:string>>)")).alias("blocks"))).alias("tree"))

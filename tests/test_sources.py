@@ -119,7 +119,17 @@ def test_engine_end_to_end(spark, tmp_path):
     said = "".join(lib.ask("What is the total of units by region in sales?"))
     assert "north | 6" in said and "[sales.csv]" in said
     assert "annual statement" in "".join(lib.ask("Who approved the annual statement of the harbour?"))
-    assert {r["kind"] for r in lib.tree().collect()} >= {"heading", "paragraph", "table"}
+    leaves = lib.tree().collect()
+    assert {r["kind"] for r in leaves} >= {"paragraph", "table"} and ["Harbour"] in [r["heading_path"] for r in leaves]  # a heading is no leaf, but stands above some
+    assert [(r["number"], r["label"], r["n_rows"], [t["dtype"] for t in r["types"]]) for r in lib.tables().collect()] == [(0, "sales.csv", 3, ["string", "integer", "decimal"])]
+    notes = next(r["path"] for r in lib.documents().collect() if r["filename"] == "notes.md")
+    got = lib.result(notes)
+    assert got["status"] == "ingested" and got["tables"] == 0 and [b["text"] for b in got["tree"]["blocks"]] == ["The harbour authority approved the annual statement."]
+    lib.export_markdown(str(tmp_path / "md"))
+    assert "## Harbour\n\nThe harbour authority" in "\n".join(r[0] for r in spark.read.text(str(tmp_path / "md")).collect())
+    (src / "sales2.csv").write_text("region,units\neast,2\n")
+    assert lib.ingest(str(src)) == 1 and lib.sql("SELECT SUM(c1) AS n FROM t1").rows == [(2,)]
+    assert lib.sql("SELECT 1 AS one").sources == []
     engine.delete_library(1)
     assert engine.libraries().count() == 0
 
@@ -142,3 +152,24 @@ def test_answer_helpers():
     t = answer.TableInfo("f", ["h0", "h1"], [("string", 0), ("integer", 0)])
     assert answer.readable("SELECT t0.c1 FROM t0", [t]) == 'SELECT "h1" FROM "f"'.replace('"h1"', '"h1"')
     assert answer.inline_refs({"$defs": {"A": {"type": "x"}}, "p": {"$ref": "#/$defs/A"}}) == {"p": {"type": "x"}}
+
+
+def test_questions_do_not_share_views(spark, tmp_path):
+    """Two libraries asked in turn: each question has its tables in a session of its own."""
+    src = [tmp_path / "a", tmp_path / "b"]
+    engine = Engine(spark, str(tmp_path / "store"))
+    libs = []
+    for folder, n in zip(src, (3, 4), strict=True):
+        folder.mkdir()
+        (folder / "sales.csv").write_text(f"region,units\nnorth,{n}\n")
+        libs.append(engine.create_library(folder.name))
+        libs[-1].ingest(str(folder))
+    first = libs[0].ask("total units in sales")
+    assert "3" in next(first) and "4" in next(libs[1].ask("total units in sales"))
+    assert not [t for t in spark.catalog.listTables() if t.name == "t0" and t.isTemporary]
+
+
+def test_walk_and_sources():
+    assert answer.walk([[1], [], [2], [], [], [3]], lambda w: w) == [1, 2]
+    assert answer.sources("SELECT * FROM x", ["a", "b"], ["file", "v"], [("f.csv", 1), ("g.csv", 2), ("f.csv", 3)]) == ["f.csv", "g.csv"]
+    assert answer.sources("SELECT 1", ["a", "b"]) == ["a", "b"] and answer.sources("SELECT t1.c0 FROM t1", ["a", "b"]) == ["b"]
