@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("sources.rejects", "queries.surface", "queries.views", "queries.trees", "queries.shapes", "queries.arrivals", "queries.reading")
+MODULES = ("sources.rejects", "queries.surface", "queries.views", "queries.trees", "queries.shapes", "queries.arrivals", "queries.reading", "queries.flow")
 
 
 def _modules():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,12 @@ def checkpoint_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="leafmill-"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder."""
+    checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written rows."""
     checkpoint_folder(df.sparkSession)

@@ -82,7 +82,7 @@ def _read_back(b):
 _B = "b AS (SELECT * EXCLUDE (received_at) FROM blocks QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY received_at) = 1)"
 _SEP = "len({h}) >= 2 AND list_min({h}) = list_max({h}) AND list_min({h}) > 0"
 _HEAD = "list_transform(list_filter(regexp_split_to_array(substr(text, 1, 65536), '\\r?\\n')[1:20], lambda x: trim(x, ' ') <> ''), lambda x: length(x) - length(replace(x, '{s}', '')))"
-_SNIFF = "CASE WHEN substr(t, 1, 1) IN ('{', '[') THEN 'json' WHEN regexp_matches(t, '(?i)<(!doctype html|html|head|body|div|p|table|span|h[1-6]|ul|ol|section|article)[\\s>]') THEN 'html' WHEN " + _SEP.format(h="hc") + " THEN 'csv' WHEN " + _SEP.format(h="ht") + " THEN 'tsv' ELSE 'text' END"
+_SNIFF = "CASE WHEN substr(t, 1, 1) IN ('{', '[') THEN 'json' WHEN regexp_matches(t, '(?i)^(<!doctype html|<html|<\\?xml|<[a-z]+[\\s>/])') THEN 'html' WHEN " + _SEP.format(h="hc") + " THEN 'csv' WHEN " + _SEP.format(h="ht") + " THEN 'tsv' ELSE 'text' END"
 SQL = {
     "ext_tumbling": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "ext_sliding": "SELECT CAST(d AS TIMESTAMP) AS day, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS d FROM events) GROUP BY 1, 2",

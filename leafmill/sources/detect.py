@@ -10,7 +10,8 @@ MAGIC = {"25504446": "pdf", "89504E47": "image", "FFD8FF": "image", "47494638":
 ZIPPED = {"xlsx": "sheet", "xlsm": "sheet", "ods": "office", "pptx": "slides", "docx": "document", "odt": "office", "odp": "office", "epub": "office"}
 PLAIN = {"csv": "csv", "tsv": "tsv", "tab": "tsv", "json": "json", "jsonl": "json", "xml": "xml", "svg": "svg", "html": "html", "htm": "html", "xhtml": "html", "md": "markdown", "markdown": "markdown", "txt": "text", "doc": "office", "rtf": "office", "ppt": "office"}
 HEAD = 65536
-MARKUP = r"(?i)<(!doctype html|html|head|body|div|p|table|span|h[1-6]|ul|ol|section|article)[\s>]"
+#: How markup begins (a fixed pattern).
+MARKUP = r"(?i)^(<!doctype html|<html|<\?xml|<[a-z]+[\s>/])"
 
 
 def extension(path: Column) -> Column:

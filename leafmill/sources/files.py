@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from ..plans.ordering import numbered
 from . import detect, html, markdown, office
 
 SCHEMA = "path string, kind string, page_idx int, ordinal int, type string, text string, text_level int, grid array<array<string>>, error string"
@@ -132,6 +134,37 @@ def read(files: DataFrame, pages: PageReader | None = None, convert: Converter |
     return kinds.mapInPandas(run, SCHEMA)
 
 
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """Rows of delimited files of one layout as the row store has them: path, row_idx (0 is the header), values.
+
+    Read by Spark's own reader, so one large file is many tasks; with ``multi_line``, for
+    values that hold line breaks, a file is one. All values are strings, an absent one is
+    empty, and rows longer than the header are cut to its width.
+    """
+    raw = spark.read.csv(path, sep=sep, header=False, inferSchema=False, quote='"', escape='"', multiLine=multi_line, enforceSchema=True, nullValue="", emptyValue="")
+    cells = [F.coalesce(F.col(c), F.lit("")) for c in raw.columns]
+    rows = raw.select("_metadata.file_path", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.array(*cells).alias("values"))
+    return numbered(rows, ["file_path"], ["at", "id"], number="row_idx").select(F.col("file_path").alias("path"), "row_idx", "values")
+
+
+def read_with_retries(files: DataFrame, reader: Callable[[DataFrame], DataFrame], most: int = 3) -> DataFrame:
+    """Blocks of all files with the attempt they came from; files that gave nothing but errors are read again, ``most`` times in all.
+
+    What still fails then stays as its last error: one bad file is a row, not a failed job.
+    """
+    done, todo = None, files
+    for attempt in range(1, most + 1):
+        got = cut(reader(todo).withColumn("attempt", F.lit(attempt)))
+        failed = got.groupBy("path").agg(F.bool_and(F.coalesce(F.col("type") == "error", F.lit(False))).alias("failed")).where("failed").select("path")
+        last = attempt == most or failed.isEmpty()
+        kept = got if last else got.join(failed, "path", "left_anti").select(got.columns)
+        done = kept if done is None else done.unionByName(kept)
+        if last:
+            return done
+        todo = todo.join(cut(failed), "path", "left_semi")
+    return done
+
+
 def open_folder(spark: SparkSession, path: str) -> DataFrame:
     """Files under a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -9,21 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans.lineage import cut
 from ..sources import files, sinks
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str, per_trigger: int = 64, reader: Callable[[DataFrame], DataFrame] = files.read):
+def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str, per_trigger: int = 64, clean_source: str | None = None, reader: Callable[[DataFrame], DataFrame] = files.read):
     """Files of a landing folder to blocks in a store: each micro-batch is read as a batch would be.
 
     A file counts once by its path; a batch that runs again after a failure appends
     nothing twice. Backpressure is the number of files a trigger takes.
     """
-    stream = spark.readStream.format("binaryFile").schema(_FILE_SCHEMA).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true").load(landing)
+    source = spark.readStream.format("binaryFile").schema(_FILE_SCHEMA).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true")
+    if clean_source:  # files that were taken in are moved there
+        source = source.option("cleanSource", "archive").option("sourceArchiveDir", clean_source)
+    stream = source.load(landing)
 
     def put(batch: DataFrame, _: int) -> None:
-        sinks.append_missing(reader(batch), store, ["path", "page_idx", "ordinal"])
+        found = sinks.unseen(batch, f"{store}-ledger", "path")  # before anything is parsed
+        blocks = cut(files.read_with_retries(found, reader))
+        sinks.append_missing(blocks.drop("attempt"), store, ["path", "page_idx", "ordinal"])
+        sinks.append_missing(blocks.select("path").distinct(), f"{store}-ledger", ["path"])
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -38,9 +45,10 @@ def complete_documents(pages: DataFrame, key: str = "doc_id", page: str = "page_
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            seen = state.get[0]
+            seen, done = state.get
             state.remove()
-            yield pd.DataFrame({key: [k[0]], "pages": [len(seen)], "complete": [False]})
+            if not done:  # one that came out complete isn't reported again
+                yield pd.DataFrame({key: [k[0]], "pages": [len(seen)], "complete": [False]})
             return
         seen, done = (set(state.get[0]), state.get[1]) if state.exists else (set(), False)
         need = None
