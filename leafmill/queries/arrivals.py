@@ -62,14 +62,8 @@ def html_tables(spark, folder):
     return got.select("block_id", F.size("grid").alias("n_rows"), F.md5(F.array_join(F.flatten(F.transform("grid", lambda r: F.filter(r, lambda c: c != ""))), "|")).alias("digest"))
 
 
-def html_paragraphs(spark, folder):
-    """Block texts written as a page of headings, paragraphs and links, read back."""
-    b = T.delivered(table(spark, folder, "blocks")).where("text is not null and type in ('text', 'title', 'caption') and not text rlike '[^ -~]' and trim(text) <> ''")
-    return _read_back(b)
-
-
 def html_blocks(spark, folder):
-    """The same of all blocks that aren't blank, of every type; SQL doesn't fold white space as the reader does."""
+    """All block texts written as a page of headings, paragraphs and links, read back."""
     return _read_back(T.delivered(table(spark, folder, "blocks")).where(r"text rlike r'(?U)\S'"))
 
 
@@ -83,6 +77,8 @@ _B = "b AS (SELECT * EXCLUDE (received_at) FROM blocks QUALIFY row_number() OVER
 _SEP = "len({h}) >= 2 AND list_min({h}) = list_max({h}) AND list_min({h}) > 0"
 _HEAD = "list_transform(list_filter(regexp_split_to_array(substr(text, 1, 65536), '\\r?\\n')[1:20], lambda x: trim(x, ' ') <> ''), lambda x: length(x) - length(replace(x, '{s}', '')))"
 _SNIFF = "CASE WHEN substr(t, 1, 1) IN ('{', '[') THEN 'json' WHEN regexp_matches(t, '(?i)^(<!doctype html|<html|<\\?xml|<[a-z]+[\\s>/])') THEN 'html' WHEN " + _SEP.format(h="hc") + " THEN 'csv' WHEN " + _SEP.format(h="ht") + " THEN 'tsv' ELSE 'text' END"
+#: White space as the reader folds it.
+_WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 SQL = {
     "ext_tumbling": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "ext_sliding": "SELECT CAST(d AS TIMESTAMP) AS day, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS d FROM events) GROUP BY 1, 2",
@@ -92,7 +88,7 @@ SQL = {
     "sniff_kind": "WITH x AS (SELECT 'documents' AS origin, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'events', props FROM events UNION ALL SELECT 'blocks', text FROM blocks WHERE text IS NOT NULL), y AS (SELECT origin, regexp_replace(substr(text, 1, 65536), '^[\\s\\x{FEFF}]+', '') AS t, " + _HEAD.replace("{s}", ",") + " AS hc, " + _HEAD.replace("{s}", "\t") + " AS ht FROM x) SELECT origin, " + _SNIFF + " AS kind, count(*) AS n FROM y GROUP BY 1, 2",
     "file_extensions": "SELECT lower(regexp_extract(filename, '\\.([A-Za-z0-9]{1,9})$', 1)) AS ext, count(*) AS n FROM documents WHERE filename IS NOT NULL GROUP BY 1",
     "html_tables": f"WITH {_B} SELECT block_id, CAST(len(grid) AS INT) AS n_rows, md5(array_to_string(list_filter(list_transform(flatten(grid), lambda c: trim(regexp_replace(coalesce(c, ''), '\\s+', ' ', 'g'))), lambda c: c <> ''), '|')) AS digest FROM b WHERE grid IS NOT NULL AND len(grid) > 0",
-    "html_paragraphs": f"""WITH {_B}, k AS (SELECT * FROM b WHERE text IS NOT NULL AND type IN ('text', 'title', 'caption') AND NOT regexp_matches(text, '[^ -~]') AND trim(text) <> '')
-        SELECT block_id, 0 AS ordinal, 'title' AS type, 2 AS text_level, md5(CAST(block_id AS VARCHAR)) AS digest FROM k UNION ALL SELECT block_id, 1, 'text', NULL, md5(trim(regexp_replace(text, ' +', ' ', 'g')) || ' up') FROM k""",
+    "html_blocks": f"""WITH {_B}, k AS (SELECT block_id, trim(regexp_replace(text, '{_WHITE}+', ' ', 'g'), ' ') AS t FROM b WHERE regexp_matches(text, '[^' || '{_WHITE}'[2:]))
+        SELECT block_id, 0 AS ordinal, 'title' AS type, 2 AS text_level, md5(CAST(block_id AS VARCHAR)) AS digest FROM k UNION ALL SELECT block_id, 1, 'text', NULL, md5(t || ' up') FROM k""",
 }
-QUERIES = {n: globals()[n] for n in [*SQL, "html_blocks"]}
+QUERIES = {n: globals()[n] for n in SQL}

@@ -89,25 +89,13 @@ def number_cells(spark, folder):
     return _cells(spark, folder).where(G.number_of(F.col("value")).isNotNull()).groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pages(spark, folder, keep="not contains(text, '```') and not contains(text, '==')"):
-    tag = F.when(F.col("type") == "list", "==LIST==").when(F.col("type") == "code", "==CODE==").when(F.col("type") == "equation", "==EQUATION==").when(F.col("type").isin("header", "number"), "==PARATEXT==").otherwise("==TEXT==")
-    b = T.delivered(table(spark, folder, "blocks")).where(f"text is not null and {keep}")
-    md = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", F.concat_ws("\n", tag, "text").alias("t")))), lambda x: x["t"]), "\n")
-    return b.groupBy("document_id", "page_idx").agg(md.alias("text"))
-
-
 def tag_split(spark, folder):
-    return _sections(_pages(spark, folder))
-
-
-def tag_split_all(spark, folder):
     """Pages of all blocks: a fence line in a block opens code to the next one or the page's end, where tags are content; a tag line in a block opens a section."""
-    return _sections(_pages(spark, folder, "true"))
-
-
-def _sections(pages):
-    s = P.sections(pages, ["document_id", "page_idx"])
-    return s.groupBy("document_id", "page_idx", "tag").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.length("content")).cast("bigint").alias("chars"))
+    tag = F.when(F.col("type") == "list", "==LIST==").when(F.col("type") == "code", "==CODE==").when(F.col("type") == "equation", "==EQUATION==").when(F.col("type").isin("header", "number"), "==PARATEXT==").otherwise("==TEXT==")
+    b = T.delivered(table(spark, folder, "blocks")).where("text is not null")
+    md = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", F.concat_ws("\n", tag, "text").alias("t")))), lambda x: x["t"]), "\n")
+    s = P.sections(b.groupBy("document_id", "page_idx").agg(md.alias("text")), ["document_id", "page_idx"])
+    return s.groupBy("document_id", "page_idx", "tag").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.char_length("content")).cast("bigint").alias("chars"))
 
 
 def think_strip(spark, folder):
@@ -116,12 +104,7 @@ def think_strip(spark, folder):
 
 
 def fence_strip(spark, folder):
-    d = table(spark, folder, "documents").where("text is not null and not contains(text, '```')")
-    return d.select("doc_id", F.md5(P.strip_fence(F.concat(F.lit("```markdown\n"), "text", F.lit("\n```")))).alias("digest"))
-
-
-def fence_strip_all(spark, folder):
-    """Of all texts: a text whose fence lines don't pair up keeps the fence around it."""
+    """All texts within a fence: one whose own fence lines don't pair up keeps the fence around it."""
     d = table(spark, folder, "documents").where("text is not null")
     return d.select("doc_id", F.md5(P.strip_fence(F.concat(F.lit("```markdown\n"), "text", F.lit("\n```")))).alias("digest"))
 
@@ -139,8 +122,9 @@ def paragraphs(spark, folder):
 
 
 def plain_markdown(spark, folder):
+    """Texts as Markdown without tags: how many blocks of each kind, and their lines, per document."""
     p = P.plain_blocks(table(spark, folder, "documents").where("text is not null"), ["doc_id"])
-    return p.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("lines"))
+    return p.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("lines"), F.sum(F.char_length("content")).alias("chars"))
 
 
 def json_shred(spark, folder):
@@ -227,11 +211,6 @@ def citation_audit(spark, folder):
 
 
 def summary_upsert(spark, folder):
-    t = table(spark, folder, "block_texts")
-    return D.upsert(t.where("content_id % 2 = 0"), t.where("content_id % 3 = 0"), "content_id", "loaded_at").select("content_id", "loaded_at")
-
-
-def summary_upsert_all(spark, folder):
     """The first load of every content_id against its later ones."""
     first = Window.partitionBy("content_id").orderBy(F.asc_nulls_first("loaded_at"), "text")
     t = table(spark, folder, "block_texts").withColumn("load", F.row_number().over(first))
@@ -253,7 +232,7 @@ def document_summaries(spark, folder):
 
 
 def markdown_export(spark, folder):
-    return D.export_markdown(table(spark, folder, "content_nodes"))
+    return D.export_markdown(table(spark, folder, "content_nodes")).select("document_id", F.md5("markdown").alias("digest"))
 
 
 def readiness(spark, folder):
@@ -285,8 +264,12 @@ def _ranked(q: str) -> str:
 _PACK = """RECURSIVE o AS (SELECT document_id, block_ordinal, content_id, coalesce(token_count, 0) AS t, row_number() OVER (PARTITION BY document_id ORDER BY block_ordinal, content_id) AS i FROM content_nodes WHERE block_ordinal IS NOT NULL),
     p AS (SELECT document_id, content_id, block_ordinal, i, CAST(t AS BIGINT) AS t, CAST(t AS BIGINT) AS used, 0 AS bin FROM o WHERE i = 1
       UNION ALL SELECT o.document_id, o.content_id, o.block_ordinal, o.i, o.t, CASE WHEN p.used > 0 AND p.used + o.t > 512 THEN o.t ELSE p.used + o.t END, p.bin + CASE WHEN p.used > 0 AND p.used + o.t > 512 THEN 1 ELSE 0 END FROM p JOIN o ON o.document_id = p.document_id AND o.i = p.i + 1)"""
-_PAGES = _B + """, t AS (SELECT document_id, page_idx, block_id, CASE type WHEN 'list' THEN 'LIST' WHEN 'code' THEN 'CODE' WHEN 'equation' THEN 'EQUATION' WHEN 'header' THEN 'PARATEXT' WHEN 'number' THEN 'PARATEXT' ELSE 'TEXT' END AS tag, text
-    FROM b WHERE text IS NOT NULL AND NOT contains(text, '```') AND NOT contains(text, '=='))"""
+_PAGES = _B + """, t AS (SELECT document_id, page_idx, block_id, CASE type WHEN 'list' THEN '==LIST==' WHEN 'code' THEN '==CODE==' WHEN 'equation' THEN '==EQUATION==' WHEN 'header' THEN '==PARATEXT==' WHEN 'number' THEN '==PARATEXT==' ELSE '==TEXT==' END || chr(10) || text AS t FROM b WHERE text IS NOT NULL),
+    p AS (SELECT document_id, page_idx, string_split(string_agg(t, chr(10) ORDER BY block_id), chr(10)) AS l FROM t GROUP BY 1, 2), l AS (SELECT document_id, page_idx, unnest(l) AS line, unnest(range(0, len(l))) AS i FROM p),
+    f AS (SELECT *, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER w AS fences FROM l WINDOW w AS (PARTITION BY document_id, page_idx ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    o AS (SELECT *, CASE WHEN NOT starts_with(line, '```') AND fences % 2 = 0 THEN nullif(regexp_extract(line, '^\\s*==(TEXT|EXTRA|LIST|TABLE|FORM|CODE|EQUATION|VISUAL|PARATEXT)==\\s*$', 1), '') END AS own FROM f),
+    s AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER w, 'TEXT') AS tag, count(own) OVER w AS section FROM o WINDOW w AS (PARTITION BY document_id, page_idx ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    c AS (SELECT document_id, page_idx, section, tag, string_agg(line, chr(10) ORDER BY i) AS content FROM s WHERE own IS NULL GROUP BY 1, 2, 3, 4)"""
 _REGIONS = "t AS (SELECT document_id AS region_id, CAST(batch_no AS INT) AS table_no, CAST(start_block_ordinal AS INT) AS data_start, CAST(end_block_ordinal + 3 AS INT) AS data_end, CAST(batch_no % 2 AS INT) AS col_start, CAST(batch_no % 2 + 2 AS INT) AS col_end FROM content_batches WHERE start_block_ordinal IS NOT NULL)"
 SQL = {
     "transpose_grid": _G + ", w AS (SELECT block_id, grid, list_max(list_transform(grid, lambda r: len(r))) AS w FROM g) SELECT block_id, array_to_string(list_transform(range(1, w + 1), lambda i: array_to_string(list_transform(grid, lambda r: coalesce(r[i], '')), '|')), chr(10)) AS flat FROM w",
@@ -315,9 +298,9 @@ SQL = {
         SELECT block_id, array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN trim(coalesce(h[i], '')) = '' OR regexp_matches(trim(h[i]), '^-?[0-9]+\\.[0-9]+$') THEN 'col' || CAST(i - 1 AS VARCHAR) ELSE trim(h[i]) END), '|') AS names,
           md5(coalesce(array_to_string(list_transform(b, lambda r: array_to_string(r, '|')), chr(10)), '')) AS digest, CAST(len(b) AS BIGINT) AS n_rows FROM y""",
     "number_cells": _CELLS + " SELECT block_id, count(*) AS n FROM c WHERE regexp_matches(regexp_replace(trim(value), '[,%]', '', 'g'), '^[-+]?[0-9]+(\\.[0-9]+)?([eE][-+]?[0-9]+)?$') GROUP BY 1",
-    "tag_split": f"WITH {_PAGES} SELECT document_id, page_idx, tag, count(*) AS sections, CAST(sum(length(text)) AS BIGINT) AS chars FROM t WHERE trim(text, ' ') <> '' GROUP BY 1, 2, 3",
+    "tag_split": f"WITH {_PAGES} SELECT document_id, page_idx, tag, count(*) AS sections, CAST(sum(length(content)) AS BIGINT) AS chars FROM c WHERE trim(content, ' ') <> '' GROUP BY 1, 2, 3",
     "think_strip": "SELECT doc_id, md5(text || '!') AS digest FROM documents WHERE text IS NOT NULL",
-    "fence_strip": "SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL AND NOT contains(text, '```')",
+    "fence_strip": "SELECT doc_id, md5(CASE WHEN len(regexp_extract_all(text, '(?m)^```')) % 2 = 0 THEN text ELSE '```markdown' || chr(10) || text || chr(10) || '```' END) AS digest FROM documents WHERE text IS NOT NULL",
     "paragraphs": "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS p FROM documents WHERE text IS NOT NULL) WHERE regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY 1",
     "json_shred": "SELECT event_id, unnest(json_keys(props)) AS key, props ->> ('$.' || unnest(json_keys(props))) AS value FROM events",
     "json_entities": """WITH j AS (SELECT content_id, from_json(raw, '{"items":[{"ordinal":"INTEGER","content":"VARCHAR","depth":"INTEGER"}]}') AS r FROM content_nodes WHERE type = 'list' AND raw IS NOT NULL),
@@ -342,8 +325,17 @@ SQL = {
     "meta_strip": """SELECT doc_id, md5('The image shows a harbour.' || chr(10) || array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT (trim(x, ' ') = '---'
         OR regexp_matches(trim(x, ' '), '(?i)^here is the (content|text|transcription)\\b') OR regexp_matches(trim(x, ' '), '(?i)^this transcription includes\\b') OR regexp_matches(trim(x, ' '), '(?i)^i (cannot|can''t|am unable to)\\b')
         OR regexp_matches(trim(x, ' '), '(?i)^the (provided )?image (is|appears)\\b.*(blank|empty)') OR regexp_matches(trim(x, ' '), '(?i)^there is no (visible )?(text|content)\\b') OR regexp_matches(trim(x, ' '), '(?i)^therefore,.*(cannot|no markdown|no table)\\b'))), chr(10))) AS digest FROM documents WHERE text IS NOT NULL""",
-    "summary_upsert": "SELECT content_id, max(loaded_at) AS loaded_at FROM block_texts WHERE content_id % 2 = 0 OR content_id % 3 = 0 GROUP BY 1",
-    "summary_upsert_all": "SELECT content_id, max(loaded_at) AS loaded_at FROM block_texts GROUP BY 1",
+    "summary_upsert": "SELECT content_id, max(loaded_at) AS loaded_at FROM block_texts GROUP BY 1",
+    "plain_markdown": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+        k AS (SELECT *, CASE WHEN trim(line, ' ') = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6} \\S') THEN 'title' WHEN starts_with(trim(line, ' '), '|') THEN 'table' ELSE 'text' END AS kind FROM l),
+        o AS (SELECT *, CASE WHEN kind = 'title' OR lag(kind) OVER w IS DISTINCT FROM kind THEN 1 ELSE 0 END AS opens FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)), g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM o),
+        b AS (SELECT doc_id, island, kind, count(*) AS n, length(string_agg(regexp_replace(line, '^#+ ', ''), chr(10) ORDER BY i)) AS chars FROM g WHERE kind <> 'blank' GROUP BY 1, 2, 3)
+        SELECT doc_id, kind, count(*) AS n, CAST(sum(n) AS BIGINT) AS lines, CAST(sum(chars) AS BIGINT) AS chars FROM b GROUP BY 1, 2""",
+    "markdown_export": """WITH p AS (SELECT document_id, content_id, ordinal, coalesce(page_no, sheet_no) AS page, CASE WHEN type = 'title' THEN NULL ELSE heading END AS heading, CASE type
+          WHEN 'list' THEN array_to_string(list_transform(from_json(raw, '{"items":[{"content":"VARCHAR","depth":"INTEGER"}]}').items, lambda i: repeat('  ', coalesce(i.depth, 0)) || '- ' || coalesce(i.content, '')), chr(10))
+          WHEN 'code' THEN '```' || chr(10) || (raw ->> '$.text') || chr(10) || '```' WHEN 'equation' THEN '$$' || chr(10) || latex || chr(10) || '$$' WHEN 'title' THEN '## ' || (raw ->> '$.text') WHEN 'table' THEN replace(search_text, '|', '\\|') ELSE raw ->> '$.text' END AS md FROM content_nodes),
+        n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, ordinal, content_id) AS place FROM p), c AS (SELECT *, heading IS NOT NULL AND lag(heading) OVER (PARTITION BY document_id ORDER BY place) IS DISTINCT FROM heading AS changed FROM n),
+        m AS (SELECT document_id, place, concat_ws(chr(10) || chr(10), CASE WHEN changed THEN '## ' || heading END, md) AS md FROM c) SELECT document_id, md5(string_agg(md, chr(10) || chr(10) ORDER BY place)) AS digest FROM m GROUP BY 1""",
     "latest_loads": "SELECT content_id, max(loaded_at) AS loaded_at, count(*) AS loads FROM block_texts GROUP BY 1",
     "image_dedup": "SELECT sha256(text) AS digest, min(doc_id) AS kept, count(*) AS copies FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY 1",
     "readiness": """WITH u AS (SELECT library_id, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT document_id FROM content_batches WHERE summary IS NOT NULL) GROUP BY 1),
@@ -351,5 +343,5 @@ SQL = {
         SELECT l.library_id, coalesce(u.n, 0) AS unsummarised, coalesce(w.n, 0) AS waiting, coalesce(u.n, 0) = 0 AND coalesce(w.n, 0) = 0 AS ready FROM (SELECT DISTINCT library_id FROM documents) l LEFT JOIN u ON l.library_id = u.library_id LEFT JOIN w ON l.library_id = w.library_id""",
     "drained_libraries": "SELECT library_id, count(*) FILTER (WHERE status IN ('queued', 'processing')) = 0 AS drained FROM documents GROUP BY 1",
 }
-_NAMES = [*SQL, "tag_split_all", "fence_strip_all", "plain_markdown", "document_summaries", "markdown_export"]
+_NAMES = [*SQL, "document_summaries"]
 QUERIES = {n: globals()[n] for n in _NAMES}
