@@ -135,7 +135,8 @@ class Library:
     def _typed_blocks(self, raw: DataFrame) -> DataFrame:
         pages = raw.where("type = 'page'")
         split = pagemd.sections(pages.withColumn("text", pagemd.strip_meta(pagemd.strip_fence(pagemd.strip_think(F.col("text"))))), ["path", "kind", "page_idx"])
-        typed = split.select("path", "kind", "page_idx", F.col("section").cast("int").alias("ordinal"), pagemd.block_type(F.col("tag"), F.col("content")).alias("type"), F.col("content").alias("text"), F.lit(None).cast("int").alias("text_level"), F.when(pagemd.block_type(F.col("tag"), F.col("content")) == "table", pagemd.markdown_grid(F.col("content"))).alias("grid"), F.lit(None).cast("string").alias("error"))
+        typed = pagemd.section_blocks(split, ["path", "kind", "page_idx"]).withColumns({"text_level": F.lit(None).cast("int"), "error": F.lit(None).cast("string")})
+        typed = typed.select("path", "kind", "page_idx", "ordinal", "type", "text", "text_level", "grid", "error")
         return raw.where("type <> 'page'").select(typed.columns).unionByName(typed)
 
     def documents(self) -> DataFrame:

@@ -51,12 +51,22 @@ def sections(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     return s.where(F.trim("content") != "")
 
 
-def block_type(tag: Column, content: Column) -> Column:
-    """The block type a tagged stretch becomes."""
-    return (
-        F.when(tag == "LIST", "list").when(tag.isin("TABLE", "FORM") & content.contains("|"), "table").when(tag == "CODE", "code").when(tag == "EQUATION", "equation")
-        .when(tag == "VISUAL", "image").when(tag == "PARATEXT", "header").otherwise("text")
-    )
+def section_blocks(sections_of: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks of tagged stretches: type, text, grid and their order on the page.
+
+    A list gives an item a line; a table or form its grid or, without one, paragraphs;
+    code stays whole; formulas, pictures, page furniture and text are paragraphs.
+    """
+    grid = markdown_grid(F.col("content"))
+    tabular = F.col("tag").isin("TABLE", "FORM") & (F.size(grid) > 0)
+    lines = F.split(F.col("content"), "\n", -1)
+    paragraphs_of = F.split(F.col("content"), r"\n\s*\n", -1)
+    parts = F.when(F.col("tag") == "LIST", lines).when(F.col("tag") == "CODE", F.array("content")).when(tabular, F.array(F.lit(None).cast("string"))).otherwise(paragraphs_of)
+    clean = F.filter(F.transform(parts, lambda x: F.when(F.col("tag") == "CODE", x).otherwise(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: tabular | (x != ""))
+    kind_of = F.when(F.col("tag") == "LIST", "list_item").when(tabular, "table").when(F.col("tag") == "CODE", "code").when(F.col("tag") == "EQUATION", "equation").when(F.col("tag") == "VISUAL", "image").when(F.col("tag") == "PARATEXT", "header").otherwise("text")
+    rows = sections_of.select(*keys, "section", kind_of.alias("type"), F.when(tabular, grid).alias("grid"), F.posexplode(clean).alias("part", "text"))
+    w = Window.partitionBy(*keys).orderBy("section", "part")
+    return rows.select(*keys, (F.row_number().over(w) - 1).cast("int").alias("ordinal"), "type", "text", "grid")
 
 
 def markdown_grid(content: Column) -> Column:

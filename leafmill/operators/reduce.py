@@ -39,6 +39,38 @@ def batch_specs(packed: DataFrame, by: list[str], ordinal: str) -> DataFrame:
     return packed.groupBy(*by, "bin").agg(F.min(ordinal).alias("start_ordinal"), F.max(ordinal).alias("end_ordinal"), F.sum("tokens").cast("bigint").alias("content_tokens"))
 
 
+def batch_texts(packed: DataFrame, blocks: DataFrame, by: list[str], key: str, ordinal: str, page: str, text: str) -> DataFrame:
+    """Batches with their page range and joined text; a bin's size is bounded by its budget, so its text is too."""
+    b = packed.join(blocks.select(key, page, text), key)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ordinal), F.col(key), F.col(text).alias("t")))), lambda x: F.coalesce(x["t"], F.lit(""))), "\n\n")
+    return b.groupBy(*by, "bin").agg(
+        F.min(ordinal).alias("start_ordinal"), F.max(ordinal).alias("end_ordinal"), F.min(page).alias("start_page"), F.max(page).alias("end_page"), F.sum("tokens").cast("bigint").alias("content_tokens"), joined.alias("text")
+    )
+
+
+def batch_cite(filename: Column, start_page: Column, end_page: Column) -> Column:
+    """A batch's source: its file and pages."""
+    span = F.when(end_page.isNotNull() & (end_page != 0) & (end_page != start_page), F.concat(F.lit("-p"), end_page.cast("string"))).otherwise(F.lit(""))
+    return F.concat(filename, F.when(start_page.isNotNull(), F.concat(F.lit(" p"), start_page.cast("string"), span)).otherwise(F.lit("")))
+
+
+def document_entry(filename: Column, summary: Column) -> Column:
+    """A document in an inventory."""
+    return F.concat(F.lit("document — "), filename, F.lit(": "), summary)
+
+
+def batch_entry(cite: Column, summary: Column) -> Column:
+    """A batch in an inventory."""
+    return F.concat(F.lit("batch — "), cite, F.lit(": "), summary)
+
+
+def table_entry(label: Column, n_rows: Column, named: Column, headers: Column) -> Column:
+    """A table in an inventory: label, rows, title and caption if it has any, columns."""
+    told = F.array_join(F.filter(named, lambda x: x.isNotNull() & (x != "")), " | ")
+    names = F.array_join(F.transform(headers, lambda h: F.when(F.coalesce(h, F.lit("")) == "", "?").otherwise(h)), ", ")
+    return F.concat(F.lit("table — "), label, F.lit(" rows="), n_rows.cast("string"), F.lit(": "), F.when(told != "", F.concat(told, F.lit(". "))).otherwise(F.lit("")), F.lit("columns "), names)
+
+
 def summary_budget(tokens: Column) -> Column:
     """A tenth of the tokens, at most the summary's limit."""
     return F.least(F.floor(tokens * F.lit(SUMMARY_SHARE)), F.lit(SUMMARY_MOST)).cast("int")

@@ -12,6 +12,7 @@ from ..operators import reduce as D
 from ..operators import shred as J
 from ..operators import tree as T
 from ..session import table
+from ..sources import images
 
 
 def _grids(spark, folder):
@@ -175,6 +176,37 @@ def batch_spec(spark, folder):
     return D.batch_specs(packed, ["document_id"], "block_ordinal")
 
 
+def batch_texts(spark, folder):
+    """Batches of node texts with their page range and joined text."""
+    n = table(spark, folder, "content_nodes").where("block_ordinal is not null")
+    packed = D.greedy_pack(n, ["document_id"], ["block_ordinal", "content_id"], "token_count", 512)
+    t = D.batch_texts(packed, n, ["document_id"], "content_id", "block_ordinal", "page_no", "search_text")
+    return t.select("document_id", "bin", "start_ordinal", "end_ordinal", "start_page", "end_page", "content_tokens", F.md5("text").alias("digest"))
+
+
+def batch_entries(spark, folder):
+    """Summaries as inventory entries, with their file and pages."""
+    b = table(spark, folder, "content_batches").where("summary is not null")
+    d = table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), F.coalesce("filename", F.lit("?")).alias("filename"))
+    return b.join(d, "document_id").select("batch_id", D.batch_entry(D.batch_cite(F.col("filename"), F.col("start_page_no"), F.col("end_page_no")), F.col("summary")).alias("entry"))
+
+
+def table_entries(spark, folder):
+    """Catalogued tables as inventory entries."""
+    n = table(spark, folder, "table_rows").groupBy("table_id").agg(F.countDistinct("row_idx").alias("n"))
+    c = table(spark, folder, "table_catalog").join(n, "table_id", "left")
+    return c.select("table_id", D.table_entry(F.concat(F.lit("table "), F.col("table_id").cast("string")), F.coalesce("n", F.lit(0)), F.array("title"), F.col("column_specs.header")).alias("entry"))
+
+
+def section_blocks(spark, folder):
+    """Blocks of the tagged pages of all blocks."""
+    tag = F.when(F.col("type") == "list", "==LIST==").when(F.col("type") == "code", "==CODE==").when(F.col("type") == "equation", "==EQUATION==").when(F.col("type").isin("header", "number"), "==PARATEXT==").otherwise("==TEXT==")
+    b = T.delivered(table(spark, folder, "blocks")).where("text is not null")
+    md = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", F.concat_ws("\n", tag, "text").alias("t")))), lambda x: x["t"]), "\n")
+    s = P.section_blocks(P.sections(b.groupBy("document_id", "page_idx").agg(md.alias("text")), ["document_id", "page_idx"]), ["document_id", "page_idx"])
+    return s.select("document_id", "page_idx", "ordinal", "type", F.md5("text").alias("digest"))
+
+
 def summary_budget(spark, folder):
     return table(spark, folder, "content_batches").select("batch_id", D.summary_budget(F.coalesce("content_tokens", F.lit(0))).alias("budget"))
 
@@ -222,8 +254,10 @@ def latest_loads(spark, folder):
 
 
 def image_dedup(spark, folder):
-    d = table(spark, folder, "documents").where("text is not null and text <> ''").withColumn("digest", F.sha2("text", 256))
-    return d.groupBy("digest").agg(F.min("doc_id").alias("kept"), F.count(F.lit(1)).alias("copies"))
+    """Document texts as pictures: equal ones are read once, and the reading goes to all of them."""
+    d = table(spark, folder, "documents").where("text <> ''").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    read = images.read_once(d, lambda r: r.select("digest", F.octet_length("content").alias("n_bytes")))
+    return read.select("doc_id", "digest", "n_bytes")
 
 
 def document_summaries(spark, folder):
@@ -337,7 +371,13 @@ SQL = {
         n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, ordinal, content_id) AS place FROM p), c AS (SELECT *, heading IS NOT NULL AND lag(heading) OVER (PARTITION BY document_id ORDER BY place) IS DISTINCT FROM heading AS changed FROM n),
         m AS (SELECT document_id, place, concat_ws(chr(10) || chr(10), CASE WHEN changed THEN '## ' || heading END, md) AS md FROM c) SELECT document_id, md5(string_agg(md, chr(10) || chr(10) ORDER BY place)) AS digest FROM m GROUP BY 1""",
     "latest_loads": "SELECT content_id, max(loaded_at) AS loaded_at, count(*) AS loads FROM block_texts GROUP BY 1",
-    "image_dedup": "SELECT sha256(text) AS digest, min(doc_id) AS kept, count(*) AS copies FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY 1",
+    "image_dedup": "SELECT doc_id, sha256(text) AS digest, strlen(text) AS n_bytes FROM documents WHERE text <> ''",
+    "batch_texts": f"WITH {_PACK} SELECT p.document_id, bin, min(p.block_ordinal) AS start_ordinal, max(p.block_ordinal) AS end_ordinal, min(page_no) AS start_page, max(page_no) AS end_page, CAST(sum(t) AS BIGINT) AS content_tokens, md5(string_agg(coalesce(search_text, ''), chr(10) || chr(10) ORDER BY p.block_ordinal, p.content_id)) AS digest FROM p JOIN content_nodes n ON p.content_id = n.content_id GROUP BY 1, 2",
+    "batch_entries": "SELECT batch_id, 'batch — ' || coalesce(filename, '?') || CASE WHEN start_page_no IS NULL THEN '' WHEN coalesce(end_page_no, 0) <> 0 AND end_page_no <> start_page_no THEN ' p' || start_page_no || '-p' || end_page_no ELSE ' p' || start_page_no END || ': ' || summary AS entry FROM content_batches JOIN documents ON document_id = doc_id WHERE summary IS NOT NULL",
+    "table_entries": "SELECT table_id, 'table — table ' || table_id || ' rows=' || coalesce(n, 0) || ': ' || CASE WHEN coalesce(title, '') <> '' THEN title || '. ' ELSE '' END || 'columns ' || array_to_string(list_transform(column_specs, lambda c: CASE WHEN coalesce(c.header, '') = '' THEN '?' ELSE c.header END), ', ') AS entry FROM table_catalog LEFT JOIN (SELECT table_id, count(DISTINCT row_idx) AS n FROM table_rows GROUP BY 1) USING (table_id)",
+    "section_blocks": f"""WITH {_PAGES}, x AS (SELECT *, CASE tag WHEN 'LIST' THEN string_split(content, chr(10)) WHEN 'CODE' THEN [content] ELSE regexp_split_to_array(content, '\\n\\s*\\n') END AS parts FROM c WHERE trim(content, ' ') <> ''),
+        y AS (SELECT document_id, page_idx, section, tag, unnest(list_filter(CASE tag WHEN 'CODE' THEN parts ELSE list_transform(parts, lambda q: regexp_replace(q, '^\\s+|\\s+$', '', 'g')) END, lambda q: q <> '')) AS t, unnest(range(0, len(list_filter(CASE tag WHEN 'CODE' THEN parts ELSE list_transform(parts, lambda q: regexp_replace(q, '^\\s+|\\s+$', '', 'g')) END, lambda q: q <> '')))) AS k FROM x)
+        SELECT document_id, page_idx, CAST(row_number() OVER (PARTITION BY document_id, page_idx ORDER BY section, k) - 1 AS INT) AS ordinal, CASE tag WHEN 'LIST' THEN 'list_item' WHEN 'CODE' THEN 'code' WHEN 'EQUATION' THEN 'equation' WHEN 'PARATEXT' THEN 'header' WHEN 'VISUAL' THEN 'image' ELSE 'text' END AS type, md5(t) AS digest FROM y""",
     "readiness": """WITH u AS (SELECT library_id, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT document_id FROM content_batches WHERE summary IS NOT NULL) GROUP BY 1),
         w AS (SELECT d.library_id, count(*) AS n FROM content_nodes c JOIN documents d ON c.document_id = d.doc_id WHERE search_text IS NOT NULL AND content_id NOT IN (SELECT content_id FROM node_embeddings) GROUP BY 1)
         SELECT l.library_id, coalesce(u.n, 0) AS unsummarised, coalesce(w.n, 0) AS waiting, coalesce(u.n, 0) = 0 AND coalesce(w.n, 0) = 0 AS ready FROM (SELECT DISTINCT library_id FROM documents) l LEFT JOIN u ON l.library_id = u.library_id LEFT JOIN w ON l.library_id = w.library_id""",

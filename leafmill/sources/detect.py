@@ -50,4 +50,4 @@ def kind(path: Column, content: Column) -> Column:
     for e, k in ZIPPED.items():
         zipped = F.when(ext == e, k).otherwise(zipped)
     m = magic(content)
-    return F.when(m == "zip", zipped).otherwise(F.coalesce(m, plain, sniff(F.decode(F.substring(content, 1, HEAD), "UTF-8"))))
+    return F.when(m == "zip", zipped).otherwise(F.coalesce(m, plain, sniff(F.make_valid_utf8(F.substring(content, 1, HEAD).cast("string")))))

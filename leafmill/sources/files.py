@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from ..plans.ordering import numbered
-from . import detect, html, markdown, office
+from . import detect, html, images, markdown, office
 
 SCHEMA = "path string, kind string, page_idx int, ordinal int, type string, text string, text_level int, grid array<array<string>>, error string"
 
@@ -103,6 +103,8 @@ def read_one(path: str, kind: str, content: bytes, pages: PageReader | None, con
     if kind == "document":
         return office.read_docx(content)
     if kind in ("pdf", "image"):
+        if kind == "image" and images.is_blank(content):  # a blank page has no blocks and needs no reader
+            return []
         if pages is None:
             raise ValueError(f"no page reader for {kind}")
         return [{"page_idx": i, "type": "page", "text": md} for i, md in enumerate(pages(content, kind))]

@@ -173,3 +173,57 @@ def test_walk_and_sources():
     assert answer.walk([[1], [], [2], [], [], [3]], lambda w: w) == [1, 2]
     assert answer.sources("SELECT * FROM x", ["a", "b"], ["file", "v"], [("f.csv", 1), ("g.csv", 2), ("f.csv", 3)]) == ["f.csv", "g.csv"]
     assert answer.sources("SELECT 1", ["a", "b"]) == ["a", "b"] and answer.sources("SELECT t1.c0 FROM t1", ["a", "b"]) == ["b"]
+
+
+def _png(pixels, channels=1, kind=0):
+    import struct
+    import zlib
+
+    high, wide = len(pixels), len(pixels[0]) // channels
+    raw, above = b"", [0] * (wide * channels)
+    for line in pixels:
+        out = []
+        for i, v in enumerate(line):
+            left, up, corner = line[i - channels] if i >= channels else 0, above[i], above[i - channels] if i >= channels else 0
+            guess = left + up - corner
+            paeth = min((left, up, corner), key=lambda x: (abs(guess - x), (left, up, corner).index(x)))
+            out.append((v - (0, left, up, (left + up) // 2, paeth)[kind]) % 256)
+        raw += bytes([kind, *out])
+        above = line
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", wide, high, 8, {1: 0, 3: 2}[channels], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_blank_pages(spark, tmp_path):
+    from leafmill.sources import images
+
+    drawn = [[10, 200, 30, 255], [0, 90, 180, 7], [255, 254, 3, 60]]
+    for kind in range(5):
+        assert images.png_pixels(_png(drawn, 1, kind)).astype(int).tolist() == drawn
+    assert images.png_pixels(_png([[9, 9, 9, 200, 200, 200]], 3, 1)).round().astype(int).tolist() == [[9, 200]]
+    assert images.is_blank(_png([[250, 251], [250, 250]])) and not images.is_blank(_png(drawn)) and not images.is_blank(b"\xff\xd8 no png") and not images.is_blank(_png(drawn)[:40])
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "blank.png").write_bytes(_png([[255] * 8] * 8))
+    (src / "drawn.png").write_bytes(_png(drawn))
+
+    def pages(content, kind):
+        return ["==LIST==\n- one\n- two\n==FORM==\nName: Ann\n\nAge: 4\n==TABLE==\n|a|b|\n|-|-|\n|1|2|"]
+
+    engine = Engine(spark, str(tmp_path / "store"), pages=pages)
+    lib = engine.create_library("L")
+    assert lib.ingest(str(src)) == 1
+    assert [(r["type"], r["text"], r["grid"]) for r in lib.blocks().orderBy("ordinal").collect()] == [("list_item", "- one", None), ("list_item", "- two", None), ("text", "Name: Ann", None), ("text", "Age: 4", None), ("table", None, [["a", "b"], ["1", "2"]])]
+
+
+def test_equal_pictures_are_read_once(spark):
+    from leafmill.sources import images
+
+    seen = []
+    df = spark.createDataFrame([(1, bytearray(b"x")), (2, bytearray(b"y")), (3, bytearray(b"x")), (4, None)], "id int, content binary")
+
+    def reader(r):
+        seen.append(r.count())
+        return r.select("digest", F.decode("content", "UTF-8").alias("said"))
+
+    assert {r["id"]: r["said"] for r in images.read_once(df, reader).collect()} == {1: "x", 2: "y", 3: "x"} and seen == [2]
