@@ -48,6 +48,17 @@ def trigram_index(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.explode(trigrams(F.col(text))).alias("gram"))
 
 
+def sparse_top(index: DataFrame, sizes: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """The ``k`` ids most similar to a query string, read off the inverted table: only texts that share a trigram are looked at.
+
+    ``sizes``: id and ``n``, its number of trigrams. Fewer than ``k`` come out where fewer share any.
+    """
+    asked = index.sparkSession.range(1).select(trigrams(F.lit(query)).alias("g")).first()["g"]
+    shared = index.where(F.col("gram").isin(asked)).groupBy(key).agg(F.count(F.lit(1)).alias("shared"))
+    scored = shared.join(sizes, key).select(key, (F.col("shared") / (F.col("n") + len(asked) - F.col("shared"))).alias("similarity"))
+    return scored.orderBy(F.desc("similarity"), key).limit(k)
+
+
 def sparse_order(texts: DataFrame, query: str, key: str, text: str) -> DataFrame:
     """All ids by trigram similarity to a query string."""
     t = texts.withColumn("similarity", trigram_similarity(F.col(text), F.lit(query)))

@@ -19,7 +19,19 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list
 
 
 def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: int) -> DataFrame:
-    """Points in spans by buckets of ``width``: a span goes to each bucket it touches, a point to its own, so the join is on equality."""
-    p = points.withColumn("__b", F.floor(F.col(at) / width))
-    s = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    return p.join(s, "__b").where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("__b")
+    """Points in spans by buckets, so the join is on equality.
+
+    Buckets double in size from ``width`` on: a span goes to the two or three it touches
+    at the size next to its length, however long it is, and a point to its own of every
+    size that spans have. The sizes are powers of two, so few; they are all that is
+    collected. Defined cases: a span that ends before it begins, or has a null or
+    infinite end, holds nothing, as does a null or infinite point.
+    """
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((F.col(end) - F.col(start)).cast("double"), F.lit(1e-9)) / width))).cast("int")
+    s = spans.where(finite(start) & finite(end) & (F.col(start) <= F.col(end))).withColumn("__l", level)
+    levels = sorted(r[0] for r in s.select("__l").distinct().collect())  # at most as many as a double has binary exponents
+    size = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("__l"))
+    s = s.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / size), F.floor(F.col(end) / size))))
+    p = points.where(finite(at)).withColumn("__l", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("__b", F.floor(F.col(at) / size))
+    return p.join(s, ["__l", "__b"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("__l", "__b")

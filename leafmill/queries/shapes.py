@@ -150,6 +150,13 @@ def trigram_rank(spark, folder):
     return R.sparse_order(t, "Harbour Journal 2010", "doc_id", "title").select("doc_id", F.round("similarity", 6).alias("similarity"))
 
 
+def trigram_top(spark, folder):
+    """The twenty titles most like a string, by the inverted table."""
+    t = table(spark, folder, "documents").where("title is not null")
+    sizes = t.select("doc_id", F.size(R.trigrams(F.col("title"))).alias("n"))
+    return R.sparse_top(R.trigram_index(t, "doc_id", "title"), sizes, "Harbour Journal 2010", "doc_id", 20).select("doc_id", F.round("similarity", 6).alias("similarity"))
+
+
 def rrf_fuse(spark, folder):
     t = table(spark, folder, "documents").where("title is not null")
     a = R.sparse_order(t, "Harbour Journal 2010", "doc_id", "title")
@@ -341,6 +348,7 @@ SQL = {
         x AS (SELECT content_id, unnest(r.items) AS i, unnest(range(0, len(r.items))) AS n FROM j) SELECT content_id, CAST(n AS INT) AS item, i.ordinal AS ordinal, i.content AS content, i.depth AS depth FROM x""",
     "dense_rank_vec": "SELECT a.vec_id, round(list_cosine_similarity(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS similarity FROM embeddings a, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q WHERE a.embedding IS NOT NULL",
     "trigram_rank": f"SELECT doc_id, round(s, 6) AS similarity FROM ({_ranked('Harbour Journal 2010')})",
+    "trigram_top": f"SELECT doc_id, round(s, 6) AS similarity FROM ({_ranked('Harbour Journal 2010')}) WHERE place <= 20",
     "rrf_fuse": f"SELECT doc_id, round(sum(1.0 / (60 + place)), 9) AS score FROM ({_ranked('Harbour Journal 2010')} UNION ALL {_ranked('Tariff Report')}) GROUP BY doc_id",
     "pending_embeddings": "SELECT content_id FROM content_nodes WHERE search_text IS NOT NULL AND content_id NOT IN (SELECT content_id FROM node_embeddings)",
     "token_counts": "SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]')), 0) AS BIGINT) AS n FROM documents",

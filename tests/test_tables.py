@@ -110,3 +110,15 @@ def test_asof_and_interval(spark):
     p = spark.createDataFrame([(float(i),) for i in range(50)], "x double")
     s = spark.createDataFrame([(3.0, 9.5), (48.0, 90.0)], "lo double, hi double")
     assert temporal.interval_join(p, s, "x", "lo", "hi", 7).count() == 9
+
+
+def test_interval_join_of_long_spans(spark):
+    """A span of any length goes to a few buckets; odd ends hold nothing."""
+    from leafmill.operators import temporal
+
+    inf = float("inf")
+    points = spark.createDataFrame([(i, float(v)) for i, v in enumerate((-5, 0, 0.5, 3, 1e6, 1e12))] + [(90, None), (91, inf), (92, float("nan"))], "p int, x double")
+    spans = spark.createDataFrame([(1, 0.0, 0.0), (2, -1e15, 1e15), (3, 0.25, 4.0), (4, 3.0, 2.0), (5, None, 4.0), (6, 0.0, inf), (7, 999_999.0, 1e6)], "s int, a double, b double")
+    got = sorted((r["p"], r["s"]) for r in temporal.interval_join(points, spans, "x", "a", "b", 2).collect())
+    assert got == [(0, 2), (1, 1), (1, 2), (2, 2), (2, 3), (3, 2), (3, 3), (4, 2), (4, 7), (5, 2)]
+    assert temporal.interval_join(points, spans.limit(0), "x", "a", "b", 2).count() == 0
