@@ -96,6 +96,9 @@ class Encoder:
         self.known.clear()
         self.pool = np.zeros(0, np.int32)
         self.at = self.length = np.zeros(0, np.int64)
+        # the words themselves, as a hash only proposes which one a word is
+        self.letters = np.zeros(0, np.uint32)
+        self.letters_at = self.letters_n = np.zeros(0, np.int64)
 
     def merge(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words given as UTF-8 bytes end to end; ids end to end, and how many each word has."""
@@ -132,18 +135,33 @@ class Encoder:
         order = np.argsort(owner, kind="stable")
         return flat[order].astype(np.int32), np.bincount(owner, minlength=n)
 
-    def learn(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
-        """Encode the unknown words at these places."""
+    def learn(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray | None) -> np.ndarray:
+        """Encode the unknown words at these places; their table rows. Without keys they aren't found again."""
         chars = points[T.take(starts, ends - starts)]
         data = np.frombuffer(chars.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
         width = 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
         lengths = np.add.reduceat(width, np.concatenate([[0], np.cumsum(ends - starts)[:-1]]))
         ids, counts = self.merge(data, lengths)
-        rows = np.arange(len(self.at), len(self.at) + len(keys))
+        rows = np.arange(len(self.at), len(self.at) + len(starts))
+        self.letters_at = np.concatenate([self.letters_at, len(self.letters) + np.cumsum(ends - starts) - (ends - starts)])
+        self.letters_n = np.concatenate([self.letters_n, ends - starts])
+        self.letters = np.concatenate([self.letters, chars.astype(np.uint32)])
         self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(counts) - counts])
         self.length = np.concatenate([self.length, counts])
         self.pool = np.concatenate([self.pool, ids])
-        self.known.add(keys, rows)
+        if keys is not None:
+            self.known.add(keys, rows)
+        return rows
+
+    def other(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Places of words whose row holds another word of the same hash."""
+        n = ends - starts
+        bad = self.letters_n[rows] != n
+        same = np.flatnonzero(~bad)
+        differs = self.letters[T.take(self.letters_at[rows[same]], n[same])] != points[T.take(starts[same], n[same])]
+        if differs.any():
+            bad[same[np.unique(np.repeat(np.arange(len(same)), n[same])[differs])]] = True
+        return np.flatnonzero(bad)
 
     def words(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Table row of every word, and the first word's number of each document."""
@@ -161,6 +179,9 @@ class Encoder:
             at = new[at]
             self.learn(points, starts[at], ends[at], fresh)
             rows[new] = self.known.find(keys[new])
+        bad = self.other(points, starts, ends, rows)
+        if len(bad):
+            rows[bad] = self.learn(points, starts[bad], ends[bad], None)
         return rows, first
 
     def counts(self, column: pa.Array) -> np.ndarray:

@@ -29,6 +29,20 @@ def test_ids_are_the_library_ones(plain, texts):
     assert enc.counts(pa.array(texts, pa.string())).tolist() == [len(x) for x in got]
 
 
+def test_words_of_one_hash_are_told_apart(plain, monkeypatch):
+    """Even with a hash of four values every word gets its own ids."""
+    from leafmill.llm import encoding
+
+    real = encoding.T.hashes
+    enc = encoding.Encoder(encoding.TOKENIZER)
+    texts = ["the harbour authority approved the annual statement", "a b c d e f g h", "the the harbour", "", "über den Küstenbezirk"]
+    want = [ids for _, _, lists in enc.encode(pa.array(texts)) for ids in lists.to_pylist()]
+    monkeypatch.setattr(encoding.T, "hashes", lambda *a: real(*a) % np.uint64(4))
+    clash = encoding.Encoder(encoding.TOKENIZER)
+    for _ in range(2):
+        assert [ids for _, _, lists in clash.encode(pa.array(texts)) for ids in lists.to_pylist()] == want
+
+
 def test_ids_of_odd_texts(plain):
     texts = [None, "", "   ", "<|endoftext|>", "a" * 3000, "aaa " * 2000, "it's 'll 've we're I'm x'd '", "日本語" * 500]
     enc = encoding.Encoder(encoding.TOKENIZER, bound=4)  # the store of known words is emptied again and again
