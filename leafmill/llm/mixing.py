@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from ..plans.ordering import numbered
 from ..session import table
 from .encoding import TOKENIZER, token_counts
 
@@ -117,9 +118,13 @@ def document_tokens(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER
     """Token counts of all documents, written once, rows of one id numbered."""
     targets, docs = table(spark, folder, "source_targets"), table(spark, folder, "documents")
     wanted = docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")  # one row a source
-    counted = token_counts(wanted, ["doc_id", "source"], tokenizer=tokenizer)
-    part = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "tokens")) - 1
-    return cut(counted.withColumn("part", part))
+    counted = cut(token_counts(wanted, ["doc_id", "source"], tokenizer=tokenizer))
+    # ids are unique but for repeated and null ones, and those may be very many: only they are numbered, by ranges
+    many = counted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))
+    again = F.col("doc_id").eqNullSafe(F.col("id"))
+    once = counted.join(many, again, "left_anti").withColumn("part", F.lit(0))
+    repeated = numbered(counted.join(many, again, "left_semi"), ["doc_id"], ["source", "tokens"], number="part").drop("n")
+    return cut(once.unionByName(repeated.withColumn("part", F.col("part").cast("int"))))
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:

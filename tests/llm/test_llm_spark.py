@@ -238,3 +238,12 @@ def test_cut_texts(spark, tmp_path):
     assert len(full) > 40 and all(r["cut"] for r in full) and not got[2120]["inside"]
     assert got[2120]["ending_ratio"] < 0 < got[2120]["log_odds"]
     assert not {3000, 3001, 3002, 3003} & set(got)
+
+
+def test_rows_of_one_id_are_numbered(spark, tmp_path):
+    docs = [(1, "a b", "s"), (2, "c", "s"), (2, "c", "s"), (2, "d e f", "s"), (None, "x", "s"), (None, "y y", "s"), (3, "z", "other")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("s", 1.0, 2)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "source_targets.parquet"))
+    got = mixing.document_tokens(spark, str(tmp_path))
+    assert sorted((r["doc_id"] or 0, r["part"]) for r in got.collect()) == [(0, 0), (0, 1), (1, 0), (2, 0), (2, 1), (2, 2)]
+    assert mixing.p9_mix(spark, str(tmp_path)).agg(F.sum("copies")).first()[0] == 6
