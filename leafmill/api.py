@@ -96,7 +96,7 @@ class Library:
     def ingest(self, folder: str) -> int:
         """Read all files of a folder; a file read before is left alone, unopened. Returns blocks added."""
         found = sinks.unseen(files.open_folder(self.spark, folder), self._at("ledger"), "path")
-        blocks = cut(files.read(found, self.engine.pages, self.engine.convert))
+        blocks = cut(files.read_with_retries(found, lambda f: files.read(f, self.engine.pages, self.engine.convert)).drop("attempt"))
         n = sinks.append_missing(blocks, self._path, ["path", "page_idx", "ordinal"])
         if n:
             self._describe(blocks)
