@@ -81,7 +81,7 @@ def test_upsert_of_all_loads(spark, tmp_path):
     loads = [(i, f"t{n}", f"2024-01-0{n}") for i in range(12) for n in range(1, 2 + i % 3)] + [(12, "x", None), (12, "y", "2024-01-05")]
     df = spark.createDataFrame(loads, "content_id bigint, text string, loaded_at string").withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))
     df.write.parquet(str(tmp_path / "block_texts.parquet"))
-    got = {r["content_id"]: str(r["loaded_at"])[:10] for r in shapes.summary_upsert_all(spark, str(tmp_path)).collect()}
+    got = {r["content_id"]: str(r["loaded_at"])[:10] for r in shapes.summary_upsert(spark, str(tmp_path)).collect()}
     assert got == {i: f"2024-01-0{1 + i % 3}" for i in range(12)} | {12: "2024-01-05"}
 
 
@@ -90,14 +90,14 @@ def test_fences_and_markers_in_blocks(spark, tmp_path):
     rows = [(i, 1, p, k, x, "2024-01-01") for i, (p, k, x) in enumerate(texts)]
     df = spark.createDataFrame(rows, "block_id bigint, document_id bigint, page_idx int, type string, text string, received_at string")
     df.withColumn("received_at", F.col("received_at").cast("timestamp")).write.parquet(str(tmp_path / "blocks.parquet"))
-    got = {(r["page_idx"], r["tag"], r["sections"], r["chars"]) for r in shapes.tag_split_all(spark, str(tmp_path)).collect()}
+    got = {(r["page_idx"], r["tag"], r["sections"], r["chars"]) for r in shapes.tag_split(spark, str(tmp_path)).collect()}
     assert got == {(1, "TEXT", 1, 1), (1, "CODE", 1, 16), (1, "LIST", 1, 3), (2, "CODE", 1, 5), (2, "TEXT", 1, 6), (3, "CODE", 1, 20), (4, "TEXT", 1, 9)}
 
 
 def test_fences_in_documents(spark, tmp_path):
     texts = ["plain", "a\n```\nb\n```", "a\n```\nb", "in a ``` line"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["digest"] for r in shapes.fence_strip_all(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["digest"] for r in shapes.fence_strip(spark, str(tmp_path)).collect()}
     want = [texts[0], texts[1], f"```markdown\n{texts[2]}\n```", texts[3]]
     assert got == {i: hashlib.md5(x.encode()).hexdigest() for i, x in enumerate(want)}
 
