@@ -16,7 +16,7 @@ _STAMP = _DAY + r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)?$"
 
 def is_integer(v: Column) -> Column:
     """Digits that print back as they are, within 64 bits: ``007``, ``-0`` and ``+1`` aren't."""
-    return v.rlike(_INT) & (v.try_cast("bigint").cast("string") == v)
+    return v.rlike(_INT) & F.when(v.isNotNull(), v.try_cast("bigint").cast("string").eqNullSafe(v))
 
 
 def is_decimal(v: Column) -> Column:

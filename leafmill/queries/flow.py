@@ -90,8 +90,8 @@ def exported_markdown(spark, folder):
 
 
 def _page_stream(spark, folder, name):
-    source = table(spark, folder, name)
-    return spark.readStream.schema(source.schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table as a stream of its files; the pattern takes it as one file or as a folder of some."""
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def stream_completion(spark, folder):
