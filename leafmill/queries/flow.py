@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import embedding as E
+from ..operators import ranking as R
 from ..operators import reduce as D
 from ..operators import tree as T
+from ..plans import answer
 from ..plans.lineage import scratch
 from ..session import table
 from ..sources import files, sinks
@@ -152,6 +155,42 @@ def expired_documents(spark, folder):
     return flow.expired(table(spark, folder, "documents"), "ingested_at", "2024-07-01 00:00:00").select("doc_id")
 
 
+def progress_view(spark, folder):
+    """Documents of every library by what has become of them."""
+    d = table(spark, folder, "documents")
+    status = F.coalesce("status", F.lit("unknown"))
+    return d.groupBy("library_id", status.alias("status")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce("blocks_in", F.lit(0))).alias("blocks"))
+
+
+def schema_texts(spark, folder):
+    """What a query writer is shown of every catalogued table."""
+    n = table(spark, folder, "table_rows").groupBy("table_id").agg(F.countDistinct("row_idx").alias("n"))
+    rows = table(spark, folder, "table_catalog").join(n, "table_id", "left").select("table_id", "title", "column_specs", F.coalesce("n", F.lit(0)).alias("n")).collect()  # the catalogue of tables
+    texts = [(r["table_id"], answer.schema_block([answer.TableInfo(r["title"], [c["header"] for c in r["column_specs"]], [(c["dtype"], 0) for c in r["column_specs"]], r["n"])])) for r in rows]
+    return spark.createDataFrame(texts, "table_id bigint, text string")
+
+
+def table_passages(spark, folder):
+    """Grids as passages: rows, header, the first three of them."""
+    g = T.delivered(table(spark, folder, "blocks")).where("grid is not null and size(grid) > 0")
+    plain = F.transform("grid", lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit(""))))
+    passage = E.table_passage(F.concat(F.lit("block "), F.col("block_id").cast("string")), F.size("grid") - 1, plain[0], F.slice(plain, 2, 3))
+    return g.select("block_id", F.md5(passage).alias("digest"))
+
+
+def near_index_recall(spark, folder):
+    """Of the vectors that the projection index gives for a query vector, whether they are the nearest: how many of the exact ten are among its fifty."""
+    from pyspark.ml.functions import array_to_vector
+
+    v = table(spark, folder, "embeddings").where("embedding is not null")
+    model, hashed = E.near_index(v, key="vec_id", tables=8, width=2.0)
+    q = v.orderBy("vec_id").limit(1).select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("q")).first()["q"]
+    unit = q / float(q.norm(2))
+    got = model.approxNearestNeighbors(hashed, unit, 50).select("vec_id")
+    exact = R.dense_order(v, [float(x) for x in q]).where("place <= 10").select("vec_id")
+    return exact.join(got, "vec_id", "left_semi").agg((F.count(F.lit(1)) >= 9).alias("nine_of_ten"), F.count(F.lit(1)).alias("found"))
+
+
 _SQL_KINDS = {"json": "'json'", "html": "'html'", "csv": "'csv'", "tsv": "'tsv'", "md": "'markdown'", "xml": "'xml'", "txt": "'text'"}
 _ROW = "SELECT n_nationkey || '.{ext}' AS file, {kind} AS kind, {ordinal} AS ordinal, {type} AS type, {level} AS text_level, {text} AS text, {cells} AS cells FROM nation"
 
@@ -182,9 +221,12 @@ SQL = {
     "fair_turns": "WITH p AS (SELECT DISTINCT document_id, page_idx FROM blocks), n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_idx) - 1 AS nth FROM p) SELECT document_id, page_idx, nth, row_number() OVER (ORDER BY nth, document_id) - 1 AS turn FROM n",
     "claimed_libraries": "SELECT library_id, CASE WHEN library_id % 2 = 0 THEN 1 ELSE 2 END AS caller FROM libraries WHERE status = 'ingested' AND ingested_at IS NOT NULL",
     "stage_timing": "SELECT coalesce(source, '?') AS stage, count(*) AS runs, CAST(sum(blocks_in) AS BIGINT) AS units, round(avg((epoch_us(ingested_at) - epoch_us(created_at)) / 1000.0 / blocks_in), 3) AS mean_ms, round(max((epoch_us(ingested_at) - epoch_us(created_at)) / 1000.0 / blocks_in), 3) AS max_ms FROM documents WHERE ingested_at IS NOT NULL AND created_at IS NOT NULL AND blocks_in > 0 GROUP BY 1",
+    "progress_view": "SELECT library_id, coalesce(status, 'unknown') AS status, count(*) AS documents, CAST(sum(coalesce(blocks_in, 0)) AS BIGINT) AS blocks FROM documents GROUP BY 1, 2",
+    "schema_texts": "SELECT table_id, 't0 (' || title || ') rows=' || coalesce(n, 0) || chr(10) || array_to_string(list_transform(column_specs, lambda c, i: '  c' || (i - 1) || ': ' || c.header || ' (' || c.dtype || ')'), chr(10)) AS text FROM table_catalog LEFT JOIN (SELECT table_id, count(DISTINCT row_idx) AS n FROM table_rows GROUP BY 1) USING (table_id)",
+    "table_passages": "WITH b AS (SELECT * EXCLUDE (received_at) FROM blocks QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY received_at) = 1), g AS (SELECT block_id, list_transform(grid, lambda r: list_transform(r, lambda c: coalesce(c, ''))) AS g FROM b WHERE grid IS NOT NULL AND len(grid) > 0) SELECT block_id, md5('[block ' || block_id || '] table with ' || (len(g) - 1) || ' rows, ' || len(g[2:4]) || ' shown' || chr(10) || array_to_string(g[1], ' | ') || chr(10) || coalesce(array_to_string(list_transform(g[2:4], lambda r: array_to_string(r, ' | ')), chr(10)), '')) AS digest FROM g",
     "expired_documents": "SELECT doc_id FROM documents WHERE ingested_at < TIMESTAMP '2024-07-01' - INTERVAL 24 HOUR",
 }
-QUERIES = {n: globals()[n] for n in SQL}
+QUERIES = {n: globals()[n] for n in [*SQL, "near_index_recall"]}
 from .trees import _LEAVES  # noqa: E402 - the leaves' SQL is the tree's
 
 SQL["document_json"] = f"WITH {_LEAVES}, n AS (SELECT document_id, count(*) AS n, count(*) FILTER (WHERE kind = 'list') AS l FROM leaves GROUP BY 1) SELECT doc_id AS document_id, 'document' AS type, title, coalesce(n, 0) AS n_blocks, coalesce(l, 0) AS n_lists FROM documents LEFT JOIN n ON doc_id = document_id"
