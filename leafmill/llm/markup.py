@@ -165,6 +165,7 @@ def _digest(body: str) -> int:
     return xxhash.xxh64_intdigest(re.sub(r"\s+", " ", re.sub(r"\d+", "0", body)).strip()) - (1 << 63)
 
 
+_BLANK_LINE = re.compile(r"\n[ \t]*\n")
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n[ \t]*[^\s][^\n]*)*")
 
 
@@ -173,9 +174,9 @@ def elements_of(text: str) -> list[tuple[int, Node]]:
 
     A paragraph that is the whole text is content, however often it recurs.
     """
-    root = tree(text)
+    root = tree(text) if "<" in text or "{" in text else Node("", 0, len(text))
     out = list(subtrees(text, root))
-    for m in _PARAGRAPH.finditer(text):
+    for m in _PARAGRAPH.finditer(text) if _BLANK_LINE.search(text) else ():
         a, b = m.span()
         if b - a >= MIN_CHARS and b - a < len(text.strip()) and not any(c.start < b and a < c.end for c in root.children) and kinds_of(m.group(), "prose"):
             out.append((_digest(m.group()), Node("paragraph", a, b)))
