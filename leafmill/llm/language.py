@@ -337,8 +337,8 @@ def segments_of(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def _codes(spark: SparkSession, folder: str) -> list[str]:
-    """The language codes: a fixed table of a few rows."""
-    return sorted(r["code"] for r in table(spark, folder, "languages").select("code").distinct().collect())
+    """The language codes, but null ones: a fixed table of a few rows."""
+    return sorted(r["code"] for r in table(spark, folder, "languages").where("code is not null").select("code").distinct().collect())
 
 
 def p10_languages(spark: SparkSession, folder: str) -> DataFrame:

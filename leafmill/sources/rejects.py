@@ -161,7 +161,7 @@ def read_lines(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     # numbered by an expression over the catalogue, whose size stays known, so a small one is broadcast by Spark itself
     specs = specs.withColumn("shape", F.array_position(F.array(*[F.lit(_key(*x)) for _, x in shapes]), _key_of()) - 1 if shapes else F.lit(None).cast("bigint"))
     specs = specs.withColumn("shape", F.when(F.col("shape") >= 0, F.col("shape")).cast("int"))
-    both = spread(rows).join(specs, "table_id", "left")
+    both = spread(rows.select("table_id", "row_idx", "values_text", "received_at")).join(specs, "table_id", "left")
     if len(shapes) <= SHAPES_A_PASS:
         both = _read(both, shapes)
     else:  # a pass over the tables of so many shapes each, and one for lines of no known shape

@@ -247,3 +247,9 @@ def test_rows_of_one_id_are_numbered(spark, tmp_path):
     got = mixing.document_tokens(spark, str(tmp_path))
     assert sorted((r["doc_id"] or 0, r["part"]) for r in got.collect()) == [(0, 0), (0, 1), (1, 0), (2, 0), (2, 1), (2, 2)]
     assert mixing.p9_mix(spark, str(tmp_path)).agg(F.sum("copies")).first()[0] == 6
+
+
+def test_odd_language_codes(spark, tmp_path):
+    """A null code names no language; repeated ones name one."""
+    spark.createDataFrame([("en", "English"), (None, None), ("de", "German"), ("en", "again")], "code string, name string").write.parquet(str(tmp_path / "languages.parquet"))
+    assert language._codes(spark, str(tmp_path)) == ["de", "en"]
