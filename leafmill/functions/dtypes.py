@@ -85,4 +85,6 @@ def as_rows(df: DataFrame, order: list[str]) -> DataFrame:
 def table_columns(rows: DataFrame) -> list[tuple[str, int]]:
     """Inferred type of each column of a positional table: one row a column reaches the driver."""
     cells = rows.where("row_idx > 0").select(F.posexplode("values").alias("col", "value"))
-    return [(r["dtype"], r["scale"]) for r in infer(cells, ["col"]).orderBy("col").collect()]
+    found = {r["col"]: (r["dtype"], r["scale"]) for r in infer(cells, ["col"]).collect()}
+    wide = rows.agg(F.max(F.size("values")).alias("n")).first()["n"] or 0  # a table without rows has its header's columns
+    return [found.get(i, ("string", 0)) for i in range(wide)]

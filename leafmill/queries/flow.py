@@ -164,8 +164,8 @@ def progress_view(spark, folder):
 
 def schema_texts(spark, folder):
     """What a query writer is shown of every catalogued table."""
-    n = table(spark, folder, "table_rows").groupBy("table_id").agg(F.countDistinct("row_idx").alias("n"))
-    rows = table(spark, folder, "table_catalog").join(n, "table_id", "left").select("table_id", "title", "column_specs", F.coalesce("n", F.lit(0)).alias("n")).collect()  # the catalogue of tables
+    n = table(spark, folder, "table_rows").groupBy("table_id").agg(F.countDistinct("row_idx").alias("rows_held"))
+    rows = table(spark, folder, "table_catalog").join(n, "table_id", "left").select("table_id", "title", "column_specs", F.coalesce("rows_held", F.lit(0)).alias("n")).collect()  # the catalogue of tables
     texts = [(r["table_id"], answer.schema_block([answer.TableInfo(r["title"], [c["header"] for c in r["column_specs"]], [(c["dtype"], 0) for c in r["column_specs"]], r["n"])])) for r in rows]
     return spark.createDataFrame(texts, "table_id bigint, text string")
 

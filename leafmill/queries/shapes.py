@@ -200,9 +200,9 @@ def batch_entries(spark, folder):
 
 def table_entries(spark, folder):
     """Catalogued tables as inventory entries."""
-    n = table(spark, folder, "table_rows").groupBy("table_id").agg(F.countDistinct("row_idx").alias("n"))
+    n = table(spark, folder, "table_rows").groupBy("table_id").agg(F.countDistinct("row_idx").alias("rows_held"))
     c = table(spark, folder, "table_catalog").join(n, "table_id", "left")
-    return c.select("table_id", D.table_entry(F.concat(F.lit("table "), F.col("table_id").cast("string")), F.coalesce("n", F.lit(0)), F.array("title"), F.col("column_specs.header")).alias("entry"))
+    return c.select("table_id", D.table_entry(F.concat(F.lit("table "), F.col("table_id").cast("string")), F.coalesce("rows_held", F.lit(0)), F.array("title"), F.col("column_specs.header")).alias("entry"))
 
 
 def section_blocks(spark, folder):

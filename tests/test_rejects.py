@@ -66,3 +66,10 @@ def test_corrupt_record_decides(spark, catalog):
     rows = spark.createDataFrame([(2, 0, "true|2024-01-01T10:00:00"), (2, 1, "yes|n/a"), (2, 2, "yes|never")], "table_id bigint, row_idx bigint, values_text string").withColumn("received_at", F.current_timestamp())
     got = {r["row_idx"]: (r["reason"], r["values"], r["corrupt"]) for r in R.read_lines(rows, catalog).collect()}
     assert got == {0: (None, ["true", "2024-01-01 10:00:00"], None), 1: (None, ["yes", "n/a"], None), 2: ("value of column 2", ["yes", "never"], "yes|never")}
+
+
+def test_clashing_columns(spark, catalog):
+    """Columns of the operator's own names in the tables are left alone."""
+    rows = spark.createDataFrame([(1, 0, "1,x,", None, "s", 5, "b", "f")], "table_id bigint, row_idx bigint, values_text string, received_at timestamp, shape string, kinds int, broken string, first string")
+    clash = catalog.withColumn("shape", F.lit("x")).withColumn("row_idx", F.lit(3)).withColumn("kinds", F.lit(1))
+    assert [r["reason"] for r in R.read_lines(rows, clash).collect()] == [None]
