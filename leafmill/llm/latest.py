@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def latest(df: DataFrame, key: str, when: str, tie: list[Column], values: dict[str, Column]) -> DataFrame:
     """One row per ``key``: ``values`` of the row with the greatest ``when``, ties broken by ``tie``.
 
-    A hash aggregation with a map-side part, so a key loaded very often moves one
-    row a partition; texts that the caller doesn't need are made null in ``values``
+    An aggregation with a map-side part (a sort aggregation, as structs with strings
+    don't hash in place), so a key loaded very often moves one row a partition; texts that the caller doesn't need are made null in ``values``
     before they are shuffled.
     """
     best = F.max(F.struct(F.col(when).alias("__when"), *[t.alias(f"__t{i}") for i, t in enumerate(tie)], *[v.alias(k) for k, v in values.items()])).alias("__best")
