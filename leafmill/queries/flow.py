@@ -73,7 +73,7 @@ def sink_once(spark, folder):
     path, b = scratch(spark), table(spark, folder, "blocks").select("block_id", "type", "source")
     sinks.append_missing(b.where("block_id % 3 < 2"), path, ["block_id"], ["type"])
     sinks.append_missing(b.where("block_id % 3 > 0"), path, ["block_id"], ["type"])
-    return spark.read.parquet(path).groupBy("type").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("block_id").alias("blocks"))
+    return sinks.stored(spark, path, "block_id bigint, source string, type string").groupBy("type").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("block_id").alias("blocks"))
 
 
 def sink_replaced(spark, folder):
@@ -81,7 +81,7 @@ def sink_replaced(spark, folder):
     path, e = scratch(spark), table(spark, folder, "events").select("event_id", "value", "event_type")
     sinks.replace_partitions(e, path, ["event_type"])
     sinks.replace_partitions(e.where("event_type = 'click' and event_id % 2 = 0"), path, ["event_type"])
-    return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+    return sinks.stored(spark, path, "event_id bigint, value double, event_type string").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
 def exported_markdown(spark, folder):
@@ -89,7 +89,10 @@ def exported_markdown(spark, folder):
     path = scratch(spark)
     md = D.export_markdown(table(spark, folder, "content_nodes"))
     sinks.export_library(md.select("document_id", F.regexp_replace("markdown", "\\s+", " ").alias("markdown")), table(spark, folder, "documents"), path)
-    return spark.read.text(path).groupBy("library_id").agg(F.count(F.lit(1)).alias("documents"))
+    back = spark.read.text(path)
+    if "library_id" not in back.columns:  # no document, so no folder of a library
+        back = back.withColumn("library_id", F.lit(None).cast("int"))
+    return back.groupBy("library_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def _page_stream(spark, folder, name):
@@ -118,7 +121,7 @@ def stream_barrier(spark, folder):
 
     for batch, part in enumerate((F.col("page_idx") % 2 == 0, F.lit(True), F.col("page_idx") % 2 == 1)):
         flow.barrier(units.where(part), store, merged, merge, batch)
-    return spark.read.parquet(merged).select("doc_id", "pages", "blocks")
+    return sinks.stored(spark, merged, "doc_id bigint, pages bigint, blocks bigint, batch int").select("doc_id", "pages", "blocks")
 
 
 def stream_windows(spark, folder):
@@ -165,7 +168,7 @@ def progress_view(spark, folder):
 def schema_texts(spark, folder):
     """What a query writer is shown of every catalogued table."""
     n = table(spark, folder, "table_rows").groupBy("table_id").agg(F.countDistinct("row_idx").alias("rows_held"))
-    rows = table(spark, folder, "table_catalog").join(n, "table_id", "left").select("table_id", "title", "column_specs", F.coalesce("rows_held", F.lit(0)).alias("n")).collect()  # the catalogue of tables
+    rows = table(spark, folder, "table_catalog").join(n, "table_id", "left").where("column_specs is not null").select("table_id", F.coalesce("title", F.lit("?")).alias("title"), "column_specs", F.coalesce("rows_held", F.lit(0)).alias("n")).collect()  # the catalogue of tables
     texts = [(r["table_id"], answer.schema_block([answer.TableInfo(r["title"], [c["header"] for c in r["column_specs"]], [(c["dtype"], 0) for c in r["column_specs"]], r["n"])])) for r in rows]
     return spark.createDataFrame(texts, "table_id bigint, text string")
 
@@ -183,6 +186,8 @@ def near_index_recall(spark, folder):
     from pyspark.ml.functions import array_to_vector
 
     v = table(spark, folder, "embeddings").where("embedding is not null")
+    if v.isEmpty():
+        return spark.createDataFrame([], "nine_of_ten boolean, found bigint")
     model, hashed = E.near_index(v, key="vec_id", tables=8, width=2.0)
     q = v.orderBy("vec_id").limit(1).select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("q")).first()["q"]
     unit = q / float(q.norm(2))

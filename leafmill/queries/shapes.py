@@ -140,8 +140,8 @@ def json_entities(spark, folder):
 
 def dense_rank_vec(spark, folder):
     v = table(spark, folder, "embeddings")
-    q = v.orderBy("vec_id").limit(1)
-    query = list(q.first()["embedding"])
+    first = v.where("embedding is not null").orderBy("vec_id").first()  # a query without a vector is like nothing
+    query = list(first["embedding"]) if first else []
     return R.dense_order(v, query).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 

@@ -28,6 +28,11 @@ def delete(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What a store holds; one that nothing was written to is empty."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def unseen(df: DataFrame, ledger: str, key: str) -> DataFrame:
     """Rows whose key isn't in the ledger: a small table of keys, so nothing else of what is stored is read."""
     if not exists(df.sparkSession, ledger):

@@ -44,6 +44,8 @@ def barrier(units: DataFrame, store: str, merged: str, merge: Callable[[DataFram
     """
     spark = units.sparkSession
     record_units(units, store, [key, unit])
+    if not sinks.exists(spark, store):  # nothing has arrived yet
+        return 0
     everything = spark.read.parquet(store)
     ready = complete(everything, key, unit, expected).select(key)
     fresh = cut(sinks.unseen(ready, f"{merged}-claims", key))
