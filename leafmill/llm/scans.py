@@ -10,8 +10,11 @@ the edit occurs in the whole corpus (a count sketch of fixed size), how well the
 letters around fit together, and how common the confusion is. A second
 perceptron tells page furniture from text by the line's form, its place in the
 text and on the page (as a rank among the corpus's blocks), and the titles of its
-document. Both are trained on the driver on a bounded sample of the corpus,
-spoilt with the confusions learnt and with random ones.
+document. Confusions, thresholds and both perceptrons come from all words and
+blocks of the corpus: distinct words are paired by a join, and words and blocks
+are dealt by hash into parts, each of which trains a model; their mean, weighted by
+examples, is the editor. What is read rightly is spoilt for training with the
+confusions learnt and with random ones.
 
 Words are repaired once per worker: distinct words are told by hash. What is left
 of a text's line wraps is then undone, so paragraphs are continuous; lists keep
@@ -27,6 +30,8 @@ confusions and only single letters are tried.
 from __future__ import annotations
 
 import bisect
+import itertools
+import math
 import random
 import re
 from collections import defaultdict
@@ -36,16 +41,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import spread
+from ..plans.lineage import cut, spread
 from ..session import table
 from . import textkit as T
 
-#: Slots of each of the two count tables (the broadcast's proven size: 8 MB); rows trained on, and rows whose words teach the confusions, about.
-SLOTS, SAMPLE_ROWS, CHANNEL_ROWS = 1 << 20, 4000, 40_000
+#: Slots of each of the two count tables (the broadcast's proven size: 8 MB).
+SLOTS = 1 << 20
+#: Usual words, other words, and blocks, about, that one part of the corpus trains on; all parts are trained on.
+PART_USUAL, PART_RARE, PART_ROWS = 3000, 4000, 4000
+#: Examples of lines that a model is fitted on at once.
+PART_LINES = 50_000
+#: Words beyond so many letters aren't edited.
+LONGEST = 40
 #: Share of all occurrences that usual words make up.
 MASS = 0.97
 #: Letters in fewer of the usual words than this share are seldom.
 SELDOM = 0.05
+#: A confusion is learnt from three words, and from this share of all pairs of a rare and a frequent word: pairs that are near by chance grow with the corpus.
+LEAST_WORDS, LEAST_SHARE = 3, 1 / 500
 #: A frequent word is so many times as frequent as one that may be its misreading.
 RATIO = 8
 #: An edit that isn't a learnt confusion is weighed only if it leads to a word so many times as frequent.
@@ -71,14 +84,18 @@ class Perceptron:
     def fit(self, rows: list[tuple[list[list[str]], int]], rounds: int = 6, seed: int = 5) -> Perceptron:
         """``rows``: the features of each class that is possible, and which of them is right."""
         w, total, stamp, step = defaultdict(float), defaultdict(float), defaultdict(int), 0
-        rng, rows = random.Random(seed), list(rows)
+        rng, ids = random.Random(seed), {}
+        rows = [(classes, right, ids.setdefault((right, *map(tuple, classes)), len(ids))) for classes, right in rows]
+        said: dict[int, int] = {}  # of equal rows, until a weight changes
         for _ in range(rounds):
             rng.shuffle(rows)
-            for classes, right in rows:
+            for classes, right, i in rows:
                 step += 1
-                scores = [sum(w[n] for n in names) for names in classes]
-                best = max(range(len(scores)), key=lambda i: (scores[i], i != right))
+                if (best := said.get(i)) is None:
+                    scores = [sum(w[n] for n in names) for names in classes]
+                    best = said[i] = max(range(len(scores)), key=lambda i: (scores[i], i != right))
                 if best != right:
+                    said.clear()
                     for names, by in ((classes[right], 1.0), (classes[best], -1.0)):
                         for n in names:
                             total[n] += (step - stamp[n]) * w[n]
@@ -91,6 +108,20 @@ class Perceptron:
         get = self.weights.get
         return sum(get(n, 0.0) for n in names)
 
+    def parts(self, examples: int) -> pa.RecordBatch:
+        """The weights times the examples they were fitted on, as whole numbers, so that sums over parts don't hang on their order."""
+        names = ["", *self.weights]
+        values = [examples, *(round(w * examples * 65536) for w in self.weights.values())]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.int64())], names=["name", "value"])
+
+    @classmethod
+    def mean(cls, parts: DataFrame) -> Perceptron:
+        """The mean of the models of all parts, weighted by examples."""
+        got = dict(parts.groupBy("name").agg(F.sum("value")).collect())
+        out, examples = cls(), got.pop("", 0)
+        out.weights = {n: got[n] / 65536 / examples for n in sorted(got)}
+        return out
+
 
 class Lexicon:
     """How often a word occurs in the corpus: the lesser of two hashed counts."""
@@ -153,30 +184,37 @@ def _bucket(n: float) -> int:
     return min(16, int(np.log2(n + 1.0)))
 
 
+def word_parts(words: list[str]) -> dict[tuple[str, str], int]:
+    """How often triples of letters and letters occur in words, in how many words one or two letters do, and the number of words."""
+    out: dict[tuple[str, str], int] = defaultdict(int)
+    for w in words:
+        padded = f"^{w}$"
+        for i in range(len(w)):
+            out["triple", padded[i : i + 3]] += 1
+            out["letter", w[i]] += 1
+        for part in {w[i : i + k] for i in range(len(w)) for k in (1, 2)}:
+            out["inside", part] += 1
+        out["word", ""] += 1
+    return out
+
+
 class Channel:
     """The confusions of a corpus: what is seen, what stood there, and on how many words that was met."""
 
-    def __init__(self, noise: dict[tuple[str, str], float], natural: dict[tuple[str, str], float], vocabulary: list[str], ratios: list[tuple[tuple[str, str], float]] = ()) -> None:
-        self.weight = {k: n for k, n in noise.items() if n >= 3.0 and n > natural.get(k, 0.0)}
+    def __init__(self, noise: dict[tuple[str, str], float], natural: dict[tuple[str, str], float], vocabulary: list[str], ratios: list[tuple[tuple[str, str], float]] = (), parts: dict[tuple[str, str], int] | None = None) -> None:
+        least = max(LEAST_WORDS, LEAST_SHARE * sum(noise.values()))
+        self.weight = {k: n for k, n in noise.items() if n >= least and n > natural.get(k, 0.0)}
         #: how much rarer than the word itself its misreadings are
         self.ratios = sorted(x for op, x in ratios if op in self.weight)
         self.by_first: dict[str, list[tuple[str, str]]] = defaultdict(list)
         for seen, true in sorted(self.weight):
             self.by_first[seen[:1]].append((seen, true))
-        triples: dict[str, int] = defaultdict(int)
-        letters: dict[str, int] = defaultdict(int)
-        inside: dict[str, int] = defaultdict(int)
-        for w in vocabulary:
-            padded = f"^{w}$"
-            for i in range(len(w)):
-                triples[padded[i : i + 3]] += 1
-                letters[w[i]] += 1
-            for part in {w[i : i + k] for i in range(len(w)) for k in (1, 2)}:
-                inside[part] += 1
-        self.triples = dict(triples)
+        parts = word_parts(vocabulary) if parts is None else parts
+        self.triples = {part: n for (kind, part), n in parts.items() if kind == "triple"}
+        letters = {part: n for (kind, part), n in parts.items() if kind == "letter"}
         self.alphabet = "".join(sorted((c for c, n in letters.items() if c.isalpha() and n >= 3), key=lambda c: (-letters[c], c))[:64])
         # what is seldom in words that were read rightly: only it calls for a second edit, and for any in short words
-        self.strong = {seen for seen, _ in self.weight if seen and inside.get(seen, 0) < SELDOM * len(vocabulary)}
+        self.strong = {seen for seen, _ in self.weight if seen and parts.get(("inside", seen), 0) < SELDOM * parts.get(("word", ""), 0)}
 
     def triple(self, word: str, at: int) -> int:
         """How usual the letters around a place are, as a bucket."""
@@ -212,12 +250,17 @@ def _spans(word: str):
                 yield word[:i] + "\0" + word[i + k :], word[i : i + k]
 
 
-def usual_count(counts: np.ndarray) -> float:
-    """The count from which on words make up ``MASS`` of all occurrences: misreadings are seldom, at any size of corpus."""
+def usual_count(counts: np.ndarray, words: np.ndarray | None = None) -> float:
+    """The count from which on words make up ``MASS`` of all occurrences: misreadings are seldom, at any size of corpus.
+
+    ``words``: how many words have each count, one if not given.
+    """
     if not len(counts):
         return 8.0
-    down = np.sort(counts)[::-1]
-    return max(8.0, float(down[min(len(down) - 1, int(np.searchsorted(np.cumsum(down), MASS * down.sum())))]))
+    order = np.argsort(-counts, kind="stable")
+    down = counts[order].astype(np.float64)
+    mass = np.cumsum(down if words is None else down * words[order])
+    return max(8.0, float(down[min(len(down) - 1, int(np.searchsorted(mass, MASS * mass[-1])))]))
 
 
 def learn_channel(words: list[str], counts: np.ndarray) -> Channel:
@@ -255,6 +298,60 @@ def learn_channel(words: list[str], counts: np.ndarray) -> Channel:
     return Channel(noise, {k: 2.0 * n * min(scale, 1.0) for k, n in natural.items()}, list(frequent), ratios)
 
 
+def _span_rows(rare: bool):
+    """Each row once for every span of its word; ``rare``: not of numbers and codes."""
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            rows = [(i, *span) for i, w in enumerate(words) if not (rare and (w.isdigit() or _CODE.fullmatch(w))) for span in _spans(w)]
+            at = pa.array([i for i, _, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array([r for _, r, _ in rows], pa.string()), pa.array([t for _, _, t in rows], pa.string())], names=[*batch.schema.names, "rest", "taken"])
+
+    return run
+
+
+def _part_rows(batches):
+    total: dict[tuple[str, str], int] = defaultdict(int)
+    for batch in batches:
+        for key, n in word_parts(batch.column(0).to_pylist()).items():
+            total[key] += n
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([p for _, p in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["kind", "part", "n"])
+
+
+def corpus_channel(words: DataFrame) -> Channel:
+    """``learn_channel`` over a table of words of any size (``vocabulary``): the pairs are found by a join, only confusions come to the driver."""
+    small = words.where("small")
+    counts = small.groupBy("n", "plain").count().toPandas()
+    cut_at = usual_count(counts["n"].to_numpy(), counts["count"].to_numpy())
+    usual = int(counts["count"][(counts["n"] >= cut_at) & counts["plain"]].sum())
+    scale = min(1.0, (int(counts["count"].sum()) - usual) / max(1, usual))
+    is_usual = (F.col("n") >= cut_at) & F.col("plain")
+    frequent = small.where(is_usual)
+    left = small.select("word", "n", is_usual.alias("usual")).mapInArrow(_span_rows(True), "word string, n float, usual boolean, rest string, seen string")
+    right = frequent.select(F.col("word").alias("whole"), F.col("n").alias("m")).mapInArrow(_span_rows(False), "whole string, m float, rest string, true string")
+    seen, true = F.col("seen"), F.col("true")
+    apart = (seen == "") | (true == "") | ((F.left(seen, F.lit(1)) != F.left(true, F.lit(1))) & (F.right(seen, F.lit(1)) != F.right(true, F.lit(1))))
+    length = F.char_length(seen) + F.char_length(true)
+    pairs = left.join(right, "rest").where((F.col("word") != F.col("whole")) & (F.col("m") >= RATIO * F.col("n")) & (seen != true) & (F.abs(F.char_length(seen) - F.char_length(true)) < 2) & apart)
+    # a word may be near several: the shortest change to the most frequent one counts
+    best = pairs.groupBy("word", "n", "usual").agg(F.max(F.struct((-length).alias("short"), "m", "seen", "true")).alias("b"))
+    best = cut(best.select("usual", "b.seen", "b.true", F.round(64 * F.log2(F.col("n") / F.col("b.m"))).cast("int").alias("step")))
+    ops = best.groupBy("seen", "true").agg(F.count_if(~F.col("usual")).alias("noise"), (2.0 * scale * F.count_if("usual")).alias("natural"))
+    least = max(LEAST_WORDS, LEAST_SHARE * best.where(~F.col("usual")).count())
+    ops = ops.where((F.col("noise") >= least) & (F.col("noise") > F.col("natural")))
+    got = ops.collect()
+    # how much rarer misreadings are, in sixty-fourths of an octave
+    steps = best.where(~F.col("usual")).join(ops, ["seen", "true"], "left_semi").groupBy("step").count().orderBy("step").collect()
+    parts = frequent.select("word").mapInArrow(_part_rows, "kind string, part string, n bigint").groupBy("kind", "part").agg(F.sum("n").alias("n")).collect()
+    out = Channel({(r["seen"], r["true"]): float(r["noise"]) for r in got}, {}, [], parts={(r["kind"], r["part"]): r["n"] for r in parts})
+    if steps:
+        upto = np.cumsum([r["count"] for r in steps])
+        at = np.searchsorted(upto, (np.arange(1000) + 0.5) / 1000 * upto[-1])
+        out.ratios = [2.0 ** (steps[i]["step"] / 64) for i in at]
+    return out
+
+
 def near_words(lex: Lexicon, words: list[str], before: np.ndarray, alphabet: str) -> dict[int, list[tuple[str, int, str, str]]]:
     """By place in ``words``: single letters replaced, deleted or inserted, and two made one, that give a far more frequent word.
 
@@ -367,7 +464,7 @@ class Editor:
         for w in dict.fromkeys(words):
             if w not in self.known:
                 self.known[w] = w
-                if 2 < len(w) <= 40 and not w.isdigit() and not _CODE.fullmatch(w) and not (w.isupper() and any(c.isdigit() for c in w) and len(w) < 6) and all(c.lower() != c.upper() for c in w if c.isalpha()):
+                if 2 < len(w) <= LONGEST and not w.isdigit() and not _CODE.fullmatch(w) and not (w.isupper() and any(c.isdigit() for c in w) and len(w) < 6) and all(c.lower() != c.upper() for c in w if c.isalpha()):
                     todo.append(w)
         before = dict(zip(todo, self.lex.counts(todo).tolist(), strict=True))
         self._decide({w: self.channel.edits(w, self.channel.strong if len(w) < 4 else None) for w in todo}, before)
@@ -554,22 +651,8 @@ def join_features(a: str, mark: str, b: str, counts: np.ndarray) -> list[str]:
 # ---------------------------------------------------------------- training
 
 
-def train(rows: list[dict], lex: Lexicon, seed: int = 3, more: list[str] = ()) -> Editor:
-    """The editor from sampled blocks (type, text, titles, page, y), their clean words spoilt as scans spoil them.
-
-    ``more``: further texts, whose words only teach the confusions.
-    """
-    rng = random.Random(seed)
-    texts = [r["text"] for r in rows if r["type"] in ("text", "list") and r["text"]]
-    # words in small letters: invented names are as rare as misreadings
-    taught = list(dict.fromkeys(w for t in (*texts, *more) for w in _WORD.findall(t) if len(w) > 3 and w[0] == w[0].lower()))
-    channel = learn_channel(taught, lex.counts(taught))
-    words = list(dict.fromkeys(w for t in texts for w in _WORD.findall(t) if len(w) > 1 and w.isalpha()))
-    rng.shuffle(words)
-    counts = lex.counts(words)
-    top = usual_count(counts)
-    common = [w for w, n in zip(words, counts, strict=True) if n >= top][:3000]
-    rare = [w for w, n in zip(words, counts, strict=True) if n < top][:4000]
+def word_examples(common: list[str], rare: list[str], lex: Lexicon, channel: Channel, top: float, rng: random.Random) -> list[tuple[list[list[str]], int]]:
+    """What to do with words read rightly, and with the usual ones spoilt as scans spoil them."""
     ops = sorted(channel.weight)
     weights = [channel.weight[o] ** 0.5 for o in ops]
     cases = []
@@ -589,10 +672,11 @@ def train(rows: list[dict], lex: Lexicon, seed: int = 3, more: list[str] = ()) -
             made.append(((w[:at] + c + w[at + 1 :], w[:at] + c + w[at + 1 :], w[:at] + w[at + 1 :], w[:at] + c + w[at:], w[:at] + d + c + w[at + 1 :])[how], w))
         cases += [*((bad, good) for bad, good in made if bad.lower() != good.lower()), (w, w)]
     cases += [(w, w) for w in rare]
+    parts = []
     for _ in range(len(common) if len(common) > 1 else 0):  # words cut off, and invented names: rare, near others, and rightly read
         a, b = rng.sample(common, 2)
-        cut_off, name = a[: rng.randint(2, max(2, len(a) - 1))], (a[: len(a) // 2] + b[len(b) // 2 :]).capitalize()
-        cases += [(w, w) for w in (cut_off, name) if lex.counts([w])[0] < top]
+        parts += [a[: rng.randint(2, max(2, len(a) - 1))], (a[: len(a) // 2] + b[len(b) // 2 :]).capitalize()]
+    cases += [(w, w) for w, n in zip(parts, lex.counts(parts), strict=True) if n < top]
     cases += [(code, code) for code in ("".join(rng.choices("0123456789abcdef", k=rng.randint(3, 6))) for _ in range(400)) if not code.isdigit()]
     near = near_words(lex, [bad for bad, _ in cases], lex.counts([bad for bad, _ in cases]), channel.alphabet)
     options = [(i, e) for i, (bad, _) in enumerate(cases) for e in dict.fromkeys([*channel.edits(bad), *near.get(i, ())])]
@@ -617,43 +701,60 @@ def train(rows: list[dict], lex: Lexicon, seed: int = 3, more: list[str] = ()) -
             continue  # of a spoilt word only the spoilt place is known
         classes = [keep_features(channel, bad, at, n0)] + [edit_features(channel, bad, v, at, seen, true, n0, n) for (v, _, seen, true), n in made]
         examples.append((classes, right))
-    for w in [*common, *rare[:200]]:
+    joins = []
+    for w in [*common, *rare]:
         if len(w) > 4:
             k = rng.randint(2, len(w) - 2)
             a, b, mark = w[:k], w[k:], rng.choice(["-", "-", "-", "\xad", "¬"])
-            examples.append(([["stay"], join_features(a, mark, b, lex.counts([w, a, b]))], 1))
-    for _ in range(len(common)):
+            joins.append((a, mark, b, 1))
+    for _ in range(len(common) + len(rare)):
         if len(common) > 1:
             a, b = rng.sample(common, 2)
             if rng.random() < 0.3:
                 a, b = f"{rng.choice('ABQVX')}{rng.randint(1, 99)}", rng.choice([f"{rng.randint(1, 40):02d}", "C4", "H1", "O2"])
-            examples.append(([["stay"], join_features(a, "-", b, lex.counts([a + b, a, b]))], 0))
-    letters = Perceptron().fit(examples)
-    # single letters that no confusion backs: as sure as only one in a hundred of the words that were read rightly and are near a frequent one is
-    false = [max(letters.score(c) for c in classes[1:]) - letters.score(classes[0]) for classes, right in examples if right == 0 and classes[0][0] == "keep" and all("weight 0" in c for c in classes[1:])]
-    far_margin = max(0.0, float(np.quantile(false, 0.99))) if false else 0.0
+            joins.append((a, "-", b, 0))
+    counts = lex.counts([w for a, _, b, _ in joins for w in (a + b, a, b)]).reshape(-1, 3)
+    examples += [([["stay"], join_features(a, mark, b, n)], right) for (a, mark, b, right), n in zip(joins, counts, strict=True)]
+    return examples
+
+
+def far_choices(examples: list[tuple[list[list[str]], int]]) -> list[list[list[str]]]:
+    """What could be done with words that were read rightly and are near a frequent one by single letters that no confusion backs."""
+    return [classes for classes, right in examples if right == 0 and classes[0][0] == "keep" and all("weight 0" in c for c in classes[1:])]
+
+
+def far_margins(letters: Perceptron, choices: list[list[list[str]]]) -> list[float]:
+    """By how much the best edit outweighs keeping."""
+    return [max(letters.score(c) for c in classes[1:]) - letters.score(classes[0]) for classes in choices]
+
+
+def heights_of(ys: list[float], blocks: list[int]) -> list[float]:
+    """The twentieths of heights on the page, of which each is met on so many blocks."""
+    order = np.argsort(ys)
+    upto = np.cumsum(np.array(blocks, np.int64)[order])
+    return sorted({float(ys[order[np.searchsorted(upto, upto[-1] * k // 20, "right")]]) for k in range(20)}) if len(ys) else []
+
 
-    ys = sorted(r["y"] for r in rows if r["y"] is not None)
-    heights = sorted({ys[len(ys) * k // 20] for k in range(20)}) if ys else []
+def line_examples(rows: list[dict], heights: list[float], rng: random.Random):
+    """Furniture and lines of text, with what is seen of each."""
 
     def at_height(y: float | None) -> int | None:
         return None if y is None else bisect.bisect_left(heights, y)
 
-    lines = []
     for r in rows:
         keys = [title_key(t) for t in r["titles"] if t]
         text = r["text"] or ""
         if r["type"] in ("header", "number") and text.strip():
             for at, n in ((0, 1), (1, 3), (0, 3), (2, 3)):  # as a text's only line, within it, at its ends
-                lines.append((line_features(text, at, n, keys, r["page"], at_height(r["y"]) if n == 1 else None), True))
+                yield [["text"], line_features(text, at, n, keys, r["page"], at_height(r["y"]) if n == 1 else None)], 1
                 k = rng.randint(1, 250)
-                lines.append((line_features(rng.choice([f"p. {k}", f"Page {k} of {k + rng.randint(0, 90)}", f"- {k} -", f"{k}", f"Page {k}"]), at, n, keys, r["page"], None), True))
+                yield [["text"], line_features(rng.choice([f"p. {k}", f"Page {k} of {k + rng.randint(0, 90)}", f"- {k} -", f"{k}", f"Page {k}"]), at, n, keys, r["page"], None)], 1
                 if keys and r["type"] == "header":
-                    lines.append((line_features(rng.choice([t for t in r["titles"] if t]) + rng.choice(["", "", " 12", "  7"]), at, n, keys, r["page"], None), True))
+                    yield [["text"], line_features(rng.choice([t for t in r["titles"] if t]) + rng.choice(["", "", " 12", "  7"]), at, n, keys, r["page"], None)], 1
         elif r["type"] in ("text", "list", "caption", "title"):
             parts = [p for p in text.split("\n") if p.strip()]
             whole = len(parts) == 1
-            for i, p in enumerate(parts[:12]):
+            for i, p in enumerate(parts):
                 if r["type"] in ("text", "list"):  # what narrow lines hold of a sentence
                     cutting = p.split()
                     for _ in range(3 if len(cutting) > 6 else 0):
@@ -665,22 +766,45 @@ def train(rows: list[dict], lex: Lexicon, seed: int = 3, more: list[str] = ()) -
                         elif how < 0.6:
                             bit += f" {rng.choice('ABKQX')}{rng.randint(1, 99)}-{rng.choice(['07', 'C4', '18'])}" + rng.choice(["", ".", ")."])
                         if title_key(bit) not in keys and not _PAGE.fullmatch(bit) and len(keys) > 0:
-                            lines.append((line_features(bit, rng.choice([0, 1, 2]), 3, keys, r["page"], None), False))
+                            yield [["text"], line_features(bit, rng.choice([0, 1, 2]), 3, keys, r["page"], None)], 0
                 clean = r["type"] in ("caption", "title") or sum(w[:1].islower() for w in p.split()) > 1
                 if clean and title_key(p) not in keys and len(p) < 90:
-                    lines.append((line_features(p, i, len(parts), keys, r["page"], at_height(r["y"]) if whole else None), False))
-    furniture = Perceptron().fit([([["text"], names], int(yes)) for names, yes in lines])
+                    yield [["text"], line_features(p, i, len(parts), keys, r["page"], at_height(r["y"]) if whole else None)], 0
+
+
+def train(rows: list[dict], lex: Lexicon, seed: int = 3, more: list[str] = ()) -> Editor:
+    """The editor from all blocks (type, text, titles, page, y) of a corpus that one process holds; ``editor_of`` does the same by parts.
+
+    ``more``: further texts, whose words only teach the confusions.
+    """
+    rng = random.Random(seed)
+    texts = [r["text"] for r in rows if r["type"] in ("text", "list") and r["text"]]
+    # words in small letters: invented names are as rare as misreadings
+    taught = list(dict.fromkeys(w for t in (*texts, *more) for w in _WORD.findall(t) if len(w) > 3 and w[0] == w[0].lower()))
+    channel = learn_channel(taught, lex.counts(taught))
+    words = list(dict.fromkeys(w for t in texts for w in _WORD.findall(t) if len(w) > 1 and w.isalpha()))
+    rng.shuffle(words)
+    counts = lex.counts(words)
+    top = usual_count(counts)
+    common = [w for w, n in zip(words, counts, strict=True) if n >= top]
+    rare = [w for w, n in zip(words, counts, strict=True) if n < top]
+    examples = word_examples(common, rare, lex, channel, top, rng)
+    letters = Perceptron().fit(examples)
+    # an edit that no confusion backs: as sure as only one in a hundred of the rightly read words is
+    false = far_margins(letters, far_choices(examples))
+    far_margin = max(0.0, float(np.quantile(false, 0.99))) if false else 0.0
+    ys = [r["y"] for r in rows if r["y"] is not None]
+    heights = heights_of(ys, [1] * len(ys))
+    furniture = Perceptron().fit(list(line_examples(rows, heights, rng)))
     return Editor(lex, channel, letters, furniture, heights, far_margin)
 
 
 # ---------------------------------------------------------------- the operator
 
 
-def items_of(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks (text and list), node bodies and paratext entries; those that may hold furniture with their document's titles."""
+def _bodies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks (text and list), node bodies and paratext entries."""
     docs = table(spark, folder, "documents")
-    none = F.lit(None).cast("array<string>")
-    titles = docs.select(F.col("doc_id").alias("d"), F.concat(F.array(F.col("title")), F.coalesce("paratext", F.array().cast("array<string>"))).alias("titles")).dropDuplicates(["d"])
     b = table(spark, folder, "blocks").where(F.col("type").isin("text", "list") & F.col("text").isNotNull())
     b = b.select(F.lit("blocks").alias("origin"), F.col("block_id").alias("item_id"), "document_id", F.lit("").alias("lead"), F.col("text").alias("body"), F.col("page_idx").alias("page"), F.try_element_at("bbox", F.lit(2)).alias("y"), (F.col("type") == "list").alias("lines_stay"))
     n = table(spark, folder, "content_nodes").where(F.col("search_text").isNotNull())
@@ -689,37 +813,140 @@ def items_of(spark: SparkSession, folder: str) -> DataFrame:
     lead = F.when(F.col("heading").isNotNull() & (F.get(rest, F.lit(2)) == F.col("heading")), 3).otherwise(2)
     lead_text = F.array_join(F.slice(rest, F.lit(1), lead), "\n")
     n = n.select(F.lit("content_nodes").alias("origin"), F.col("content_id").alias("item_id"), "document_id", lead_text.alias("lead"), F.array_join(F.slice(rest, lead + 1, F.size(rest)), "\n").alias("body"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("double").alias("y"), (F.coalesce("type", F.lit("")) != "text").alias("lines_stay"))
+    p = docs.where(F.size("paratext") > 0).select(F.lit("documents").alias("origin"), F.col("doc_id").alias("item_id"), F.lit(None).cast("bigint").alias("document_id"), F.lit("").alias("lead"), F.array_join("paratext", "\n").alias("body"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("double").alias("y"), F.lit(True).alias("lines_stay"))
+    return b, n, p
+
+
+def items_of(spark: SparkSession, folder: str) -> DataFrame:
+    """All bodies; those that may hold furniture with their document's titles."""
+    docs = table(spark, folder, "documents")
+    none = F.lit(None).cast("array<string>")
+    titles = docs.select(F.col("doc_id").alias("d"), F.concat(F.array(F.col("title")), F.coalesce("paratext", F.array().cast("array<string>"))).alias("titles")).dropDuplicates(["d"])
+    b, n, p = _bodies(spark, folder)
     texts = spread(b.unionByName(n))
     # a single long line holds no furniture, so it needs no titles and isn't shuffled
     furnished = F.col("body").contains("\n") | (F.char_length("body") <= 90)
     with_titles = texts.where(furnished).join(titles, F.col("document_id") == F.col("d"), "left").drop("d")
-    p = docs.where(F.size("paratext") > 0).select(F.lit("documents").alias("origin"), F.col("doc_id").alias("item_id"), F.lit(None).cast("bigint").alias("document_id"), F.lit("").alias("lead"), F.array_join("paratext", "\n").alias("body"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("double").alias("y"), F.lit(True).alias("lines_stay"))
     return with_titles.unionByName(texts.where(~furnished).withColumn("titles", none)).unionByName(p.withColumn("titles", none)).drop("document_id")
 
 
-def _sample(spark: SparkSession, folder: str, rows: int = SAMPLE_ROWS, words_of: int = CHANNEL_ROWS) -> tuple[list[dict], list[str]]:
-    """About ``rows`` blocks picked by a hash of their id, with their document's titles, and the texts of ``words_of`` more."""
-    blocks, docs = table(spark, folder, "blocks"), table(spark, folder, "documents")
-    total = max(1, blocks.count())
-    draw = F.pmod(F.xxhash64("block_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    picked = blocks.where((draw < rows / total) & F.col("text").isNotNull())
-    picked = picked.select("document_id", "type", "text", F.col("page_idx").alias("page"), F.try_element_at("bbox", F.lit(2)).alias("y"))
-    got = picked.join(docs.select(F.col("doc_id").alias("document_id"), "title", "paratext").dropDuplicates(["document_id"]), "document_id", "left").orderBy("document_id", "type", "page", "text").collect()
-    more = blocks.where((draw >= rows / total) & (draw < (rows + words_of) / total) & F.col("type").isin("text", "list") & F.col("text").isNotNull()).select("text")
-    heads = docs.where(F.size("paratext") > 0)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    heads = heads.where(draw < words_of / F.lit(max(1, docs.count()))).select(F.array_join("paratext", "\n").alias("text"))
-    more = more.unionByName(heads).orderBy("text").collect()
-    return [{"type": r["type"], "text": r["text"], "page": r["page"], "y": r["y"], "titles": [r["title"], *(r["paratext"] or [])]} for r in got], [r["text"] for r in more]
+def vocabulary(texts: DataFrame, lex: Lexicon) -> DataFrame:
+    """The distinct words of a column of texts that can be edited or edited into, with their counts in the corpus.
+
+    ``small`` ones, in small letters, teach the confusions (invented names are as rare as misreadings); ``plain`` ones are of letters only.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(lex)
+
+    def find(batches):
+        met: set[str] = set()
+        for batch in batches:
+            points, offsets = T.flatten(batch.column(0))
+            for a, b in T.chunks(offsets):
+                part = points[offsets[a] : offsets[b]]
+                starts, ends = _word_places(part, offsets[a : b + 1] - offsets[a])
+                fits = (ends - starts > 1) & (ends - starts <= LONGEST + 2)
+                starts, ends = starts[fits], ends[fits]
+                _, at = np.unique(T.hashes(part, starts, ends), return_index=True)
+                new = [w for w in T.strings(part, starts[at], ends[at]) if w not in met]
+                if len(met) > 500_000:
+                    met.clear()
+                met.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.string())], names=["word"])
+
+    def count(batches):
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            small = [len(w) > 3 and w[0] == w[0].lower() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.counts(words)), pa.array(small, pa.bool_()), pa.array([w.isalpha() for w in words], pa.bool_())], names=["word", "n", "small", "plain"])
+
+    words = spread(texts).mapInArrow(find, "word string").distinct()
+    return cut(words.mapInArrow(count, "word string, n float, small boolean, plain boolean"))
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows by ``part`` in so many tasks, as the few bytes of parts that take long would be joined into one."""
+    return rows.repartition(min(4 * parts, 1000), "part")
+
+
+def corpus_letters(words: DataFrame, lex: Lexicon, channel: Channel, seed: int = 3) -> tuple[Perceptron, float]:
+    """The character editor's model and margin from all plain words of a vocabulary, dealt into parts."""
+    context, plain = words.sparkSession.sparkContext, words.where("plain")
+    counts = plain.groupBy("n").count().toPandas()
+    top = usual_count(counts["n"].to_numpy(), counts["count"].to_numpy())
+    common = int(counts["count"][counts["n"] >= top].sum())
+    deal = [max(1, math.ceil(n / part)) for n, part in ((common, PART_USUAL), (int(counts["count"].sum()) - common, PART_RARE))]
+    # as many parts as the more numerous kind needs; those of the other kind are used again, spoilt otherwise
+    step = F.when(F.col("n") >= top, deal[0]).otherwise(deal[1]).cast("bigint")
+    part = F.explode(F.sequence(F.pmod(F.xxhash64("word"), step), F.lit(max(deal) - 1).cast("bigint"), step))
+    dealt = _dealt(plain.select(part.alias("part"), "word", "n"), max(deal))
+    shared = context.broadcast((lex, channel))
+
+    def fit(group: pa.Table) -> pa.Table:
+        lex, channel = shared.value
+        rows = sorted(zip(group["word"].to_pylist(), group["n"].to_pylist(), strict=True))
+        rng = random.Random(f"{seed} {group['part'][0]}")
+        rng.shuffle(rows)
+        examples = word_examples([w for w, n in rows if n >= top], [w for w, n in rows if n < top], lex, channel, top, rng)
+        weights, choices = Perceptron().fit(examples).parts(len(examples)), far_choices(examples)
+        kind = pa.list_(pa.list_(pa.string()))
+        return pa.concat_tables([pa.Table.from_batches([weights]).append_column("choice", pa.nulls(len(weights), kind)), pa.table({"name": pa.nulls(len(choices), pa.string()), "value": pa.nulls(len(choices), pa.int64()), "choice": pa.array(choices, kind)})])
+
+    made = cut(dealt.groupBy("part").applyInArrow(fit, "name string, value bigint, choice array<array<string>>"))
+    letters = Perceptron.mean(made.where("name is not null").select("name", "value"))
+
+    def margins(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([math.ceil(256 * x) for x in far_margins(letters, batch.column(0).to_pylist())], pa.int32())], names=["step"])
+
+    # as sure as only one in a hundred of the words read rightly is, in steps of 1/256
+    false = made.where("choice is not null").select("choice").mapInArrow(margins, "step int").groupBy("step").count().orderBy("step").collect()
+    if not false:
+        return letters, 0.0
+    upto = np.cumsum([r["count"] for r in false])
+    return letters, max(0.0, false[int(np.searchsorted(upto, 0.99 * upto[-1]))]["step"] / 256)
+
+
+def corpus_lines(spark: SparkSession, folder: str, seed: int = 3) -> tuple[Perceptron, list[float]]:
+    """The furniture model from all blocks, dealt into parts, and the twentieths of their heights."""
+    blocks, docs = table(spark, folder, "blocks").where("text is not null"), table(spark, folder, "documents")
+    blocks = blocks.select("block_id", "document_id", "type", "text", F.col("page_idx").alias("page"), F.try_element_at("bbox", F.lit(2)).cast("double").alias("y"))
+    # heights to twelve binary digits, so that there are few
+    unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs("y"))), F.lit(-1000)) - 11)
+    height = F.when(F.col("y") == 0, 0.0).when(F.abs("y") < float("inf"), F.floor(F.col("y") / unit) * unit)
+    met = blocks.groupBy(height.cast("double").alias("y")).count().collect()
+    heights = heights_of([r["y"] for r in met if r["y"] is not None], [r["count"] for r in met if r["y"] is not None])
+    parts = max(1, math.ceil(sum(r["count"] for r in met) / PART_ROWS))
+    titles = docs.select(F.col("doc_id").alias("document_id"), F.concat(F.array(F.col("title")), F.coalesce("paratext", F.array().cast("array<string>"))).alias("titles")).dropDuplicates(["document_id"])
+    taught = blocks.where(F.col("type").isin("header", "number", "text", "list", "caption", "title")).join(titles, "document_id", "left")
+    dealt = taught.select(F.pmod(F.xxhash64("block_id", "document_id", "text"), F.lit(parts)).alias("part"), "type", "text", "page", "y", "titles")
+    dealt = _dealt(dealt, parts)
+
+    def fit(group: pa.Table) -> pa.Table:
+        rows = group.drop_columns(["part"]).to_pylist()
+        for r in rows:
+            r["titles"] = r["titles"] or []
+        rows.sort(key=lambda r: (r["type"], r["text"], r["page"] or 0, r["y"] or 0.0, [t or "" for t in r["titles"]]))
+        rng = random.Random(f"{seed} {group['part'][0]}")
+        rng.shuffle(rows)
+        examples, out = line_examples(rows, heights, rng), []
+        while made := list(itertools.islice(examples, PART_LINES)):
+            out.append(Perceptron().fit(made).parts(len(made)))
+        return pa.Table.from_batches(out, pa.schema([("name", pa.string()), ("value", pa.int64())]))
+
+    return Perceptron.mean(dealt.groupBy("part").applyInArrow(fit, "name string, value bigint")), heights
 
 
 def editor_of(spark: SparkSession, folder: str) -> Editor:
-    """The editor trained for a folder's corpus."""
+    """The editor trained on a folder's whole corpus."""
     nodes = table(spark, folder, "content_nodes").select(F.col("search_text").alias("text"))
     paratext = table(spark, folder, "documents").select(F.array_join("paratext", "\n").alias("text"))
     lex = lexicon(table(spark, folder, "blocks").select("text").unionByName(nodes).unionByName(paratext).where("text is not null"))
-    rows, more = _sample(spark, folder)
-    return train(rows, lex, more=more)
+    b, n, p = (x.select("body") for x in _bodies(spark, folder))
+    words = vocabulary(b.unionByName(n).unionByName(p), lex)
+    channel = corpus_channel(words)
+    letters, far_margin = corpus_letters(words, lex, channel)
+    lines, heights = corpus_lines(spark, folder)
+    return Editor(lex, channel, letters, lines, heights, far_margin)
 
 
 def repaired(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from leafmill.llm import encoding, language, markup, mixing, neighbours, packing, pieces, truncation
+from leafmill.llm import encoding, language, markup, mixing, neighbours, packing, pieces, scans, truncation
 from leafmill.llm.latest import latest
 
 
@@ -253,3 +253,55 @@ def test_odd_language_codes(spark, tmp_path):
     """A null code names no language; repeated ones name one."""
     spark.createDataFrame([("en", "English"), (None, None), ("de", "German"), ("en", "again")], "code string, name string").write.parquet(str(tmp_path / "languages.parquet"))
     assert language._codes(spark, str(tmp_path)) == ["de", "en"]
+
+
+def _scans(spark, folder, blocks):
+    """The tables of problem 6 with these blocks, in documents of fifty."""
+    blocks = spark.createDataFrame(blocks, "block_id bigint, type string, text string, y double").withColumn("document_id", F.expr("block_id div 50"))
+    blocks.select("block_id", "document_id", F.lit(1).alias("page_idx"), "type", "text", F.expr("array(10D, y, 500D, 90D)").alias("bbox")).write.parquet(f"{folder}/blocks.parquet")
+    blocks.select(F.col("document_id").alias("doc_id"), F.lit("Ledger").alias("title"), F.lit(None).cast("array<string>").alias("paratext")).distinct().write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "content_id bigint, document_id bigint, type string, heading string, search_text string").write.parquet(f"{folder}/content_nodes.parquet")
+    return str(folder)
+
+
+def test_confusions_come_from_all_blocks(spark, tmp_path, monkeypatch):
+    """A confusion met only in blocks that a sample of 44,000 by the hash of their ids leaves out is learnt and repaired."""
+    import random
+
+    rng, n = random.Random(6), 50_000
+    vocabulary = "the harbour station registered statement postponed customs minister pasture master history dusty because venue panel major wooden field opinion council budget repair window number".split()
+    draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
+    left_out = [r["id"] for r in spark.range(n).where(draw >= 44_000 / n).orderBy("id").limit(10).collect()]
+    bad = dict(zip(left_out, [w.replace("st", "kx", 1) for w in vocabulary if "st" in w], strict=False))
+    rows = [(i, "text", " ".join([*rng.choices(vocabulary, k=4), *([bad[i]] if i in bad else []), "record."]), float(i)) for i in range(n)]
+    folder = _scans(spark, tmp_path, rows)
+    ed = scans.editor_of(spark, folder)
+    assert set(ed.channel.weight) == {("kx", "st")} and ed.channel.weight["kx", "st"] == len(bad) > 6
+    assert len(ed.heights) == 20 and abs(ed.heights[10] - n / 2) < 16
+    monkeypatch.setattr(scans, "editor_of", lambda *_: ed)
+    fixed = {r["item_id"]: r["repaired_text"] for r in scans.p6_repaired(spark, folder).where("words + joins + furniture > 0").collect()}
+    assert fixed == {i: rows[i][2].replace("kx", "st") for i in bad}
+
+
+def test_confusions_by_a_join(spark):
+    """Over a table the same as in one process."""
+    import random
+
+    rng = random.Random(2)
+    usual = list(dict.fromkeys("".join(rng.choices(["ba", "ker", "ton", "mil", "gra", "sed", "vor", "pal", "facade"], k=rng.randint(2, 3))) for _ in range(200)))
+    rare = [w.replace(a, b, 1) for w in usual for a, b in (("k", "lc"), ("m", "rn"), ("e", "o"), ("a", "")) if a in w and rng.random() < 0.4]
+    words = {w: 1.0 + rng.randrange(3) for w in [*rare, "12345", "4fade", "x9y9"]} | {w: 1000.0 + i for i, w in enumerate(usual)}
+    words = {w: c for w, c in words.items() if len(w) > 3}
+    want = scans.learn_channel(list(words), np.array(list(words.values())))
+    got = scans.corpus_channel(spark.createDataFrame([(w, n, True, w.isalpha()) for w, n in words.items()], "word string, n float, small boolean, plain boolean"))
+    assert len(want.weight) >= 3 and (got.weight, got.strong, got.triples, got.alphabet) == (want.weight, want.strong, want.triples, want.alphabet)
+    middle = want.ratios[len(want.ratios) // 2]
+    assert len(got.ratios) == 1000 and 0.9 < got.ratios[500] / middle < 1.1
+
+
+def test_scans_of_little(spark, tmp_path):
+    """Empty tables, null heights and ids, texts without words."""
+    for name, rows in (("none", []), ("few", [(None, "text", "one text.", None), (1, "text", "", float("nan")), (2, "header", " ", 0.0), (3, "text", None, -7.0), (5, "header", "  ", float("inf")), (6, "header", "", 5e-324), (4, "list", "- 12", 5.0)])):
+        (tmp_path / name).mkdir()
+        got = scans.p6_repaired(spark, _scans(spark, tmp_path / name, rows)).collect()
+        assert sorted(r["repaired_text"] for r in got) == (["", "- 12", "one text."] if rows else []) and not any(r["words"] + r["joins"] + r["furniture"] for r in got)
